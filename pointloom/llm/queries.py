@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .neardup import near_duplicates
+from .packing import pack_documents
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; POINTLOOM_TOKENIZERS names another folder than the installed one."""
+    if folder := os.environ.get("POINTLOOM_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), similarity=85)
 
@@ -35,7 +51,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.c AS component_id, s.
 
 
 def queries() -> dict:
-    return {"op10_minhash_neardup": op10_minhash_neardup}
+    return {f.__name__: f for f in (op9_bestfit_packing, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
