@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import pack_documents
 
@@ -23,6 +24,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
@@ -51,7 +56,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.c AS component_id, s.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_bestfit_packing, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op5_hierarchical_langid, op9_bestfit_packing, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
