@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pii import extract_pii
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pii(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
@@ -56,7 +61,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.c AS component_id, s.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_hierarchical_langid, op9_bestfit_packing, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_contextual_pii, op5_hierarchical_langid, op9_bestfit_packing, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
