@@ -163,7 +163,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confident_patterns(scanned: DataFrame, scratch: Scratch) -> DataFrame:
     """(pattern) of the patterns that end with high confidence."""
-    edges = scanned.select(F.inline("found")).groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).cast("double").alias("seed"))
+    edges = scanned.select(F.inline("found")).where("pattern rlike '[^ ]'").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).cast("double").alias("seed"))
     edges = scratch.keep(edges, "edges")
     score = edges.select("pattern", "instance", "n", "seed", F.col("seed").alias("score"))
     for k in range(ROUNDS):
