@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import find_contamination
 from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -29,6 +30,10 @@ def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pii(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
@@ -61,7 +66,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.c AS component_id, s.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contextual_pii, op5_hierarchical_langid, op9_bestfit_packing, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_contextual_pii, op2_latent_decontamination, op5_hierarchical_langid, op9_bestfit_packing, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
