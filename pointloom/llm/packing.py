@@ -7,6 +7,7 @@ or a round joins nothing. An item carries its pieces, so that rounds need no joi
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -30,71 +31,121 @@ _BIN = f"sequence_id long, fill int, pieces array<struct<{', '.join(f'{a}:{b}' f
 _PIECE_TYPE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+class _Numbers(dict):
+    """Numbers its keys in the order of their first lookup; `fresh` has the keys that are new."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
+class _Ids:
+    """Ids by number: one growing array, and where each number's ids end."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)  # entry k + 1 is the end of number k
+        self.known = 0
+
+    def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.ends[self.known])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.known + len(lengths) + 1 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.ids[used : used + len(ids)] = ids
+        self.ends[self.known + 1 : self.known + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.known += len(lengths)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers one after another, and the ids before each number."""
+        begin = self.ends[which]
+        n = self.ends[which + 1] - begin
+        before = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(n, out=before[1:])
+        return self.ids[np.arange(before[-1]) + np.repeat(begin - before[:-1], n)], before
+
+    def forget(self, keep: int) -> None:
+        self.numbers = _Numbers(islice(self.numbers.items(), keep))
+        self.known = keep
+
+
 class ChunkTokenizer:
     """Ids of whole texts by a tokenizer whose pre-tokenizer never joins text across white space.
 
-    Each white-space-free chunk is encoded once and its ids are kept; texts are then gathered from these. Texts with
-    control characters that Python and the tokenizer treat differently are encoded directly.
+    Each chunk between white space is encoded once and its ids are kept; texts are then gathered from these. A new chunk
+    of Latin-1 characters is put together from the pre-tokenizer's parts, which repeat more. Texts with control
+    characters that Python and the tokenizer treat differently are encoded directly.
     """
 
     _SPECIAL = "<|endoftext|>"
-    _ODD = frozenset("\x1c\x1d\x1e\x1f\x85")
+    _ODD = re.compile("[\x1c-\x1f\x85]")
+    #: The pre-tokenizer's pattern, its classes written out for lower-cased Latin-1.
+    _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(self._SPECIAL)
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _forget(self) -> None:
-        self.index = dict(islice(self.index.items(), CORE))
-        self.used = int(self.ends[CORE - 1])
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c]
-        got = [(c, self.tokenizer.encode(c, add_special_tokens=False).ids) for c in chunks if "<|" in c]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(self._SPECIAL.join(some), add_special_tokens=False).ids, np.uint32)
-            self._add(some, np.split(ids, np.flatnonzero(ids == self.separator)), drop=1)
-        if got:
-            self._add([c for c, _ in got], [np.array(x, np.uint32) for _, x in got], drop=0)
-
-    def _add(self, chunks: list[str], parts: list[np.ndarray], drop: int) -> None:
-        parts = [parts[0], *(p[drop:] for p in parts[1:])]
-        flat = np.concatenate(parts)
-        n = len(self.index)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while n + len(chunks) > len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.ends[n : n + len(chunks)] = self.used + np.cumsum([len(p) for p in parts])
-        self.used += len(flat)
-        self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.chunks, self.parts = _Ids(), _Ids()
+
+    def _learn_parts(self) -> None:
+        fresh, self.parts.numbers.fresh = self.parts.numbers.fresh, []
+        for at in range(0, len(fresh), 4000):
+            some = fresh[at : at + 4000]
+            ids = np.array(self.tokenizer.encode(self._SPECIAL.join(some) + self._SPECIAL, add_special_tokens=False).ids, np.uint32)
+            stop = ids == self.separator
+            place = np.flatnonzero(stop)
+            self.parts.append(ids[~stop], np.diff(place, prepend=-1) - 1)
+
+    def _learn_chunks(self) -> None:
+        fresh, self.chunks.numbers.fresh = self.chunks.numbers.fresh, []
+        which, n, direct = [], [], {}
+        number = self.parts.numbers.__getitem__
+        for k, chunk in enumerate(fresh):
+            if "<|" in chunk or ord(max(chunk)) > 255:
+                direct[k] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
+                n.append(0)
+            else:
+                own = list(map(number, self._PARTS.findall(chunk.lower())))
+                which += own
+                n.append(len(own))
+        self._learn_parts()
+        ids, before = self.parts.gather(np.array(which, np.int64))
+        at = before[np.concatenate(([0], np.cumsum(n, dtype=np.int64)))]
+        if direct:
+            cut = [at[k] for k in direct]
+            pieces, last = [], 0
+            for c, own in zip(cut, direct.values(), strict=True):
+                pieces += [ids[last:c], own]
+                last = c
+            ids = np.concatenate([*pieces, ids[last:]])
+        lengths = np.diff(at)
+        for k, own in direct.items():
+            lengths[k] = len(own)
+        self.chunks.append(ids, lengths)
+        if len(self.parts.numbers) > CACHE:
+            self.parts.forget(CORE)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number before each text."""
-        lists = [(t or "").split() for t in texts]
-        odd = [i for i, t in enumerate(texts) if t and not self._ODD.isdisjoint(t)]
+        lists = [t.split() if t else [] for t in texts]
+        odd = [i for i, t in enumerate(texts) if t and self._ODD.search(t)]
         for i in odd:
             lists[i] = []
-        flat = list(chain.from_iterable(lists))
-        if len(self.index) > CACHE:
-            self._forget()
-        if fresh := [c for c in set(flat) if c not in self.index]:
-            self._learn(fresh)
-        which = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        end = self.ends[which]
-        begin = np.where(which > 0, self.ends[which - 1], 0)
-        n = end - begin
-        before = np.zeros(len(flat) + 1, np.int64)
-        np.cumsum(n, out=before[1:])
-        ids = self.ids[np.arange(before[-1]) + np.repeat(begin - before[:-1], n)]
+        if len(self.chunks.numbers) > CACHE:
+            self.chunks.forget(CORE)
+        total = sum(map(len, lists))
+        which = np.fromiter(map(self.chunks.numbers.__getitem__, chain.from_iterable(lists)), np.int64, total)
+        self._learn_chunks()
+        ids, before = self.chunks.gather(which)
         first = np.zeros(len(lists) + 1, np.int64)
         np.cumsum([len(x) for x in lists], out=first[1:])
         at = before[first]
