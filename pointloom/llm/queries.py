@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import find_contamination
 from .fingerprint import fingerprint_documents
 from .langid import identify_languages
+from .lm import score_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import extract_pii
@@ -43,6 +44,10 @@ def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
@@ -71,7 +76,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.c AS component_id, s.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contextual_pii, op2_latent_decontamination, op5_hierarchical_langid, op6_weighted_fingerprints, op9_bestfit_packing, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_contextual_pii, op2_latent_decontamination, op5_hierarchical_langid, op6_weighted_fingerprints, op7_recurrent_lm, op9_bestfit_packing, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
