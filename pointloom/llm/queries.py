@@ -13,6 +13,7 @@ from .lm import score_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import extract_pii
+from .suffix import remove_repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
@@ -76,7 +81,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.c AS component_id, s.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contextual_pii, op2_latent_decontamination, op5_hierarchical_langid, op6_weighted_fingerprints, op7_recurrent_lm, op9_bestfit_packing, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_contextual_pii, op2_latent_decontamination, op5_hierarchical_langid, op6_weighted_fingerprints, op7_recurrent_lm, op8_suffix_dedup, op9_bestfit_packing, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
