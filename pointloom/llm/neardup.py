@@ -94,27 +94,71 @@ def _keys() -> list:
     for c in range(CHUNKS):
         lo, hi = int(_EDGES[c]), int(_EDGES[c + 1])
         for hole in range(lo, hi):
-            out.append(F.xxhash64(F.lit(hole), F.expr(f"substring(sketch, {lo + 1}, {hole - lo})"), F.expr(f"substring(sketch, {hole + 2}, {hi - hole - 1})")))
+            out.append(F.struct(F.lit(hole).alias("hole"), F.xxhash64(F.lit(hole), F.expr(f"substring(sketch, {lo + 1}, {hole - lo})"), F.expr(f"substring(sketch, {hole + 2}, {hi - hole - 1})")).alias("key")))
     return out
 
 
-def _near_pairs(pdf, other: bool):
-    """Pairs of one block (or of two blocks, where `other`) whose components differ, within DISTANCE, sizes permitting."""
-    import pandas as pd
+def _pairs_of(b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the groups (rows next to each other) of different components, within DISTANCE.
 
-    sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), SYMBOLS)
-    ids, comp, n, side = (pdf[c].to_numpy() for c in ("id", "component", "n_shingles", "side"))
+    A pair that several index keys bring together is given for the first of these keys only. Where a group is made of
+    two blocks, pairs are between the blocks.
+    """
+    sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint8).reshape(b.num_rows, SYMBOLS)
+    ids, comp, hole, key, lo, hi, side = (b.column(c).to_numpy() for c in ("id", "component", "hole", "key", "lo", "hi", "side"))
+    new = np.ones(len(ids), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], len(ids))[np.cumsum(new) - 1]
+    n = last - np.arange(len(ids)) - 1
+    total = np.cumsum(n)
     us, vs = [], []
-    for i in range(len(pdf)):
-        j = np.flatnonzero((side != side[i]) if other else (np.arange(len(pdf)) > i)) if not other or side[i] == 0 else np.zeros(0, int)
-        j = j[comp[j] != comp[i]]
-        if len(j):
-            j = j[(sketch[j] != sketch[i]).sum(axis=1) <= DISTANCE]
-            us.append(np.full(len(j), ids[i]))
-            vs.append(ids[j])
-    u = np.concatenate(us) if us else np.zeros(0, np.int64)
-    v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-    return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+    at = 0
+    while at < len(ids):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 400_000, "right")))
+        own = n[at:to]
+        i = np.repeat(np.arange(at, to), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        keep = (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (side[i] != side[j]))
+        i, j = i[keep], j[keep]
+        differ = sketch[i] != sketch[j]
+        keep = differ.sum(axis=1) <= DISTANCE
+        i, j, differ = i[keep], j[keep], differ[keep]
+        if len(i):
+            errors = np.add.reduceat(differ.astype(np.int8), _EDGES[:-1], axis=1)
+            chunk = np.argmax(errors <= 1, axis=1)
+            inside = (np.arange(SYMBOLS)[None, :] >= _EDGES[chunk][:, None]) & (np.arange(SYMBOLS)[None, :] < _EDGES[chunk + 1][:, None])
+            wrong = np.argmax(differ & inside, axis=1)
+            first = np.where(errors[np.arange(len(i)), chunk] == 0, _EDGES[chunk], wrong)
+            keep = first == hole[i]
+            us.append(np.minimum(ids[i[keep]], ids[j[keep]]))
+            vs.append(np.maximum(ids[i[keep]], ids[j[keep]]))
+        at = to
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([*us, empty]), np.concatenate([*vs, empty])
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group; a group (two blocks at most) is held whole, whichever batches it came in."""
+    held: list[pa.RecordBatch] = []
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        u, v = _pairs_of(table)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        table = pa.Table.from_batches(held)
+        group = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
+        same = np.logical_and.reduce([g == g[-1] for g in group])
+        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield out(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield out(pa.Table.from_batches(held))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
@@ -131,19 +175,22 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(docs.mapInArrow(_sketches, _SKETCH), "sketches")
     known = rows.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.keep(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     rows = scratch.keep(rows.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "classes")
-    scratch.drop("sketches")
+    scratch.drop("sketches", "sets")
 
     # Sets that differ have at most 5/6 in common when one of them has five shingles or fewer.
     least = 6 if similarity > 83 else 1
     reps = rows.where(f"sketch is not null and n_shingles >= {least}").select(F.col("rep").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"])
-    index = reps.select("id", F.explode(F.array(*_keys())).alias("key"))
+    index = reps.select("id", F.inline(F.array(*_keys())))
     heads = index.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = scratch.keep(index.join(heads, "key").select("key", "n", "head", "id"), "shared")
+    shared = scratch.keep(index.join(heads, "key").select("hole", "key", "n", "head", "id"), "shared")
 
     sketches = reps.select(F.col("id"), "sketch", "n_shingles")
-    star = shared.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
+    # Two links a document at most: to the smallest head of its buckets, and to the head that it meets most often.
+    met = shared.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("times"))
+    star = met.groupBy("id").agg(F.min("head").alias("low"), F.max(F.struct("times", -F.col("head"))).alias("most"))
+    star = star.select(F.explode(F.array_distinct(F.array("low", -F.col("most.col2")))).alias("u"), F.col("id").alias("v"))
     star = star.join(sketches.toDF("u", "su", "nu"), "u").join(sketches.toDF("v", "sv", "nv"), "v")
     star = star.where(f"100 * least(nu, nv) >= {similarity} * greatest(nu, nv)").select("u", "v")
     wanted = shared.select("id").distinct()
@@ -157,16 +204,14 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     joined = scratch.keep(connected_components(links, scratch, "cc1_"), "joined")
 
     # Buckets in which components still differ: compare across components, in blocks.
-    member = shared.join(joined, "id", "left").select("key", "n", "id", F.coalesce("component", "id").alias("component"))
+    member = shared.join(joined, "id", "left").select("hole", "key", "n", "id", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     rest = member.join(mixed, "key").join(sketches, "id").withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("key", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), F.when(F.col("own") <= F.col("mate"), 0).otherwise(1).alias("side"), "id", "component", "n_shingles", "sketch")
-
-    def compare(keys, pdf):
-        return _near_pairs(pdf, keys[1] != keys[2])
+    rest = rest.select("hole", "key", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), F.when(F.col("own") <= F.col("mate"), 0).otherwise(1).alias("side"), "id", "component", "n_shingles", "sketch")
 
-    pairs = rest.groupBy("key", "lo", "hi").applyInPandas(compare, "u long, v long").distinct()
+    grouped = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = grouped.mapInArrow(_near_pairs, "u long, v long")
     more = scratch.keep(confirmed(pairs), "links2")
     links = links.union(more) if more.take(1) else None
     final = joined if links is None else scratch.keep(connected_components(links, scratch, "cc2_"), "final")
