@@ -40,15 +40,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def joined(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of the texts with a line end after each, and where each text starts (one more entry for the end)."""
-    parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    parts = [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
     starts = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=starts[1:])
     return np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8), starts
 
 
-def words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[str | bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """hash of each word, number of words before each text (one more entry), the bytes, each word's start and end in them."""
     data, starts = joined(texts)
     space = _IS_SPACE[data]

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import find_contamination
 from .fingerprint import fingerprint_documents
 from .langid import identify_languages
+from .licenses import scan_licenses
 from .lm import score_documents
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import extract_pii
 from .suffix import remove_repeats
+from .tokencount import count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,14 @@ def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op5_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
@@ -81,7 +91,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.c AS component_id, s.
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contextual_pii, op2_latent_decontamination, op5_hierarchical_langid, op6_weighted_fingerprints, op7_recurrent_lm, op8_suffix_dedup, op9_bestfit_packing, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_contextual_pii, op2_latent_decontamination, op3_license_scan, op4_unigram_token_counts, op5_hierarchical_langid, op6_weighted_fingerprints, op7_recurrent_lm, op8_suffix_dedup, op9_bestfit_packing, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
