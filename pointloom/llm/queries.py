@@ -22,7 +22,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's file is; POINTLOOM_TOKENIZERS names another folder than the installed one."""
     if folder := os.environ.get("POINTLOOM_TOKENIZERS"):
         return os.path.join(folder, name)
@@ -44,7 +44,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
+    return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op5_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
+    return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
