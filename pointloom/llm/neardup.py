@@ -8,8 +8,10 @@ with a probability under 1e-5. Every link is then confirmed on the full shingle
 
 Documents with equal sets are one class from the start. Within an index bucket, members are first compared with the
 bucket's smallest id only (as many pairs as rows); what these links join needs no further comparison, and only pairs
-whose components still differ are compared afterwards, in blocks of bounded size. So a group of n near copies costs
-about n comparisons, and no link between different components is lost.
+whose components still differ are compared afterwards, in blocks of bounded size. Members of one family carry what they
+lack and have beyond the family's reference text, which gives the exact similarity of any two of them within the task;
+only other pairs are confirmed by a join of their texts. So a group of n near copies moves about n rows, and no link
+between different components is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .components import connected_components
 SYMBOLS, DISTANCE, CHUNKS = 64, 23, 12
 #: Rows of one bucket that are compared in one task.
 BLOCK_ROWS = 2048
+#: Shingles by which a family's member may differ from the reference and still carry the difference.
+MOST_CHANGES = 512
 _U = np.uint64
 _FACTORS = np.random.default_rng(85).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
 _EDGES = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
@@ -98,67 +102,129 @@ def _keys() -> list:
     return out
 
 
-def _pairs_of(b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the groups (rows next to each other) of different components, within DISTANCE.
-
-    A pair that several index keys bring together is given for the first of these keys only. Where a group is made of
-    two blocks, pairs are between the blocks.
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, text_u, v, text_v) -> (id, ref, lacks, beyond): shingles of the reference u that v lacks, and those of v beyond it."""
+    np.seterr(over="ignore")
+    for b in blocks(batches, "text_v"):
+        us, ui = np.unique(b.column("u").to_numpy(), return_index=True)
+        left, lat = shingle_sets(b.column("text_u").take(pa.array(ui)).to_pylist())
+        right, rat = shingle_sets(b.column("text_v").to_pylist())
+        lacks, beyond = [], []
+        for k, i in enumerate(np.searchsorted(us, b.column("u").to_numpy())):
+            x, y = left[lat[i] : lat[i + 1]], right[rat[k] : rat[k + 1]]
+            less, more = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+            small = len(less) + len(more) <= MOST_CHANGES
+            lacks.append(less.tobytes() if small else None)
+            beyond.append(more.tobytes() if small else None)
+        yield pa.RecordBatch.from_arrays([b.column("v"), b.column("u"), pa.array(lacks, pa.binary()), pa.array(beyond, pa.binary())], names=["id", "ref", "lacks", "beyond"])
+
+
+class _Exact:
+    """Exact similarity of two members of one family from their changes; joins those that are linked."""
+
+    def __init__(self, b: pa.Table, similarity: int):
+        self.n, self.ref = b.column("n_shingles").to_numpy(), b.column("ref").to_numpy(zero_copy_only=False)
+        self.lacks, self.beyond = b.column("lacks"), b.column("beyond")
+        self.known = b.column("lacks").is_valid().to_numpy(zero_copy_only=False) if b.num_rows else np.zeros(0, bool)
+        self.sets: dict[int, tuple[frozenset, frozenset]] = {}
+        self.similarity = similarity
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def of(self, i: int) -> tuple[frozenset, frozenset]:
+        if i not in self.sets:
+            self.sets[i] = tuple(frozenset(np.frombuffer(c[i].as_py(), np.uint64).tolist()) for c in (self.lacks, self.beyond))
+        return self.sets[i]
+
+    def linked(self, i: int, j: int) -> bool:
+        (less, more), (less2, more2) = self.of(i), self.of(j)
+        whole = int(self.n[i]) + len(less) - len(more)  # of the reference
+        both = whole - len(less) - len(less2) + len(less & less2) + len(more & more2)
+        return 100 * both >= self.similarity * (int(self.n[i]) + int(self.n[j]) - both)
+
+
+def _pairs_of(b: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs within the groups (rows next to each other) of different components, within DISTANCE: u, v, confirmed.
+
+    A pair that several index keys bring together is looked at for the first of these keys only. Where a group is made of
+    two blocks, pairs are between the blocks. Pairs of one family are decided here and given only where they join something.
     """
     sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint8).reshape(b.num_rows, SYMBOLS)
-    ids, comp, hole, key, lo, hi, side = (b.column(c).to_numpy() for c in ("id", "component", "hole", "key", "lo", "hi", "side"))
+    ids, comp, hole, key, lo, hi, side, n = (b.column(c).to_numpy() for c in ("id", "component", "hole", "key", "lo", "hi", "side", "n_shingles"))
     new = np.ones(len(ids), bool)
     new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     start = np.flatnonzero(new)
     last = np.append(start[1:], len(ids))[np.cumsum(new) - 1]
-    n = last - np.arange(len(ids)) - 1
-    total = np.cumsum(n)
-    us, vs = [], []
+    own = last - np.arange(len(ids)) - 1
+    total = np.cumsum(own)
+    exact = _Exact(b, similarity)
+    us, vs, sure = [], [], []
     at = 0
     while at < len(ids):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 400_000, "right")))
-        own = n[at:to]
-        i = np.repeat(np.arange(at, to), own)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
-        keep = (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (side[i] != side[j]))
+        some = own[at:to]
+        i = np.repeat(np.arange(at, to), some)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        keep = (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
         i, j = i[keep], j[keep]
         differ = sketch[i] != sketch[j]
         keep = differ.sum(axis=1) <= DISTANCE
         i, j, differ = i[keep], j[keep], differ[keep]
-        if len(i):
-            errors = np.add.reduceat(differ.astype(np.int8), _EDGES[:-1], axis=1)
-            chunk = np.argmax(errors <= 1, axis=1)
-            inside = (np.arange(SYMBOLS)[None, :] >= _EDGES[chunk][:, None]) & (np.arange(SYMBOLS)[None, :] < _EDGES[chunk + 1][:, None])
-            wrong = np.argmax(differ & inside, axis=1)
-            first = np.where(errors[np.arange(len(i)), chunk] == 0, _EDGES[chunk], wrong)
-            keep = first == hole[i]
-            us.append(np.minimum(ids[i[keep]], ids[j[keep]]))
-            vs.append(np.maximum(ids[i[keep]], ids[j[keep]]))
         at = to
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([*us, empty]), np.concatenate([*vs, empty])
-
-
-def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(i):
+            continue
+        errors = np.add.reduceat(differ.astype(np.int8), _EDGES[:-1], axis=1)
+        chunk = np.argmax(errors <= 1, axis=1)
+        inside = (np.arange(SYMBOLS)[None, :] >= _EDGES[chunk][:, None]) & (np.arange(SYMBOLS)[None, :] < _EDGES[chunk + 1][:, None])
+        wrong = np.argmax(differ & inside, axis=1)
+        first = np.where(errors[np.arange(len(i)), chunk] == 0, _EDGES[chunk], wrong)
+        keep = first == hole[i]
+        i, j = i[keep], j[keep]
+        family = exact.known[i] & exact.known[j] & (exact.ref[i] == exact.ref[j])
+        for x, y in zip(i[family].tolist(), j[family].tolist(), strict=True):
+            a, c = exact.top(int(comp[x])), exact.top(int(comp[y]))
+            if a != c and exact.linked(x, y):
+                exact.up[a] = c
+                us.append(int(ids[x]))
+                vs.append(int(ids[y]))
+                sure.append(True)
+        us += ids[i[~family]].tolist()
+        vs += ids[j[~family]].tolist()
+        sure += [False] * int((~family).sum())
+    u, v = np.array(us, np.int64), np.array(vs, np.int64)
+    return np.minimum(u, v), np.maximum(u, v), np.array(sure, bool)
+
+
+def _comparer(similarity: int):
     """Rows come sorted by group; a group (two blocks at most) is held whole, whichever batches it came in."""
-    held: list[pa.RecordBatch] = []
 
     def out(table: pa.Table) -> pa.RecordBatch:
-        u, v = _pairs_of(table)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        u, v, sure = _pairs_of(table.combine_chunks(), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(sure)], names=["u", "v", "sure"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        table = pa.Table.from_batches(held)
-        group = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
-        same = np.logical_and.reduce([g == g[-1] for g in group])
-        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            yield out(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-    if held:
-        yield out(pa.Table.from_batches(held))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            table = pa.Table.from_batches(held)
+            group = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
+            same = np.logical_and.reduce([g == g[-1] for g in group])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield out(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
@@ -189,8 +255,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     sketches = reps.select(F.col("id"), "sketch", "n_shingles")
     # Two links a document at most: to the smallest head of its buckets, and to the head that it meets most often.
     met = shared.where("id <> head").groupBy("id", "head").agg(F.count("*").alias("times"))
-    star = met.groupBy("id").agg(F.min("head").alias("low"), F.max(F.struct("times", -F.col("head"))).alias("most"))
-    star = star.select(F.explode(F.array_distinct(F.array("low", -F.col("most.col2")))).alias("u"), F.col("id").alias("v"))
+    ends = met.groupBy("id").agg(F.min("head").alias("low"), F.max(F.struct("times", -F.col("head"))).alias("most"))
+    ends = scratch.keep(ends, "ends")
+    star = ends.select(F.explode(F.array_distinct(F.array("low", -F.col("most.col2")))).alias("u"), F.col("id").alias("v"))
     star = star.join(sketches.toDF("u", "su", "nu"), "u").join(sketches.toDF("v", "sv", "nv"), "v")
     star = star.where(f"100 * least(nu, nv) >= {similarity} * greatest(nu, nv)").select("u", "v")
     wanted = shared.select("id").distinct()
@@ -206,13 +273,19 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     # Buckets in which components still differ: compare across components, in blocks.
     member = shared.join(joined, "id", "left").select("hole", "key", "n", "id", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rest = member.join(mixed, "key").join(sketches, "id").withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    # A family's reference: the smallest head, and that one's in turn.
+    low = ends.select("id", "low")
+    refs = low.join(low.toDF("low", "lower"), "low", "left").select("id", F.coalesce("lower", "low").alias("ref"))
+    alone = member.join(mixed, "key", "left_semi").select("id").distinct()
+    refs = alone.join(refs, "id", "left").select(F.coalesce("ref", "id").alias("u"), F.col("id").alias("v"))
+    changes = refs.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v").mapInArrow(_changes, "id long, ref long, lacks binary, beyond binary")
+    changes = scratch.keep(changes, "changes")
+    rest = member.join(mixed, "key").join(sketches, "id").join(changes, "id").withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.select("hole", "key", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), F.when(F.col("own") <= F.col("mate"), 0).otherwise(1).alias("side"), "id", "component", "n_shingles", "sketch")
-
+    rest = rest.select("hole", "key", F.least("own", "mate").alias("lo"), F.greatest("own", "mate").alias("hi"), F.when(F.col("own") <= F.col("mate"), 0).otherwise(1).alias("side"), "id", "component", "n_shingles", "sketch", "ref", "lacks", "beyond")
     grouped = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = grouped.mapInArrow(_near_pairs, "u long, v long")
-    more = scratch.keep(confirmed(pairs), "links2")
+    pairs = scratch.keep(grouped.mapInArrow(_comparer(similarity), "u long, v long, sure boolean"), "pairs")
+    more = scratch.keep(confirmed(pairs.where("not sure").select("u", "v")).union(pairs.where("sure").select("u", "v")), "links2")
     links = links.union(more) if more.take(1) else None
     final = joined if links is None else scratch.keep(connected_components(links, scratch, "cc2_"), "final")
     scratch.drop("shared", "texts")
