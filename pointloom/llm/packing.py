@@ -23,7 +23,7 @@ CAPACITY, SLACK = 2048, 8
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
 #: Distinct chunks that a worker keeps with their ids; those it met first, mostly the frequent ones, stay.
-CACHE, CORE = 600_000, 450_000
+CACHE, CORE = 360_000, 300_000
 END = 0
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -110,7 +110,7 @@ class ChunkTokenizer:
         which, n, direct = [], [], {}
         number = self.parts.numbers.__getitem__
         for k, chunk in enumerate(fresh):
-            if "<|" in chunk or ord(max(chunk)) > 255:
+            if "<|" in chunk or not (chunk.isascii() or ord(max(chunk)) < 256):
                 direct[k] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
                 n.append(0)
             else:
