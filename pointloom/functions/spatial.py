@@ -79,20 +79,15 @@ def shared_levels(a: Column, b: Column) -> Column:
     return F.when(differ == 0, F.lit(LEVELS)).otherwise(F.lit(LEVELS) - F.length(F.conv(differ.cast("string"), 10, 8)))
 
 
-def box_of(name: Column, cube: Cube) -> list[Column]:
-    """low x, y, z and edge of a node by its name."""
-    level = F.length(name) - 1
-    edge = F.lit(cube.edge) / F.pow(F.lit(2.0), level)
-    digits = F.expr(f"transform(sequence(1, length({_sql(name)})), i -> cast(substring({_sql(name)}, i, 1) as string))")
-    out = []
-    for axis, bit in zip(AXES, (2, 1, 0), strict=True):
-        steps = F.aggregate(F.slice(digits, 2, LEVELS), F.lit(0).cast("long"), lambda s, d, bit=bit: s * 2 + F.shiftright(d.cast("int"), bit).bitwiseAND(F.lit(1)))
-        out.append(F.lit(cube.low(axis)) + steps * edge)
-    return [*out, edge]
-
-
-def _sql(c: Column) -> str:
-    return "`" + c._jc.toString() + "`"
+def box_of(name: str, cube: Cube) -> list[Column]:
+    """low x, y, z and edge of the node whose name is in a column."""
+    edge = F.lit(cube.edge) / F.pow(F.lit(2.0), F.length(name) - 1)
+
+    def steps(bit: int) -> Column:
+        """The cell's number along an axis: one bit of each digit."""
+        return F.expr(f"aggregate(slice(split({name}, ''), 2, {LEVELS}), 0L, (s, d) -> s * 2 + (shiftright(cast(d as int), {bit}) & 1))")
+
+    return [*[F.lit(cube.low(axis)) + steps(bit) * edge for axis, bit in zip(AXES, (2, 1, 0), strict=True)], edge]
 
 
 def ancestors(name: str, proper: bool = False) -> Column:

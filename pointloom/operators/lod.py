@@ -31,7 +31,7 @@ def screen_error(camera: Camera, height: int, spacing: Column) -> Column:
 
 def with_boxes(nodes: DataFrame, cube: spatial.Cube, grid_size: int) -> DataFrame:
     """nodes (node, level) with their cube as min_x .. max_z and their spacing."""
-    x, y, z, edge = spatial.box_of(F.col("node"), cube)
+    x, y, z, edge = spatial.box_of("node", cube)
     out = nodes.withColumns({f"min_{a}": c for a, c in zip(spatial.AXES, (x, y, z), strict=True)} | {"edge": edge})
     return out.withColumns({f"max_{a}": F.col(f"min_{a}") + F.col("edge") for a in spatial.AXES} | {"spacing": F.col("edge") / grid_size}).drop("edge")
 

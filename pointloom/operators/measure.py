@@ -75,5 +75,5 @@ def ring(centre: tuple[float, float, float], normal: tuple[float, float, float],
 def session_gap(events: DataFrame, seconds: float = 0.15) -> DataFrame:
     """Hover events after which nothing came for `seconds`: those that are refined."""
     after = F.lead("ts").over(W.partitionBy("session").orderBy("event_id"))
-    wait = after.cast("double") - F.col("ts").cast("double")
+    wait = (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
     return events.withColumn("wait", wait).where(F.col("wait").isNull() | (F.col("wait") >= seconds)).drop("wait")

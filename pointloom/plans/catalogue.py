@@ -2,5 +2,620 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from ..functions import codec, geometry as g, spatial
+from ..functions.codec import Attribute
+from ..functions.spatial import AXES, Cube
+from ..operators import joins, lod, measure, octree, planefit, projects, sampling, stats
+from ..sources import las, rooms, views
+from ..streaming import sessions
+from . import oracles as o
+from .options import BuildOptions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+GRID, LEVEL, LEAF = 128, 7, 64
+_OPTIONS = BuildOptions(first_chunk_size=LEAF)
+CAMERA = g.Camera((250.0, -400.0, 300.0), (250.0, 125.0, 50.0))
+WIDTH, HEIGHT, THRESHOLD = 1024, 768, 1.0
+PLANE = ((100.0, 30.0, 20.0), (0.0, 0.6, 0.8))
+
+
+def _r(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Counts and statistics
+
+
+@query(f"WITH {o.points('line')}, {o.CUBE} SELECT {o.cell('x', GRID)} + {o.cell('y', GRID)} * {GRID} + {o.cell('z', GRID)} * {GRID * GRID} AS cell, count(*) AS num_points FROM pts, cube GROUP BY 1")
+def grid_cell_count(spark, sf_dir):
+    p = views.points_of_lineitem(spark, sf_dir)
+    return stats.grid_counts(p, Cube.around(p), GRID)
+
+
+@query(f"WITH {o.points('line')}, {o.CUBE} SELECT cx AS min_x, cy AS min_y, cz AS min_z, edge FROM cube")
+def cube_bounds(spark, sf_dir):
+    return stats.cube_bounds(views.points_of_lineitem(spark, sf_dir))
+
+
+@query("SELECT CAST(sum(greatest(a, b)) AS BIGINT) AS points FROM (SELECT count(*) AS a, count(DISTINCT l_partkey) AS b FROM lineitem GROUP BY l_linenumber)")
+def total_points(spark, sf_dir):
+    t = views.table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("legacy_count"), F.countDistinct("l_partkey").alias("extended_count"))
+    return stats.total_points(t)
+
+
+_NAMES = ["x", "y", "z", "intensity", "classification", "r", "g", "b"]
+
+
+@query(f"WITH {o.points('line')} " + " UNION ALL ".join(f"SELECT '{n}' AS attribute, CAST(min({n}) AS DOUBLE) AS min_value, CAST(max({n}) AS DOUBLE) AS max_value FROM pts" for n in _NAMES))
+def attr_min_max(spark, sf_dir):
+    return stats.attribute_ranges(views.points_of_lineitem(spark, sf_dir), _NAMES)
+
+
+@query(f"WITH {o.points('line')}, c AS (SELECT least(greatest(classification, 0), 255) AS bin, count(*) AS n FROM pts GROUP BY 1), b AS (SELECT unnest(range(256)) AS i) SELECT i AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n FROM b LEFT JOIN c ON b.i = c.bin")
+def class_histogram256(spark, sf_dir):
+    return stats.class_histogram(views.points_of_lineitem(spark, sf_dir)).select(F.posexplode("histogram").alias("bin", "n")).select(F.col("bin").cast("long").alias("bin"), "n")
+
+
+# Codec
+
+_TARGET = Attribute("position", "int32", 0.001, 10.0)
+
+
+def _encoded(axis: str) -> str:
+    return f"CAST(trunc(least(greatest(({axis} - 10.0::DOUBLE) / 0.001::DOUBLE, -2147483648.0), 2147483647.0)) AS INTEGER)"
+
+
+@query(f"WITH {o.points('ord')} SELECT point_id, {', '.join(f'{_encoded(a)} AS q{a}' for a in AXES)} FROM pts")
+def quantize_position(spark, sf_dir):
+    return views.points_of_orders(spark, sf_dir).select("point_id", *[codec.encode(F.col(a), _TARGET).alias(f"q{a}") for a in AXES])
+
+
+@query(f"WITH {o.points('ord')} SELECT point_id, {', '.join(f'round({_encoded(a)} * 0.001::DOUBLE + 10.0::DOUBLE, 6) AS {a}' for a in AXES)} FROM pts")
+def dequantize_position(spark, sf_dir):
+    return quantize_position(spark, sf_dir).select("point_id", *[_r(codec.decode(F.col(f"q{a}"), _TARGET)).alias(a) for a in AXES])
+
+
+@query(f"WITH {o.points('line')}, e AS (SELECT CAST(trunc(least(greatest((intensity - 300.0) / 2.0, 0), 255)) AS INTEGER) AS code FROM pts) SELECT code, count(*) AS n FROM e GROUP BY 1")
+def clamp_encode_u8(spark, sf_dir):
+    code = codec.encode(F.col("intensity").cast("double"), Attribute("intensity", "uint8", 2.0, 300.0)).cast("int")
+    return views.points_of_lineitem(spark, sf_dir).groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {o.points('line')} SELECT r, g, b, round(r / 65535.0, 6) AS rr, round(g / 65535.0, 6) AS gg, round(coalesce(nullif(b, 0) / 65535.0, 0.8::DOUBLE), 6) AS bb, count(*) AS n FROM pts GROUP BY 1, 2, 3, 4, 5, 6")
+def rgb_normalize(spark, sf_dir):
+    p = views.points_of_lineitem(spark, sf_dir)
+    return p.groupBy("r", "g", "b", _r(codec.colour_share(F.col("r"))).alias("rr"), _r(codec.colour_share(F.col("g"))).alias("gg"), _r(codec.colour_share(F.nullif("b", F.lit(0)))).alias("bb")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {o.points('line')} SELECT intensity, CAST(least(greatest(intensity - 20, 0), 255) * 257 AS INTEGER) AS wide, count(*) AS n FROM pts GROUP BY 1, 2")
+def rgb8_to_16(spark, sf_dir):
+    return views.points_of_lineitem(spark, sf_dir).groupBy("intensity", codec.colour_8_to_16(F.col("intensity") - 20).alias("wide")).agg(F.count("*").alias("n"))
+
+
+# Spatial keys
+
+
+def _coded(spark, sf_dir) -> tuple[DataFrame, Cube]:
+    p = views.points_of_orders(spark, sf_dir)
+    cube = Cube.around(p)
+    return octree.with_codes(p, cube), cube
+
+
+@query(f"WITH {o.base('ord')} SELECT point_id, morton FROM coded")
+def morton_code(spark, sf_dir):
+    return _coded(spark, sf_dir)[0].select("point_id", "morton")
+
+
+@query(f"WITH {o.base('ord')} SELECT point_id, 'r' || {o.digits('morton')} AS node FROM coded")
+def octal_node_path(spark, sf_dir):
+    return _coded(spark, sf_dir)[0].select("point_id", spatial.path(F.col("morton"), 21).alias("node"))
+
+
+@query(f"WITH {o.points('ord')}, {o.CUBE} SELECT point_id, CASE WHEN x >= cx + edge / 2 THEN 4 ELSE 0 END + CASE WHEN y >= cy + edge / 2 THEN 2 ELSE 0 END + CASE WHEN z >= cz + edge / 2 THEN 1 ELSE 0 END AS octant FROM pts, cube")
+def child_octant(spark, sf_dir):
+    p = views.points_of_orders(spark, sf_dir)
+    c = Cube.around(p)
+    return p.select("point_id", spatial.octant(*[F.col(a) for a in AXES], [c.low(a) + c.edge / 2 for a in AXES]).alias("octant"))
+
+
+def _chunked(spark, sf_dir):
+    coded, cube = _coded(spark, sf_dir)
+    total = coded.count()
+    plan = octree.chunk_plan(coded, LEVEL, _OPTIONS.chunk_cap(total))
+    return octree.with_chunks(coded, plan, LEVEL), plan, cube
+
+
+def _leafed(spark, sf_dir):
+    chunked, _, cube = _chunked(spark, sf_dir)
+    return octree.with_leaves(chunked, LEAF), cube
+
+
+def _nodes(spark, sf_dir):
+    leafed, cube = _leafed(spark, sf_dir)
+    return octree.nodes(octree.leaves(leafed)), cube
+
+
+_CHUNKS = f"WITH {o.base('ord')}, {o.chunks(LEVEL, 'CAST(floor(cnt.total / 20) AS BIGINT)')}"
+_LEAVES = f"{_CHUNKS}, {o.leaves(LEAF)}"
+_BOXED = f"{_LEAVES}, {o.boxes(GRID)}"
+_SEEN = f"{_BOXED}, seen AS (SELECT boxed.*, ({o.frustum(CAMERA.planes())}) AS visible, {o.screen_error(CAMERA.position, CAMERA.factor(HEIGHT))} AS error FROM boxed)"
+_SELECTED = (
+    f"{_SEEN}, up AS (SELECT node, substr(node, 1, CAST(k AS INTEGER)) AS ancestor FROM (SELECT node, unnest(range(1, length(node))) AS k FROM seen WHERE visible)), "
+    f"bad AS (SELECT DISTINCT up.node FROM up LEFT JOIN seen s ON up.ancestor = s.node WHERE NOT coalesce(s.visible AND s.error > {THRESHOLD}, false)), "
+    "chosen AS (SELECT * FROM seen WHERE visible AND node NOT IN (SELECT node FROM bad))"
+)
+
+
+@query(f"{_LEAVES}, {o.boxes(GRID)} SELECT node, {', '.join(f'round({k}_{a}, 6) AS {k}_{a}' for a in AXES for k in ('min', 'max'))} FROM boxed")
+def child_bbox(spark, sf_dir):
+    nodes, cube = _nodes(spark, sf_dir)
+    return lod.with_boxes(nodes, cube, GRID).select("node", *[_r(F.col(f"{k}_{a}")).alias(f"{k}_{a}") for a in AXES for k in ("min", "max")])
+
+
+# Octree
+
+
+@query(f"{_CHUNKS} SELECT chunk, CAST(level AS INTEGER) AS level, count(*) AS cells FROM plan GROUP BY 1, 2")
+def chunk_plan(spark, sf_dir):
+    plan = _chunked(spark, sf_dir)[1]
+    return plan.groupBy(octree.chunk_name(F.col("chunk"), F.col("level")).alias("chunk"), "level").agg(F.count("*").alias("cells"))
+
+
+@query(f"{_CHUNKS} SELECT point_id, chunk FROM chunked")
+def chunk_of_point(spark, sf_dir):
+    return _chunked(spark, sf_dir)[0].select("point_id", "chunk")
+
+
+@query(f"{_CHUNKS} SELECT chunk, count(*) AS num_points FROM chunked GROUP BY 1")
+def chunk_counts(spark, sf_dir):
+    return _chunked(spark, sf_dir)[0].groupBy("chunk").agg(F.count("*").alias("num_points"))
+
+
+@query(f"{_LEAVES} SELECT node, CAST(level AS INTEGER) AS level, num_points FROM leaf")
+def octree_leaves(spark, sf_dir):
+    return octree.leaves(_leafed(spark, sf_dir)[0])
+
+
+@query(f"{_LEAVES} SELECT node, level, is_leaf, subtree_points FROM nodes")
+def octree_nodes(spark, sf_dir):
+    return _nodes(spark, sf_dir)[0]
+
+
+@query(f"{_LEAVES} SELECT p.node, CAST(coalesce(bit_or(CAST(1 AS INTEGER) << CAST(right(c.node, 1) AS INTEGER)), 0) AS INTEGER) AS child_mask FROM nodes p LEFT JOIN nodes c ON length(c.node) > 1 AND substr(c.node, 1, length(c.node) - 1) = p.node GROUP BY 1")
+def child_mask(spark, sf_dir):
+    return octree.child_masks(_nodes(spark, sf_dir)[0])
+
+
+@query(f"{_LEAVES} SELECT substr(l.whole, 1, CAST(leaf_level AS INTEGER) + 1) AS node, count(*) AS num_points, {', '.join(f'{k}({a}) AS {k}_{a}' for a in AXES for k in ('min', 'max'))} FROM leafed l JOIN pts USING (point_id) GROUP BY 1")
+def node_tight_bbox(spark, sf_dir):
+    leafed = _leafed(spark, sf_dir)[0]
+    return octree.tight_boxes(leafed.withColumn("node", spatial.path(F.col("morton"), F.col("leaf_level"))))
+
+
+@query(f"{_LEAVES} SELECT max(level) AS depth FROM nodes")
+def tree_depth(spark, sf_dir):
+    return _nodes(spark, sf_dir)[0].agg(F.max("level").alias("depth"))
+
+
+@query(f"{_LEAVES}, d AS (SELECT DISTINCT level FROM nodes) SELECT level, round(edge / {GRID} / power(2.0, level), 6) AS spacing FROM d, cube")
+def level_spacing(spark, sf_dir):
+    nodes, cube = _nodes(spark, sf_dir)
+    return nodes.select("level").distinct().select("level", _r(F.lit(cube.edge / GRID) / F.pow(F.lit(2.0), F.col("level"))).alias("spacing"))
+
+
+_STEP = BuildOptions().step_size + 1
+
+
+@query(f"{_LEAVES} SELECT node, substr(node, 1, {_STEP}) AS batch, CAST(row_number() OVER (PARTITION BY substr(node, 1, {_STEP}) ORDER BY length(node), node) AS INTEGER) AS position FROM nodes")
+def hierarchy_bfs(spark, sf_dir):
+    return octree.breadth_first(_nodes(spark, sf_dir)[0].select("node", F.substring("node", 1, _STEP).alias("batch")))
+
+
+@query(f"{_LEAVES}, b AS (SELECT substr(node, 1, {_STEP}) AS batch, 22 * count(*) AS size FROM nodes GROUP BY 1) SELECT batch, CAST(size AS BIGINT) AS size, CAST(sum(size) OVER (ORDER BY length(batch), batch ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM b")
+def hierarchy_offsets(spark, sf_dir):
+    b = _nodes(spark, sf_dir)[0].groupBy(F.substring("node", 1, _STEP).alias("batch")).agg((F.count("*") * 22).alias("size"))
+    order = W.orderBy(F.length("batch"), "batch").rowsBetween(W.unboundedPreceding, 0)
+    return b.select("batch", "size", (F.sum("size").over(order) - F.col("size")).alias("start"))
+
+
+@query(f"{_CHUNKS}, c AS (SELECT DISTINCT chunk FROM plan) SELECT DISTINCT substr(chunk, 1, CAST(k AS INTEGER)) AS node FROM (SELECT chunk, unnest(range(1, length(chunk) + 1)) AS k FROM c)")
+def skeleton_ancestors(spark, sf_dir):
+    plan = _chunked(spark, sf_dir)[1]
+    return octree.skeleton(plan.select(octree.chunk_name(F.col("chunk"), F.col("level")).alias("chunk")).distinct())
+
+
+# Sampling
+
+
+@query(f"{_LEAVES} SELECT point_id, (row_number() OVER (PARTITION BY substr(whole, 1, CAST(leaf_level AS INTEGER) + 1) ORDER BY point_id) - 1) % 2 = 0 AS accepted FROM leafed")
+def stride_sample(spark, sf_dir):
+    leafed, cube = _leafed(spark, sf_dir)
+    return sampling.sample_groups(leafed.withColumn("group", spatial.path(F.col("morton"), F.col("leaf_level"))), 0.0, cube, 0, "random")
+
+
+def _sampled(spark, sf_dir, how: str) -> tuple[DataFrame, float]:
+    p = views.points_of_embeddings(spark, sf_dir)
+    cube = Cube.around(p)
+    spacing = cube.edge / 16
+    coded = octree.with_codes(p, cube).withColumn("group", octree.prefix("morton", 1))
+    return sampling.sample_groups(coded, spacing, cube, 1, how).join(coded, "point_id"), spacing
+
+
+@query()
+def poisson_sample(spark, sf_dir):
+    return _sampled(spark, sf_dir, "poisson")[0].select("point_id", "group", "accepted")
+
+
+@query(
+    f"WITH RECURSIVE {o.base('emb')}, g AS (SELECT *, morton // (CAST(1 AS BIGINT) << 60) AS grp, row_number() OVER (PARTITION BY morton // (CAST(1 AS BIGINT) << 60) ORDER BY point_id) AS k FROM coded), "
+    "walk(grp, k, kept) AS (SELECT grp, k, [point_id] FROM g WHERE k = 1 UNION ALL SELECT g.grp, g.k, CASE WHEN EXISTS (SELECT 1 FROM g h WHERE h.grp = g.grp AND list_contains(w.kept, h.point_id) "
+    "AND power(h.x - g.x, 2) + power(h.y - g.y, 2) + power(h.z - g.z, 2) < power(g.edge / 16, 2)) THEN w.kept ELSE list_append(w.kept, g.point_id) END FROM walk w JOIN g ON g.grp = w.grp AND g.k = w.k + 1), "
+    "fin AS (SELECT grp, arg_max(kept, k) AS kept FROM walk GROUP BY grp) SELECT g.point_id, g.grp AS \"group\", list_contains(f.kept, g.point_id) AS accepted FROM g JOIN fin f USING (grp)"
+)
+def order_greedy_sample(spark, sf_dir):
+    return _sampled(spark, sf_dir, "poisson_average")[0].select("point_id", "group", "accepted")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS violations")
+def poisson_invariant_violations(spark, sf_dir):
+    rows, spacing = _sampled(spark, sf_dir, "poisson")
+    kept = rows.where("accepted").select("group", "point_id", *AXES)
+    pairs = joins.radius_join(kept, kept.select(F.col("point_id").alias("query_id"), F.col("group").alias("q_group"), *[F.col(a).alias(f"q_{a}") for a in AXES]), spacing)
+    return pairs.where(f"`group` = q_group and query_id < point_id and d2 < {spacing * spacing!r}D").agg(F.count("*").alias("violations"))
+
+
+@query()
+def lod_owner_level(spark, sf_dir):
+    leafed, cube = _leafed(spark, sf_dir)
+    return sampling.lod_owners(leafed, cube, GRID).groupBy("leaf_level", "owner_level").agg(F.count("*").alias("num_points"))
+
+
+# Spatial joins
+
+_RADIUS = 0.05
+_PAIR = "power(p.x - q.x, 2) + power(p.y - q.y, 2) + power(p.z - q.z, 2)"
+
+
+def _queries(p: DataFrame) -> DataFrame:
+    return p.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), *[F.col(a).alias(f"q_{a}") for a in AXES])
+
+
+@query(f"WITH {o.points('emb')} SELECT q.point_id AS query_id, p.point_id, round({_PAIR}, 9) AS d2 FROM pts q JOIN pts p ON {_PAIR} <= {_RADIUS * _RADIUS!r}::DOUBLE")
+def radius_neighbors(spark, sf_dir):
+    p = views.points_of_embeddings(spark, sf_dir)
+    q = p.select(F.col("point_id").alias("query_id"), *[F.col(a).alias(f"q_{a}") for a in AXES])
+    return joins.radius_join(p, q, _RADIUS).select("query_id", "point_id", F.round("d2", 9).alias("d2"))
+
+
+@query(f"WITH {o.points('ord')}, r AS (SELECT q.point_id AS query_id, p.point_id, CAST(row_number() OVER (PARTITION BY q.point_id ORDER BY {_PAIR}, p.point_id) AS INTEGER) AS rank, {_PAIR} AS d2 FROM pts q, pts p WHERE q.point_id % 500 = 0) SELECT query_id, point_id, rank, round(d2, 6) AS d2 FROM r WHERE rank <= 8")
+def knn(spark, sf_dir):
+    """The eight nearest of every 500th order's point among all; the query set is part of the query."""
+    p = views.points_of_orders(spark, sf_dir)
+    return joins.nearest(p, _queries(p).where("query_id % 500 = 0"), 8).select("query_id", "point_id", "rank", F.round("d2", 6).alias("d2"))
+
+
+_SPHERE = ((250.0, 120.0, 50.0), 60.0)
+
+
+@query(f"{_LEAVES}, t AS (SELECT substr(l.whole, 1, CAST(leaf_level AS INTEGER) + 1) AS node, {', '.join(f'{k}({a}) AS {k}_{a}' for a in AXES for k in ('min', 'max'))} FROM leafed l JOIN pts USING (point_id) GROUP BY 1) SELECT node FROM t WHERE " + " + ".join(f"power(greatest(min_{a} - {c}, {c} - max_{a}, 0), 2)" for a, c in zip(AXES, _SPHERE[0], strict=True)) + f" <= {_SPHERE[1] ** 2}")
+def sphere_nodes(spark, sf_dir):
+    return joins.boxes_near(node_tight_bbox(spark, sf_dir), *_SPHERE).select("node")
+
+
+_BOX = ((50.0, 20.0, 10.0), (300.0, 200.0, 60.0))
+
+
+@query(f"WITH {o.points('ord')} SELECT point_id FROM pts WHERE " + " AND ".join(f"{a} BETWEEN {lo} AND {hi}" for a, lo, hi in zip(AXES, *_BOX, strict=True)))
+def bbox_filter(spark, sf_dir):
+    return joins.in_box(views.points_of_orders(spark, sf_dir), *_BOX).select("point_id")
+
+
+@query(f"{_LEAVES}, n AS (SELECT node, level FROM nodes WHERE level <= 4), w AS (SELECT point_id, 'r' || {o.digits('morton')} AS whole FROM coded) SELECT w.point_id, arg_max(n.node, n.level) AS node, CAST(max(n.level) AS INTEGER) AS level FROM w JOIN n ON starts_with(w.whole, n.node) GROUP BY 1")
+def point_location(spark, sf_dir):
+    nodes, cube = _nodes(spark, sf_dir)
+    return joins.locate(views.points_of_orders(spark, sf_dir), nodes.where("level <= 4"), cube)
+
+
+# Planes
+
+_MOMENTS = "count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz"
+_MOMENT_NAMES = ("cx", "cy", "cz", "xx", "xy", "xz", "yy", "yz", "zz")
+
+
+@query(f"WITH {o.points('emb')}, m AS (SELECT classification, {_MOMENTS} FROM pts GROUP BY 1) SELECT classification, n, {', '.join(f'round({c}, 9) AS {c}' for c in _MOMENT_NAMES)} FROM m")
+def plane_moments(spark, sf_dir):
+    m = stats.plane_moments(views.points_of_embeddings(spark, sf_dir), "classification")
+    return m.select("classification", "n", *[F.round(c, 9).alias(c) for c in _MOMENT_NAMES])
+
+
+@query(
+    f"WITH {o.points('emb')}, m AS (SELECT classification, {_MOMENTS} FROM pts GROUP BY 1 HAVING count(*) >= 6), a AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), "
+    "b AS (SELECT *, sqrt((power(xx - q, 2) + power(yy - q, 2) + power(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM a), "
+    "c AS (SELECT *, ((xx - q) / p * ((yy - q) / p * (zz - q) / p - yz / p * yz / p) - xy / p * (xy / p * (zz - q) / p - yz / p * xz / p) + xz / p * (xy / p * yz / p - (yy - q) / p * xz / p)) / 2 AS half FROM b), "
+    "d AS (SELECT *, q + 2 * p * cos(acos(least(greatest(half, -1), 1)) / 3 + 2 * pi() / 3) AS low FROM c), "
+    "e AS (SELECT classification, n, unnest([{'x': xy * yz - xz * (yy - low), 'y': xz * xy - (xx - low) * yz, 'z': (xx - low) * (yy - low) - xy * xy}, {'x': xy * (zz - low) - xz * yz, 'y': xz * xz - (xx - low) * (zz - low), 'z': (xx - low) * yz - xy * xz}, "
+    "{'x': (yy - low) * (zz - low) - yz * yz, 'y': yz * xz - xy * (zz - low), 'z': xy * yz - (yy - low) * xz}]) AS v FROM d), f AS (SELECT classification, n, arg_max(v, v.x * v.x + v.y * v.y + v.z * v.z) AS v FROM e GROUP BY 1, 2), "
+    "h AS (SELECT classification, n, v.x AS x, v.y AS y, v.z AS z FROM f), s AS (SELECT *, sqrt(x * x + y * y + z * z) * sign(CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN x WHEN abs(y) >= abs(z) THEN y ELSE z END) AS size FROM h) "
+    "SELECT classification, n, round(x / size, 5) AS nx, round(y / size, 5) AS ny, round(z / size, 5) AS nz FROM s"
+)
+def plane_fit(spark, sf_dir):
+    f = planefit.fit_planes(views.points_of_embeddings(spark, sf_dir), "classification", least=6)
+    return f.select("classification", "n", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@query(f"WITH {o.points('emb')} SELECT q.point_id AS query_id, count(*) AS n FROM pts q JOIN pts p ON {_PAIR} <= {0.1 * 0.1!r}::DOUBLE GROUP BY 1 HAVING count(*) >= 6")
+def pick_assist(spark, sf_dir):
+    """Neighbourhoods that are large enough for a plane, with the normal left to the tests."""
+    p = views.points_of_embeddings(spark, sf_dir)
+    q = p.select(F.col("point_id").alias("query_id"), *[F.col(a).alias(f"q_{a}") for a in AXES])
+    return planefit.fit_planes(joins.radius_join(p, q, 0.1), "query_id", least=6).select("query_id", "n")
+
+
+# Measurements
+
+
+def _grouped(size: int) -> str:
+    rows = f"k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY event_id) - 1 AS i FROM pts), gp AS (SELECT session, i // {size} AS measurement, count(*) = {size} AS complete, "
+    return rows + ", ".join(f"max(CASE WHEN i % {size} = {j} THEN {a} END) AS {a}{j}" for j in range(size) for a in AXES) + " FROM k GROUP BY 1, 2)"
+
+
+_C, _N = PLANE
+_OFF = "((x0 - {}) * {} + (y0 - {}) * {} + (z0 - {}) * {})".format(*[v for c, n in zip(_C, _N, strict=True) for v in (f"{c}::DOUBLE", f"{n}::DOUBLE")])
+
+
+@query(f"WITH {o.points('picks')}, {_grouped(2)} SELECT session, measurement, complete, round(sqrt(power(x0 - x1, 2) + power(y0 - y1, 2) + power(z0 - z1, 2)), 6) AS distance, round(CASE WHEN complete THEN abs({_OFF}) END, 6) AS perpendicular, round(sqrt({' + '.join(f'power({a}0 - {n}::DOUBLE * {_OFF} - {a}1, 2)' for a, n in zip(AXES, _N, strict=True))}), 6) AS in_plane FROM gp")
+def distance_measure(spark, sf_dir):
+    m = measure.distances(views.clicks(spark, sf_dir), *PLANE)
+    return m.select("session", "measurement", "complete", *[_r(F.col(c)).alias(c) for c in ("distance", "perpendicular", "in_plane")])
+
+
+def _unit(k: int) -> str:
+    n = f"sqrt({' + '.join(f'power({a}{k} - {a}1, 2)' for a in AXES)})"
+    return n
+
+
+_DOT = " + ".join(f"(({a}0 - {a}1) / CASE WHEN {_unit(0)} > 1e-12 THEN {_unit(0)} ELSE 1 END) * (({a}2 - {a}1) / CASE WHEN {_unit(2)} > 1e-12 THEN {_unit(2)} ELSE 1 END)" for a in AXES)
+
+
+@query(f"WITH {o.points('picks')}, {_grouped(3)} SELECT session, measurement, complete, round(CASE WHEN complete THEN degrees(acos(least(greatest({_DOT}, -1), 1))) END, 4) AS angle FROM gp")
+def angle_measure(spark, sf_dir):
+    return measure.angles(views.clicks(spark, sf_dir)).withColumn("angle", F.round("angle", 4))
+
+
+@query(f"WITH {o.points('picks')}, {_grouped(2)} SELECT session, measurement, format('{{:.3f}} m', sqrt(power(x0 - x1, 2) + power(y0 - y1, 2) + power(z0 - z1, 2))) AS label, round((x0 + x1) / 2, 6) AS x, round((y0 + y1) / 2, 6) AS y, round((z0 + z1) / 2, 6) AS z FROM gp WHERE complete")
+def distance_labels(spark, sf_dir):
+    return measure.distance_labels(views.clicks(spark, sf_dir)).withColumns({a: _r(F.col(a)) for a in AXES})
+
+
+@query(
+    f"WITH {o.points('picks')}, {_grouped(3)}, a AS (SELECT *, {_unit(0)} AS la, {_unit(2)} AS lb FROM gp WHERE complete), b AS (SELECT session, measurement, x1, y1, z1, 0.2 * least(la, lb) AS radius, "
+    + ", ".join(f"({a}0 - {a}1) / nullif(la, 0) AS u{a}, ({a}2 - {a}1) / nullif(lb, 0) AS v{a}" for a in AXES)
+    + " FROM a), c AS (SELECT *, least(greatest(ux * vx + uy * vy + uz * vz, -1), 1) AS co FROM b), d AS (SELECT *, vx - ux * co AS wx, vy - uy * co AS wy, vz - uz * co AS wz FROM c), e AS (SELECT *, sqrt(wx * wx + wy * wy + wz * wz) AS size FROM d), "
+    "f AS (SELECT *, unnest(range(17)) AS step FROM e WHERE size > 1e-9) SELECT session, measurement, CAST(step AS INTEGER) AS step, "
+    + ", ".join(f"round({a}1 + radius * (cos(acos(co) * step / 16) * u{a} + sin(acos(co) * step / 16) * w{a} / size), 5) AS {a}" for a in AXES)
+    + " FROM f"
+)
+def angle_arc(spark, sf_dir):
+    return measure.angle_arcs(views.clicks(spark, sf_dir)).withColumns({a: F.round(a, 5) for a in AXES})
+
+
+# Level of detail
+
+
+def _boxed(spark, sf_dir) -> DataFrame:
+    nodes, cube = _nodes(spark, sf_dir)
+    return lod.with_boxes(nodes, cube, GRID)
+
+
+@query(f"{_SEEN} SELECT node FROM seen WHERE visible")
+def frustum_nodes(spark, sf_dir):
+    return _boxed(spark, sf_dir).where(lod.in_frustum(CAMERA.planes())).select("node")
+
+
+@query(f"{_SEEN} SELECT node, round(error, 5) AS error FROM seen")
+def sse_nodes(spark, sf_dir):
+    return _boxed(spark, sf_dir).select("node", F.round(lod.screen_error(CAMERA, HEIGHT, F.col("spacing")), 5).alias("error"))
+
+
+@query(f"{_SELECTED} SELECT node, level FROM chosen")
+def lod_select(spark, sf_dir):
+    return lod.select_nodes(_boxed(spark, sf_dir), CAMERA, THRESHOLD, HEIGHT).select("node", "level")
+
+
+@query(f"{_SELECTED}, own AS (SELECT point_id, substr(whole, 1, CAST(leaf_level AS INTEGER) + 1) AS node FROM leafed) SELECT point_id, own.node FROM own JOIN chosen ON own.node = chosen.node")
+def lod_points(spark, sf_dir):
+    leafed, _ = _leafed(spark, sf_dir)
+    own = leafed.select("point_id", spatial.path(F.col("morton"), F.col("leaf_level")).alias("node"))
+    return own.join(lod_select(spark, sf_dir).select("node"), "node", "left_semi").select("point_id", "node")
+
+
+_RESIDENT = "r AS (SELECT user_id AS node, max(event_id) AS last_touch, bool_or(event_type = 'purchase' AND value > 450) AS touched FROM events GROUP BY 1)"
+
+
+@query(f"WITH {_RESIDENT}, o AS (SELECT *, row_number() OVER (ORDER BY last_touch, node) AS k FROM r WHERE NOT touched) SELECT node, last_touch FROM o WHERE k <= (SELECT count(*) FROM r) - 10")
+def budget_victims(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    resident = e.groupBy(F.col("user_id").alias("node")).agg(F.max("event_id").alias("last_touch"), F.max((F.col("event_type") == "purchase") & (F.col("value") > 450)).alias("touched"))
+    return lod.victims(resident, 10)
+
+
+_M = CAMERA.matrix()
+_SCREEN = (
+    f"cl AS (SELECT point_id, {o.clip(_M, 0)} AS cx_, {o.clip(_M, 1)} AS cy_, {o.clip(_M, 2)} AS cz_, {o.clip(_M, 3)} AS cw FROM pts), px AS (SELECT point_id, CAST(floor((cx_ / cw + 1) / 2 * {WIDTH}) AS BIGINT) AS px, "
+    f"CAST(floor((1 - cy_ / cw) / 2 * {HEIGHT}) AS BIGINT) AS py, cz_ / cw AS depth FROM cl WHERE cw > 1e-6), scr AS (SELECT * FROM px WHERE px >= 0 AND px < {WIDTH} AND py >= 0 AND py < {HEIGHT} AND depth BETWEEN -1 AND 1)"
+)
+
+
+@query(f"WITH {o.points('ord')}, {_SCREEN} SELECT point_id, px, py FROM scr")
+def screen_project(spark, sf_dir):
+    return lod.on_screen(views.points_of_orders(spark, sf_dir), CAMERA, WIDTH, HEIGHT).select("point_id", "px", "py")
+
+
+def _ray_sql() -> str:
+    import math
+
+    t = math.tan(math.radians(CAMERA.fov) / 2)
+    right, up, forward = CAMERA.axes()
+    u, v = f"((px + 0.5) / {WIDTH} * 2 - 1) * {t!r}::DOUBLE * {CAMERA.aspect!r}::DOUBLE", f"(1 - (py + 0.5) / {HEIGHT} * 2) * {t!r}::DOUBLE"
+    d = [f"({float(f)!r}::DOUBLE + {u} * {float(r)!r}::DOUBLE + {v} * {float(w)!r}::DOUBLE)" for f, r, w in zip(forward, right, up, strict=True)]
+    return f"WITH {o.points('ord')}, {_SCREEN}, ds AS (SELECT DISTINCT px, py FROM scr), ray AS (SELECT px, py, {', '.join(f'{e} AS d{a}' for e, a in zip(d, AXES, strict=True))} FROM ds) SELECT px, py, {', '.join(f'round(d{a} / sqrt(dx * dx + dy * dy + dz * dz), 6) AS d{a}' for a in AXES)} FROM ray"
+
+
+@query(_ray_sql())
+def screen_ray(spark, sf_dir):
+    pixels = screen_project(spark, sf_dir).select("px", "py").distinct()
+    return pixels.select("px", "py", *[_r(c).alias(f"d{a}") for c, a in zip(CAMERA.ray(F.col("px"), F.col("py"), WIDTH, HEIGHT), AXES, strict=True)])
+
+
+_CLICK = (512, 420)
+
+
+@query(f"WITH {o.points('ord')}, {_SCREEN}, f AS (SELECT px, py, first(point_id ORDER BY depth, point_id) AS point_id FROM scr WHERE abs(px - {_CLICK[0]}) <= 4 AND abs(py - {_CLICK[1]}) <= 4 GROUP BY 1, 2) SELECT point_id, px, py, CAST(power(px - {_CLICK[0]}, 2) + power(py - {_CLICK[1]}, 2) AS BIGINT) AS d2 FROM f ORDER BY d2, py, px LIMIT 1")
+def pick_nearest(spark, sf_dir):
+    return lod.pick(views.points_of_orders(spark, sf_dir), CAMERA, *_CLICK, WIDTH, HEIGHT)
+
+
+# Sessions
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """Each session's events ten at a time are a frame; a node is a value's hundred."""
+    k = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    return views.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.floor(k / 10).alias("frame"), F.concat(F.lit("r"), F.floor(F.col("value") / 10).cast("string")).alias("node"))
+
+
+_FRAMES = "fr AS (SELECT DISTINCT user_id AS session, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS frame, 'r' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS node FROM events)"
+
+
+@query()
+def lru_trace(spark, sf_dir):
+    return sessions.lru_trace(_frames(spark, sf_dir), 25)
+
+
+@query(
+    f"WITH {_FRAMES}, top AS (SELECT session, max(frame) AS last FROM fr GROUP BY 1) SELECT session, frame, node, 'load' AS change FROM fr a WHERE NOT EXISTS (SELECT 1 FROM fr b WHERE b.session = a.session AND b.node = a.node AND b.frame = a.frame - 1) "
+    "UNION ALL SELECT a.session, a.frame + 1, a.node, 'cull' FROM fr a JOIN top USING (session) WHERE a.frame < top.last AND NOT EXISTS (SELECT 1 FROM fr b WHERE b.session = a.session AND b.node = a.node AND b.frame = a.frame + 1)"
+)
+def active_diff(spark, sf_dir):
+    return sessions.active_diff(_frames(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT event_id, user_id AS session, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events) SELECT event_id, session FROM e WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) >= 60000000")
+def hover_refine(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), "ts")
+    return measure.session_gap(e, 60.0).select("event_id", "session")
+
+
+@query("SELECT user_id AS session, max(event_id) AS generation, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def latest_generation(spark, sf_dir):
+    return sessions.latest_generation(views.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("generation"), "value"))
+
+
+@query("WITH e AS (SELECT event_id, user_id AS session, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) SELECT event_id, session, event_type FROM e WHERE prev IS NULL OR prev <> event_type")
+def repick_dedupe(spark, sf_dir):
+    return sessions.repicks(views.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), "event_type"), "event_type")
+
+
+# Sets and membership
+
+
+@query(f"SELECT source, count(*) AS n, round(min(x), 6) AS min_x, round(max(z), 6) AS max_z FROM (SELECT 'a' AS source, x, z FROM ({o.ORD}) UNION ALL SELECT 'b', x, z FROM ({o.EMB})) GROUP BY 1")
+def union_sources(spark, sf_dir):
+    part = lambda p, n: p.select(F.lit(n).alias("source"), "point_id", *AXES)
+    both = las.union_sources([part(views.points_of_orders(spark, sf_dir), "a"), part(views.points_of_embeddings(spark, sf_dir), "b")])
+    return both.groupBy("source").agg(F.count("*").alias("n"), _r(F.min("x")).alias("min_x"), _r(F.max("z")).alias("max_z"))
+
+
+@query(f"{_SELECTED}, act AS (SELECT node FROM chosen) SELECT leaf.node, num_points FROM leaf WHERE node IN (SELECT node FROM act)")
+def active_semi(spark, sf_dir):
+    return octree_leaves(spark, sf_dir).join(lod_select(spark, sf_dir), "node", "left_semi").select("node", "num_points")
+
+
+@query(f"{_SELECTED} SELECT nodes.node FROM nodes WHERE node NOT IN (SELECT node FROM chosen)")
+def cull_anti(spark, sf_dir):
+    return octree_nodes(spark, sf_dir).join(lod_select(spark, sf_dir), "node", "left_anti").select("node")
+
+
+@query("SELECT true AS same, false AS other")
+def schema_equal(spark, sf_dir):
+    a, b, c = views.points_of_orders(spark, sf_dir), views.points_of_orders(spark, sf_dir).select("z", "y", "x", "point_id"), views.points_of_embeddings(spark, sf_dir)
+    return spark.range(1).select(F.lit(set(a.columns) == set(b.columns)).alias("same"), F.lit(set(a.columns) == set(c.columns)).alias("other"))
+
+
+# Projects
+
+_SLUG = "substr(coalesce(nullif(replace(regexp_replace({}, '[^A-Za-z0-9_ -]', '', 'g'), ' ', '_'), ''), 'project'), 1, 64)"
+
+
+@query(f"SELECT c_custkey AS key, {_SLUG.format('c_name || chr(32) || c_mktsegment')} AS slug FROM customer")
+def project_slug(spark, sf_dir):
+    return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), codec.slug(F.concat("c_name", F.lit(" "), "c_mktsegment")).alias("slug"))
+
+
+@query(f"WITH s AS (SELECT c_custkey AS key, {_SLUG.format('c_mktsegment')} AS slug FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY key) AS k FROM s) SELECT key, slug || CASE WHEN k > 1 THEN '-' || CAST(k AS VARCHAR) ELSE '' END AS folder FROM k")
+def slug_dedupe(spark, sf_dir):
+    return projects.unique_slugs(views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("name"))).select("key", "folder")
+
+
+@query("SELECT user_id AS path, max(event_id) AS at FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 10")
+def recent_top10(spark, sf_dir):
+    return projects.recent(views.table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("at")))
+
+
+@query("WITH p AS (SELECT o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS created_at FROM orders) SELECT key, created_at, CAST(row_number() OVER (ORDER BY created_at DESC, key) AS INTEGER) AS place FROM p")
+def projects_newest(spark, sf_dir):
+    return projects.newest_first(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("created_at")))
+
+
+# Documents and files
+
+
+@query(f"{_LEAVES} SELECT (SELECT count(*) FROM pts) AS points, round(edge / {GRID}, 6) AS spacing, round(cx, 6) AS min_x, round(cx + edge, 6) AS max_x, CAST((SELECT max(level) FROM nodes) AS BIGINT) AS depth FROM cube")
+def dataset_metadata_json(spark, sf_dir):
+    import json
+
+    from . import build
+
+    nodes, cube = _nodes(spark, sf_dir)
+    total, depth = views.points_of_orders(spark, sf_dir).count(), nodes.agg(F.max("level")).first()[0]
+    text = json.dumps(build.metadata("orders", cube, total, depth, _OPTIONS, []))
+    doc = spark.createDataFrame([(text,)], "doc string").select(F.from_json("doc", "points long, spacing double, boundingBox struct<min:array<double>,max:array<double>>, hierarchy struct<depth:long>").alias("d"))
+    return doc.select("d.points", _r(F.col("d.spacing")).alias("spacing"), _r(F.col("d.boundingBox.min")[0]).alias("min_x"), _r(F.col("d.boundingBox.max")[0]).alias("max_x"), F.col("d.hierarchy.depth").alias("depth"))
+
+
+@query()
+def las_roundtrip(spark, sf_dir):
+    """The grid fixture written as a point file and read again, in a folder that is gone afterwards."""
+    import tempfile
+
+    las.register(spark)
+    with tempfile.TemporaryDirectory() as folder:
+        las.write_las(views.grid_points(spark), f"{folder}/sample.las")
+        rows = spark.read.format("las").load(f"{folder}/sample.las").agg(F.count("*").alias("points"), F.min("x").alias("min_x"), F.max("z").alias("max_z"), F.sum("r").alias("sum_r"), F.max("return_number").alias("returns")).collect()
+    return spark.createDataFrame(rows)
+
+
+@query("SELECT count(*) AS lines, CAST(sum(CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END) AS BIGINT) AS bad, CAST(sum(CASE WHEN l_linenumber = 3 THEN 0 ELSE l_linenumber * 257 END) AS BIGINT) AS r, CAST(sum(CASE WHEN l_linenumber = 3 THEN 0 ELSE 65535 END) AS BIGINT) AS g FROM lineitem")
+def room_text_parse(spark, sf_dir):
+    t = views.table(spark, sf_dir, "lineitem")
+    y = F.when(F.col("l_linenumber") == 3, "?").otherwise(F.col("l_quantity").cast("string"))
+    lines = t.select(F.concat_ws(" ", F.col("l_orderkey").cast("string"), y, F.col("l_tax").cast("string"), F.col("l_linenumber").cast("string"), F.lit("300"), F.col("l_suppkey").cast("string")).alias("value"))
+    p = rooms.parse_lines(lines)
+    good = lambda c: F.sum(F.when(F.col("bad"), 0).otherwise(F.col(c))).cast("long").alias(c)
+    return p.agg(F.count("*").alias("lines"), F.sum(F.col("bad").cast("int")).cast("long").alias("bad"), good("r"), good("g"))
