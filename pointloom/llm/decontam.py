@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark passages are the index side. Their TF-IDF matrix, weighted by passage frequencies over all documents, gets a
-randomised SVD whose products Spark sums over partitions of passages; document passages (64 words, every 16 words, over
+randomised SVD whose products Spark sums over partitions of passages; document passages (72 words, every 24 words, over
 whole texts) are folded into that latent space and searched by cosine. What the search brings up is checked on words:
 the longest common subsequence of benchmark item and the document's region, and whether the item's answer (its last
 sentence) is there too, which lets a paraphrase through to a lower share.
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import _text
 from ._spark import blocks
 
-BLOCK, WINDOW_BLOCKS, ITEM_WINDOW = 16, 4, 48
+BLOCK, WINDOW_BLOCKS, ITEM_WINDOW = 24, 3, 48
 SHARD, RANK, POWER_ROUNDS = 512, 256, 2
 #: Words in more than this share of the blocks carry no weight.
-COMMON = 0.05
+COMMON = 0.02
 COSINE, COVERED = 0.35, 0.3
 SAME, PARAPHRASE, ANSWER, LEAST_WORDS = 0.8, 0.6, 0.8, 5
 _FILTER_BITS = 20
