@@ -43,9 +43,9 @@ def clamped(value: Column, type_: str) -> Column:
     if low is None:
         return value.cast(spark_type)
     if type_ in ("int64", "uint64"):
-        top = float(high)
-        whole = F.when(value >= F.lit(top), F.lit(high).cast("decimal(20,0)")).otherwise(F.greatest(value, F.lit(float(low))).cast("decimal(20,0)"))
-        return F.when(F.isnan(value), 0).otherwise(whole).cast(spark_type)
+        exact = lambda v: F.lit(str(v)).cast("decimal(20,0)")  # noqa: E731  doubles do not hold the ends
+        whole = F.when(value >= float(high), exact(high)).when(value <= float(low), exact(low)).otherwise(value.cast("decimal(20,0)"))
+        return F.when(F.isnan(value), exact(0)).otherwise(whole).cast(spark_type)
     return F.when(F.isnan(value), 0).otherwise(F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))).cast(spark_type)
 
 

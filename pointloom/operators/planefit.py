@@ -35,10 +35,10 @@ def fit_planes(groups: DataFrame, *keys: str, least: int = 3) -> DataFrame:
         return F.struct((x * x + y * y + z * z).alias("size"), x.alias("x"), y.alias("y"), z.alias("z"))
 
     m = m.withColumn("v", F.greatest(across(rows[0], rows[1]), across(rows[0], rows[2]), across(rows[1], rows[2])))
-    # On a line all products vanish: turn the line's direction, the largest row, by a right angle.
+    # On a line all products vanish but for the cosine's rounding: turn the line's direction, the largest row, by a right angle.
     line = F.greatest(*[F.struct((r[0] * r[0] + r[1] * r[1] + r[2] * r[2]).alias("size"), *[x.alias(n) for x, n in zip(r, "xyz", strict=True)]) for r in [(xx, xy, xz), (xy, yy, yz), (xz, yz, zz)]])
     m = m.withColumn("line", line)
-    flat = F.col("v.size") <= F.col("p") ** 4 * 1e-20
+    flat = F.col("v.size") <= F.col("p") ** 4 * 1e-14
     lx, ly, lz = (F.col(f"line.{k}") for k in "xyz")
     side = F.when(F.abs(lx) <= F.abs(lz), F.struct(F.lit(0.0).alias("x"), (-lz).alias("y"), ly.alias("z"))).otherwise(F.struct((-ly).alias("x"), lx.alias("y"), F.lit(0.0).alias("z")))
     axis = F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))

@@ -21,7 +21,7 @@ ORACLES: dict[str, str] = {}
 GRID, LEVEL, LEAF = 128, 7, 64
 _OPTIONS = BuildOptions(first_chunk_size=LEAF)
 CAMERA = g.Camera((250.0, -400.0, 300.0), (250.0, 125.0, 50.0))
-WIDTH, HEIGHT, THRESHOLD = 1024, 768, 1.0
+WIDTH, HEIGHT, THRESHOLD = 1024, 768, 0.2
 PLANE = ((100.0, 30.0, 20.0), (0.0, 0.6, 0.8))
 
 

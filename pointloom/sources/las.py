@@ -86,7 +86,7 @@ def _files(path: str) -> list[str]:
 
 @dataclass
 class Split(InputPartition):
-    header: Header
+    header: Header | None
     first: int
     rows: int
     serial: int
@@ -103,9 +103,11 @@ class _Reader(DataSourceReader):
             h = read_header(path)
             out += [Split(h, k, min(rows, h.points - k), serial + k) for k in range(0, h.points, rows)]
             serial += h.points
-        return out
+        return out or [Split(None, 0, 0, 0)]
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        if not split.rows:
+            return
         h = split.header
         kind = np.dtype({"names": [n for n, _ in FORMATS[h.point_format]], "formats": [t for _, t in FORMATS[h.point_format]], "offsets": np.cumsum([0, *(np.dtype(t).itemsize for _, t in FORMATS[h.point_format])])[:-1].tolist(), "itemsize": h.record})
         names = self.schema.names
