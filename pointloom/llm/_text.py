@@ -65,6 +65,21 @@ def words(texts: list[str | bytes | None], lower: bool = True) -> tuple[np.ndarr
     return h, first, data, begin, end
 
 
+def many_words(texts: list[str | None], size: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """words() of many texts, hashed about `size` characters at a time: hash of each word, number before each text."""
+    parts, firsts, base, at = [], [np.zeros(1, np.int64)], 0, 0
+    while at < len(texts):
+        to, total = at, 0
+        while to < len(texts) and (to == at or total + len(texts[to] or "") <= size):
+            total += len(texts[to] or "")
+            to += 1
+        h, first, *_ = words(texts[at:to])
+        parts.append(h)
+        firsts.append(first[1:] + base)
+        base, at = base + len(h), to
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate(firsts)
+
+
 def shingles(h: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all `size`-word shingles by text (with repeats), and the number before each text.
 

@@ -26,10 +26,10 @@ from ._spark import Scratch, blocks
 HEAD = 1 << 18
 VOCABULARY, CLASS, STATE = 4096, 64, 32
 #: The share of training documents (one in so many, by a hash of the id) that the network learns from, and its rounds.
-TRAIN_ONE_IN, ROUNDS, STREAMS, STEPS, RATE = 8, 2, 128, 16, 0.1
+TRAIN_ONE_IN, ROUNDS, STREAMS, STEPS, RATE = 16, 2, 128, 16, 0.1
 #: Documents of the sample for each training task; no more than MOST_TASKS tasks send weights to the driver.
 TASK_DOCS, MOST_TASKS = 2000, 48
-_BLOCK = 16 << 20
+_BLOCK = 12 << 20
 _END, _UNKNOWN = 0, 1
 
 
@@ -40,7 +40,7 @@ def held_out_column():
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
     for b in blocks(batches, size=_BLOCK // 2):
-        h = _text.words(b.column("text").to_pylist())[0]
+        h = _text.many_words(b.column("text").to_pylist())[0]
         words, n = np.unique(h, return_counts=True)
         for k in range(0, len(words), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000].view(np.int64)), pa.array(n[k : k + 50_000])], names=["word", "n"])
@@ -192,7 +192,7 @@ def _streams(ids: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np
         heapq.heappush(heap, (load + int(n[doc]), k))
     held.sort(key=lambda own: -int(n[own].sum()) if own else 0)
     steps = int(n[held[0]].sum()) if held[0] else 0
-    place = np.full((lanes, steps), -1, np.int64)
+    place = np.full((lanes, steps), -1, np.int32)
     reset = np.zeros((lanes, steps), bool)
     for k, own in enumerate(held):
         t = 0
@@ -236,7 +236,7 @@ class Vocabulary:
 
 def _tokens(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Network ids with an end after each text, tokens before each text; word hashes, words before each text."""
-    h, first, *_ = _text.words(texts)
+    h, first = _text.many_words(texts)
     at = first + np.arange(len(first))
     ids = np.full(at[-1], _END, np.int32)
     ids[np.arange(len(h)) + np.repeat(np.arange(len(texts)), np.diff(first))] = vocabulary.lookup(h)
@@ -332,7 +332,7 @@ def _scorer(shared, weights):
             end = np.log10(vocabulary.documents + 0.1)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.arange(serial, serial + n)), b.column("doc_id"), pa.array(np.diff(first) + 1), pa.array((total(known) + (vocabulary.documents > 0)).astype(np.int64)), pa.array(total(known, logs) + end),
-                pa.array(total(known & unknown, logs)), pa.array(total(unknown).astype(np.int64)), pa.array(value / np.log(10)), pa.ListArray.from_arrays(pa.array(offsets), tail),
+                pa.array(total(known & unknown, logs).astype(float)), pa.array(total(unknown).astype(np.int64)), pa.array((value / np.log(10)).astype(float)), pa.ListArray.from_arrays(pa.array(offsets), tail),
             ], names=["row", "doc_id", "n_tokens", "head_known", "head_log", "rare_log", "rare", "network", "tail"])
             serial += n
 
