@@ -26,7 +26,7 @@ from ._spark import Scratch, blocks
 HEAD = 1 << 18
 VOCABULARY, CLASS, STATE = 4096, 64, 32
 #: The share of training documents (one in so many, by a hash of the id) that the network learns from, and its rounds.
-TRAIN_ONE_IN, ROUNDS, STREAMS, STEPS, RATE = 16, 2, 128, 16, 0.1
+TRAIN_ONE_IN, ROUNDS, STREAMS, STEPS, RATE = 20, 2, 128, 16, 0.1
 #: Documents of the sample for each training task; no more than MOST_TASKS tasks send weights to the driver.
 TASK_DOCS, MOST_TASKS = 2000, 48
 _BLOCK = 12 << 20
@@ -247,7 +247,7 @@ def _train(sample: DataFrame, vocabulary: Vocabulary, model: Gru, tasks: int) ->
     context = sample.sparkSession.sparkContext
     shared = context.broadcast(vocabulary)
     flat = np.frombuffer(model.packed(), np.float32)
-    dealt = sample.repartition(tasks, F.xxhash64("doc_id"))
+    dealt = sample.repartition(tasks, F.xxhash64("doc_id")).coalesce(tasks)  # never more, whatever the session's settings
     for _ in range(ROUNDS):
         weights = context.broadcast(flat)
 
