@@ -125,7 +125,7 @@ class _Trainer:
 
     def __init__(self, model: Gru):
         self.model = model
-        self.seen = {k: np.full(x.shape, 0.1, np.float32) for k, x in model.w.items()}
+        self.seen = {k: np.full(x.shape, 1e-6, np.float32) for k, x in model.w.items()}
 
     def _apply(self, name: str, where, grad: np.ndarray) -> None:
         seen = self.seen[name]
