@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised kernel call works on; bounds a worker's scratch memory.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +40,11 @@ class Scratch:
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Let Spark delete shuffle files of tables that are written and of plans that nobody holds any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
@@ -64,3 +72,32 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
                 at, total = i, 0
             total += int(n)
         yield batch.slice(at)
+
+
+class Kept:
+    """What a Python worker keeps from task to task, such as a tokenizer's cache; dropped when the worker is idle.
+
+    Workers outlive their stage, and memory that they hold is missing in the next one.
+    """
+
+    def __init__(self, make: Callable, idle_seconds: float = 2.0):
+        self.make, self.idle = make, idle_seconds
+        self.held: dict = {}
+        self.timer: threading.Timer | None = None
+
+    @contextmanager
+    def use(self, key) -> Iterator:
+        if self.timer:
+            self.timer.cancel()
+        if key not in self.held:
+            self.held[key] = self.make(key)
+        try:
+            yield self.held[key]
+        finally:
+            self.timer = threading.Timer(self.idle, self.drop)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def drop(self) -> None:
+        self.held = {}
+        gc.collect()

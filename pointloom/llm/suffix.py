@@ -24,8 +24,13 @@ LENGTH, GRAM = 400, 100
 _REACH = LENGTH - GRAM  # an anchor's string starts at most so many bytes before it
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
-#: Rows whose surroundings are compared at a time; a larger group is held alone.
-_ROWS = 2000
+#: Rows whose surroundings are compared at a time, and the most that one group may have there.
+_ROWS = GROUP = 2000
+#: Starts in a range, by level of cutting.
+_WIDTHS = (_REACH + 1, 76, 19, 5, 2, 1)
+_ROW = "gram long, times long, doc long, key long, base int, low int, around binary"
+_ROW_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+_RUN = "doc long, key long, start int, end int"
 
 
 def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,35 +84,64 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc").take(who), b.column("key").take(who), pa.array((place - starts[doc]).astype(np.int32)), pa.array(gram), pa.array(span)], names=["doc", "key", "place", "gram", "span"])
 
 
+def _batches(rows: list[tuple], names: str, types: tuple, size: int = 5000) -> Iterator[pa.RecordBatch]:
+    names_only = [x.split()[0] for x in names.split(", ")]
+    for k in range(0, len(rows), size):
+        columns = zip(*rows[k : k + size], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names_only)
+
+
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a text with the places asked for -> a row for each place with its surroundings."""
+    """Rows of a text with the places asked for -> a row for each place with its surroundings.
+
+    base: where these start in the document; low: which of the REACH + 1 strings about the anchor is their first.
+    """
     for b in blocks(batches):
-        out: tuple[list, ...] = ([], [], [], [], [], [])
+        out = []
         for doc, key, text, spots in zip(*(b.column(c).to_pylist() for c in ("doc", "key", "text", "spots")), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for s in spots:
                 lo = max(0, s["place"] - _REACH)
-                for column, value in zip(out, (s["gram"], s["times"], doc, key, s["place"], data[lo : s["place"] + LENGTH]), strict=True):
-                    column.append(value)
-        for k in range(0, len(out[0]), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 5000], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["gram", "times", "doc", "key", "place", "around"])
+                out.append((s["gram"], s["times"], doc, key, lo, _REACH - (s["place"] - lo), data[lo : s["place"] + LENGTH]))
+        yield from _batches(out, _ROW, _ROW_TYPES)
+
+
+def _hash(data: bytes, *salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=b"".join(x.to_bytes(8, "little", signed=True) for x in salt)).digest(), "little", signed=True)
+
+
+def _cutter(width: int):
+    """Cuts surroundings into ranges of `width` starts, dealt by the bytes that all strings of a range share."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for gram, times, doc, key, base, low, around in zip(*(b.column(c).to_pylist() for c in (x.split()[0] for x in _ROW.split(", "))), strict=True):
+                last = low + len(around) - LENGTH
+                for cell in range(low // width, last // width + 1):
+                    first, end = max(low, cell * width), min(last, (cell + 1) * width - 1)
+                    shared = around[(cell + 1) * width - 1 - low : cell * width + LENGTH - low]
+                    own = around[first - low : end + LENGTH - low]
+                    out.append((_hash(shared, gram, cell), times, doc, key, base + first - low, first, own, _hash(own, first)))
+            yield from _batches(out, f"{_ROW}, span long", (*_ROW_TYPES, pa.int64()))
+
+    return cut
 
 
-def compare_groups(gram: np.ndarray, times: np.ndarray, place: np.ndarray, around: list[bytes]) -> list[list[tuple[int, int]]]:
+def compare_groups(gram: np.ndarray, times: np.ndarray, base: np.ndarray, low: np.ndarray, around: list[bytes]) -> list[list[tuple[int, int]]]:
     """For each row the runs (start, end in its document) of bytes in strings that another row of its gram has too.
 
-    Rows come sorted by gram. Rows that stand for several equal surroundings (times over 1) are compared, but get no runs.
+    Rows that stand for several equal surroundings (times over 1) are compared, but get no runs.
     """
     size = np.array([len(x) for x in around])
     at = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=at[1:])
     total, inverse = _hashed(np.frombuffer(b"".join(around), np.uint8))
-    before = np.minimum(place, _REACH)  # bytes before the anchor
     count = size - LENGTH + 1
     row = np.repeat(np.arange(len(size)), count)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = at[row] + inside
-    shift = (_REACH - before[row] + inside).astype(np.uint64)  # where the string lies about the anchor
+    shift = (low[row] + inside).astype(np.uint64)  # where the string lies about the anchor
     h = _strings(total, inverse, start, start + LENGTH) + gram.view(np.uint64)[row] * _U(0x9E3779B97F4A7C15) + shift * _U(0xC2B2AE3D27D4EB4F)
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
@@ -122,8 +156,7 @@ def compare_groups(gram: np.ndarray, times: np.ndarray, place: np.ndarray, aroun
         first = hit[new]
         last = hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
         for r, lo, hi in zip(row[first].tolist(), inside[first].tolist(), inside[last].tolist(), strict=True):
-            base = int(place[r] - before[r])
-            out[r].append((base + lo, base + hi + LENGTH))
+            out[r].append((int(base[r]) + lo, int(base[r]) + hi + LENGTH))
     return out
 
 
@@ -133,7 +166,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def out(table: pa.Table) -> pa.RecordBatch:
-        runs = compare_groups(*(table.column(c).to_numpy() for c in ("gram", "times", "place")), table.column("around").to_pylist())
+        runs = compare_groups(*(table.column(c).to_numpy() for c in ("gram", "times", "base", "low")), table.column("around").to_pylist())
         who = pa.array(np.repeat(np.arange(len(runs)), [len(r) for r in runs]), pa.int64())
         flat = [x for r in runs for x in r]
         return pa.RecordBatch.from_arrays([table.column("doc").combine_chunks().take(who), table.column("key").combine_chunks().take(who), pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32())], names=["doc", "key", "start", "end"])
@@ -191,17 +224,39 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63) + 1)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"))
     found = scratch.keep(docs.select("doc", "key", "text").mapInArrow(_scan, "doc long, key long, place int, gram long, span long"), "found")
     spans = scratch.keep(found.groupBy("gram", "span").agg(F.count("*").alias("times"), F.min(F.struct("doc", "key", "place")).alias("at")), "spans")
+    scratch.settle()
     whole = found.join(spans.where("times > 1").select("gram", "span"), ["gram", "span"], "left_semi")
     whole = whole.select("doc", "key", F.greatest(F.col("place") - _REACH, F.lit(0)).alias("start"), (F.col("place") + LENGTH).alias("end"))
+    runs = [scratch.keep(whole, "runs_whole")]
     mixed = spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     spots = spans.join(mixed, "gram", "left_semi").select("at.*", "gram", "times")
     spots = spots.groupBy("doc", "key").agg(F.collect_list(F.struct("place", "gram", "times")).alias("spots"))
     asked = docs.select("doc", "key", "text").join(spots, ["doc", "key"])
-    around = asked.mapInArrow(_around, "gram long, times long, doc long, key long, place int, around binary")
-    # A repeated row's text comes once for each; its surroundings have times > 1 and get no runs of their own.
-    partial = around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc long, key long, start int, end int")
-    runs = scratch.keep(whole.union(partial).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("runs")), "runs")
+    around = scratch.keep(asked.mapInArrow(_around, _ROW), "around0")
     scratch.drop("found", "spans")
+    scratch.settle()
+    for level in range(len(_WIDTHS)):
+        large = around.groupBy("gram").agg(F.count("*").alias("n")).where(f"n > {GROUP}").select("gram")
+        large = scratch.keep(large, f"large{level}")
+        some = bool(large.take(1))
+        small = around.join(large, "gram", "left_anti") if some else around
+        compared = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, _RUN)
+        runs.append(scratch.keep(compared, f"runs{level}"))
+        if not some:
+            break
+        parts = around.join(large, "gram", "left_semi").mapInArrow(_cutter(_WIDTHS[level + 1]), f"{_ROW}, span long")
+        parts = scratch.keep(parts, f"parts{level}")
+        told = parts.groupBy("gram", "span").agg(F.sum("times").alias("times"), F.min(F.struct("doc", "key", "base")).alias("at"))
+        parts = scratch.keep(parts.withColumnRenamed("times", "own").join(told, ["gram", "span"]), f"told{level}")
+        equal = parts.where("own = 1 and times > 1").select("doc", "key", F.col("base").alias("start"), (F.col("base") + F.length("around")).alias("end"))
+        runs.append(scratch.keep(equal, f"equal{level}"))
+        around = parts.where(F.struct("doc", "key", "base") == F.col("at")).select(*(x.split()[0] for x in _ROW.split(", ")))
+        around = scratch.keep(around.dropDuplicates(["gram", "doc", "key", "base"]), f"around{level + 1}")
+    every = runs[0]
+    for more in runs[1:]:
+        every = every.union(more)
+    scratch.settle()
+    runs = every.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     last = F.octet_length("text")
     out = docs.join(runs, ["doc", "key"], "left").select("doc_id", "text", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), F.least(r["end"], last).alias("end"))).alias("runs"))
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
