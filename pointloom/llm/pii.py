@@ -112,23 +112,24 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     out = [(s, e, _pattern(text, s, ""), _instance(text[s:e]), True, True) for s, _, e in base]
     taken = sorted((s, e) for s, _, e in base)
     at = k = 0
-    furthest = -1
     while m := _DIGIT.search(text, at):
         start = m.start()
         while start > at and not text[start - 1].isspace():
             start -= 1
         end = gap.start() if (gap := _BLANK.search(text, m.end())) else len(text)
         at = end
-        while k < len(taken) and taken[k][0] < end:
-            furthest = max(furthest, taken[k][1])
+        while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if furthest > start:
-            continue
+        inside = [x for x in taken[k : k + 64] if x[0] < end]  # spans within the word, or over its ends
         word = text[start:end]
         core = word.lstrip(_OPENING).rstrip(_CLOSING)
+        first = start + len(word) - len(word.lstrip(_OPENING))
+        last = first + len(core)
+        # A word that a base span covers is that span's; one that only holds such a span may be an identifier of its own.
+        if any(s < first or e > last or 4 * (e - s) > 3 * len(core) for s, e in inside):
+            continue
         if 6 <= len(core) <= 512:
-            first = start + len(word) - len(word.lstrip(_OPENING))
-            out.append((first, first + len(core), _pattern(text, start, text[start:first]), _instance(core), bool(_KEY_FORMAT.fullmatch(core)), False))
+            out.append((first, last, _pattern(text, start, text[start:first]), _instance(core), bool(_KEY_FORMAT.fullmatch(core)), False))
     return out
 
 
