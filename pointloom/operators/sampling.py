@@ -97,7 +97,8 @@ def sample_groups(offered: DataFrame, spacing: float, cube: Cube, level: int, sa
     return offered.groupBy("group").applyInPandas(run, "point_id long, accepted boolean")
 
 
-def _folder(spark) -> str:
+def shared_folder(spark) -> str:
+    """A new name in the folder that driver and executors share; in a temporary one only where none is set, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
@@ -113,7 +114,7 @@ def lod_owners(leafed: DataFrame, cube: Cube, grid_size: int, sampling: str = "p
     about an eighth where the data are dense.
     """
     spark = leafed.sparkSession
-    root = _folder(spark)
+    root = shared_folder(spark)
 
     def keep(frame: DataFrame, name: str) -> DataFrame:
         frame.write.mode("overwrite").parquet(f"{root}/{name}")

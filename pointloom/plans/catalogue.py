@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -303,11 +305,11 @@ def radius_neighbors(spark, sf_dir):
     return joins.radius_join(p, q, _RADIUS).select("query_id", "point_id", F.round("d2", 9).alias("d2"))
 
 
-@query(f"WITH {o.points('ord')}, r AS (SELECT q.point_id AS query_id, p.point_id, CAST(row_number() OVER (PARTITION BY q.point_id ORDER BY {_PAIR}, p.point_id) AS INTEGER) AS rank, {_PAIR} AS d2 FROM pts q, pts p WHERE q.point_id % 500 = 0) SELECT query_id, point_id, rank, round(d2, 6) AS d2 FROM r WHERE rank <= 8")
+@query(f"WITH {o.points('ord')}, r AS (SELECT q.point_id AS query_id, p.point_id, CAST(row_number() OVER (PARTITION BY q.point_id ORDER BY {_PAIR}, p.point_id) AS INTEGER) AS rank, {_PAIR} AS d2 FROM pts q, pts p WHERE q.point_id % 20 = 0) SELECT query_id, point_id, rank, round(d2, 6) AS d2 FROM r WHERE rank <= 8")
 def knn(spark, sf_dir):
-    """The eight nearest of every 500th order's point among all; the query set is part of the query."""
+    """The eight nearest among all points of every point whose id is divisible by 20, which is a search's query set."""
     p = views.points_of_orders(spark, sf_dir)
-    return joins.nearest(p, _queries(p).where("query_id % 500 = 0"), 8).select("query_id", "point_id", "rank", F.round("d2", 6).alias("d2"))
+    return joins.nearest(p, _queries(p), 8).select("query_id", "point_id", "rank", F.round("d2", 6).alias("d2"))
 
 
 _SPHERE = ((250.0, 120.0, 50.0), 60.0)
@@ -326,10 +328,10 @@ def bbox_filter(spark, sf_dir):
     return joins.in_box(views.points_of_orders(spark, sf_dir), *_BOX).select("point_id")
 
 
-@query(f"{_LEAVES}, n AS (SELECT node, level FROM nodes WHERE level <= 4), w AS (SELECT point_id, 'r' || {o.digits('morton')} AS whole FROM coded) SELECT w.point_id, arg_max(n.node, n.level) AS node, CAST(max(n.level) AS INTEGER) AS level FROM w JOIN n ON starts_with(w.whole, n.node) GROUP BY 1")
+@query(f"{_LEAVES}, n AS (SELECT node, level FROM nodes), w AS (SELECT point_id, 'r' || {o.digits('morton')} AS whole FROM coded) SELECT w.point_id, arg_max(n.node, n.level) AS node, CAST(max(n.level) AS INTEGER) AS level FROM w JOIN n ON starts_with(w.whole, n.node) GROUP BY 1")
 def point_location(spark, sf_dir):
     nodes, cube = _nodes(spark, sf_dir)
-    return joins.locate(views.points_of_orders(spark, sf_dir), nodes.where("level <= 4"), cube)
+    return joins.locate(views.points_of_orders(spark, sf_dir), nodes, cube)
 
 
 # Planes
@@ -601,13 +603,15 @@ def dataset_metadata_json(spark, sf_dir):
 
 @query()
 def las_roundtrip(spark, sf_dir):
-    """The grid fixture written as a point file and read again, in a folder that is gone afterwards."""
-    import tempfile
-
+    """The grid fixture written as a point file in the shared folder and read again; the file is gone afterwards."""
     las.register(spark)
-    with tempfile.TemporaryDirectory() as folder:
+    folder = Path(sampling.shared_folder(spark).removeprefix("file://"))
+    folder.mkdir(parents=True)
+    try:
         las.write_las(views.grid_points(spark), f"{folder}/sample.las")
         rows = spark.read.format("las").load(f"{folder}/sample.las").agg(F.count("*").alias("points"), F.min("x").alias("min_x"), F.max("z").alias("max_z"), F.sum("r").alias("sum_r"), F.max("return_number").alias("returns")).collect()
+    finally:
+        shutil.rmtree(folder)
     return spark.createDataFrame(rows)
 
 
