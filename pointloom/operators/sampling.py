@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.spatial import Cube
 from .octree import prefix
@@ -72,14 +73,14 @@ def _as_written(xyz: np.ndarray, spacing: float, order: np.ndarray, centre: np.n
 
 
 def sample_groups(offered: DataFrame, spacing: float, cube: Cube, level: int, sampling: str = "poisson", compat: str = "strict") -> DataFrame:
-    """offered (node code `group`, point_id, x, y, z) -> (point_id, accepted), one group at a time.
+    """offered (node code `group`, point_id, x, y, z, ...) with `accepted`, one group at a time.
 
     sampling: "random" is every second row by point_id, "poisson_average" is greedy by point_id, all else Poisson-disk by
     distance from the node's centre.
     """
     if sampling == "random":
         place = F.row_number().over(W.partitionBy("group").orderBy("point_id"))
-        return offered.select("point_id", ((place - 1) % 2 == 0).alias("accepted"))
+        return offered.withColumn("accepted", (place - 1) % 2 == 0)
     edge = cube.edge / 2**level
     low = np.array([cube.x, cube.y, cube.z])
 
@@ -92,9 +93,9 @@ def sample_groups(offered: DataFrame, spacing: float, cube: Cube, level: int, sa
         else:
             order = _centre_order(xyz, ids, centre)
             keep = _as_written(xyz, spacing, order, centre) if compat == "as_written" else poisson_accept(xyz, spacing, order)
-        return pd.DataFrame({"point_id": ids, "accepted": keep})
+        return pdf.assign(accepted=keep)
 
-    return offered.groupBy("group").applyInPandas(run, "point_id long, accepted boolean")
+    return offered.groupBy("group").applyInPandas(run, StructType([*offered.schema.fields, StructField("accepted", BooleanType())]))
 
 
 def shared_folder(spark) -> str:
@@ -127,8 +128,7 @@ def lod_owners(leafed: DataFrame, cube: Cube, grid_size: int, sampling: str = "p
     for level in range((depth or 0) - 1, -1, -1):
         spacing = cube.edge / grid_size / 2**level
         offered = moving.withColumn("group", prefix("morton", level))
-        told = moving.join(sample_groups(offered, spacing, cube, level, sampling, compat), "point_id")
-        told = keep(told, f"level{level}")
+        told = keep(sample_groups(offered, spacing, cube, level, sampling, compat).drop("group"), f"level{level}")
         done.append(told.where("not accepted").select("point_id", "morton", "leaf_level", F.lit(level + 1).alias("owner_level")))
         moving = told.where("accepted").drop("accepted").union(rows.where(f"leaf_level = {level}"))
     done.append(moving.select("point_id", "morton", "leaf_level", F.lit(0).alias("owner_level")))

@@ -248,7 +248,7 @@ def skeleton_ancestors(spark, sf_dir):
 @query(f"{_LEAVES} SELECT point_id, (row_number() OVER (PARTITION BY substr(whole, 1, CAST(leaf_level AS INTEGER) + 1) ORDER BY point_id) - 1) % 2 = 0 AS accepted FROM leafed")
 def stride_sample(spark, sf_dir):
     leafed, cube = _leafed(spark, sf_dir)
-    return sampling.sample_groups(leafed.withColumn("group", spatial.path(F.col("morton"), F.col("leaf_level"))), 0.0, cube, 0, "random")
+    return sampling.sample_groups(leafed.withColumn("group", spatial.path(F.col("morton"), F.col("leaf_level"))), 0.0, cube, 0, "random").select("point_id", "accepted")
 
 
 def _sampled(spark, sf_dir, how: str) -> tuple[DataFrame, float]:
@@ -256,7 +256,7 @@ def _sampled(spark, sf_dir, how: str) -> tuple[DataFrame, float]:
     cube = Cube.around(p)
     spacing = cube.edge / 16
     coded = octree.with_codes(p, cube).withColumn("group", octree.prefix("morton", 1))
-    return sampling.sample_groups(coded, spacing, cube, 1, how).join(coded, "point_id"), spacing
+    return sampling.sample_groups(coded, spacing, cube, 1, how), spacing
 
 
 @query()
