@@ -41,7 +41,7 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def settle(self) -> None:
-        """Let Spark delete shuffle files of tables that are written and of plans that nobody holds any more."""
+        """Let the driver drop plans that nobody holds any more, and Spark the shuffle files of these."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -89,10 +89,11 @@ class Kept:
     def use(self, key) -> Iterator:
         if self.timer:
             self.timer.cancel()
-        if key not in self.held:
-            self.held[key] = self.make(key)
+        kept = self.held.get(key)
+        if kept is None:
+            kept = self.held[key] = self.make(key)
         try:
-            yield self.held[key]
+            yield kept
         finally:
             self.timer = threading.Timer(self.idle, self.drop)
             self.timer.daemon = True

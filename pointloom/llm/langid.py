@@ -18,7 +18,7 @@ from . import _text
 from ._spark import blocks
 
 #: Documents that the machines are fitted on, over all languages: the bound of the sample. The share of a language is equal.
-MOST_TRAINING_DOCS = 2000
+MOST_TRAINING_DOCS = 1200
 UNDETERMINED = "und"
 _BITS = 13
 _SIZE = 2 << _BITS
@@ -84,7 +84,7 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 10.0) -> tu
     w = np.zeros(x.shape[1], np.float32)
     bias = 0.0
     ahead, ahead_bias, last, last_bias = w, bias, w, bias
-    step = 1.0 / (1.0 + 2 * c * float((weight * ((x**2).sum(axis=1) + 1)).sum()))
+    step = 1.0 / (1.0 + 2 * c * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()))
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ ahead + ahead_bias)) * weight * y
         w = ahead - step * (ahead - 2 * c * (slack @ x))
@@ -115,7 +115,7 @@ class Model:
             rows = np.flatnonzero((lang == a) | (lang == b))
             tasks.append((rows, np.where(lang[rows] == a, 1, -1)))
         for k, (rows, y) in enumerate(tasks):
-            w, self.bias[k] = _svm(x[rows], y.astype(np.float32))
+            w, self.bias[k] = _svm(x if isinstance(rows, slice) else x[rows], y.astype(np.float32))
             self.weights[k] = w * gain
         return self
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import blocks
+from ._spark import Kept, blocks
 
 SPACE = "▁"
 CACHE, CORE = 300_000, 240_000
@@ -117,7 +117,12 @@ def pieces_of(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(k), model.get_score(k)) for k in range(model.vocab_size())]
 
 
-_counters: dict[str, UnigramCounter] = {}
+_counters = Kept(lambda path: UnigramCounter(pieces_of(path)))
+
+
+def _kept() -> Kept:
+    """The worker's own; a task would otherwise carry the driver's."""
+    return _counters
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -128,11 +133,10 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = UnigramCounter(pieces_of(path))
-        for b in blocks(batches):
-            n, score = _counters[path].count(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(score)], names=["doc_id", "n_tokens", "score"])
+        with _kept().use(path) as counter:
+            for b in blocks(batches):
+                n, score = counter.count(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(score)], names=["doc_id", "n_tokens", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, score double")
