@@ -34,10 +34,14 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/pointloom-{uuid.uuid4().hex}"
+        self.written = 0
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         frame.write.mode("overwrite").parquet(path)
+        self.written += 1
+        if self.written % 3 == 0:
+            self.settle()
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def settle(self) -> None:

@@ -286,8 +286,15 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     grouped = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = scratch.keep(grouped.mapInArrow(_comparer(similarity), "u long, v long, sure boolean"), "pairs")
     more = scratch.keep(confirmed(pairs.where("not sure").select("u", "v")).union(pairs.where("sure").select("u", "v")), "links2")
-    links = links.union(more) if more.take(1) else None
-    final = joined if links is None else scratch.keep(connected_components(links, scratch, "cc2_"), "final")
+    final = joined
+    if more.take(1):  # links between components of the first round
+        label = joined.withColumnRenamed("component", "label")
+        between = more.join(label.toDF("u", "lu"), "u", "left").join(label.toDF("v", "lv"), "v", "left")
+        between = between.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+        merged = scratch.keep(connected_components(between, scratch, "cc2_"), "merged")
+        moved = joined.join(merged.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        fresh = merged.join(joined.select("id"), "id", "left_anti").select("id", "component")
+        final = scratch.keep(moved.union(fresh), "final")
     scratch.drop("shared", "texts")
     out = rows.join(final.toDF("rep", "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
