@@ -246,12 +246,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             break
         parts = around.join(large, "gram", "left_semi").mapInArrow(_cutter(_WIDTHS[level + 1]), f"{_ROW}, span long")
         parts = scratch.keep(parts, f"parts{level}")
-        told = parts.groupBy("gram", "span").agg(F.sum("times").alias("times"), F.min(F.struct("doc", "key", "base")).alias("at"))
-        parts = scratch.keep(parts.withColumnRenamed("times", "own").join(told, ["gram", "span"]), f"told{level}")
-        equal = parts.where("own = 1 and times > 1").select("doc", "key", F.col("base").alias("start"), (F.col("base") + F.length("around")).alias("end"))
+        entry = (F.sum("times").alias("times"), F.min(F.struct("doc", "key", "base", "low")).alias("at"), F.first("around").alias("around"))
+        told = scratch.keep(parts.groupBy("gram", "span").agg(*entry), f"told{level}")
+        equal = parts.where("times = 1").join(told.where("times > 1").select("gram", "span"), ["gram", "span"], "left_semi")
+        equal = equal.select("doc", "key", F.col("base").alias("start"), (F.col("base") + F.length("around")).alias("end"))
         runs.append(scratch.keep(equal, f"equal{level}"))
-        around = parts.where(F.struct("doc", "key", "base") == F.col("at")).select(*(x.split()[0] for x in _ROW.split(", ")))
-        around = scratch.keep(around.dropDuplicates(["gram", "doc", "key", "base"]), f"around{level + 1}")
+        around = told.select("gram", "times", "at.*", "around")
     every = runs[0]
     for more in runs[1:]:
         every = every.union(more)
