@@ -10,22 +10,27 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import Scratch, blocks
+from ._spark import Kept, Scratch, blocks
 
 CAPACITY, SLACK = 2048, 8
 #: Items that one task packs at a time.
 TASK_ITEMS = 200_000
-#: Distinct chunks that a worker keeps with their ids; those it met first, mostly the frequent ones, stay.
-CACHE, CORE = 360_000, 300_000
+#: Distinct chunks that a worker keeps with their ids, and distinct parts of chunks; those it met first, mostly the
+#: frequent ones, stay when there are too many.
+CACHE, CORE = 150_000, 110_000
+PARTS, PARTS_CORE = 700_000, 600_000
 END = 0
 
+_MARKS = frozenset(".,;:!?)|")
+
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _BIN = f"sequence_id long, fill int, pieces array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in _PIECE.split(', ')))}>>"
 _PIECE_TYPE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -84,8 +89,7 @@ class ChunkTokenizer:
     characters that Python and the tokenizer treat differently are encoded directly.
     """
 
-    _SPECIAL = "<|endoftext|>"
-    _ODD = re.compile("[\x1c-\x1f\x85]")
+    _ODD = r"[\x{1c}-\x{1f}\x{85}]"
     #: The pre-tokenizer's pattern, its classes written out for lower-cased Latin-1.
     _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
@@ -93,17 +97,14 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(self._SPECIAL)
         self.chunks, self.parts = _Ids(), _Ids()
 
     def _learn_parts(self) -> None:
         fresh, self.parts.numbers.fresh = self.parts.numbers.fresh, []
         for at in range(0, len(fresh), 4000):
             some = fresh[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(self._SPECIAL.join(some) + self._SPECIAL, add_special_tokens=False).ids, np.uint32)
-            stop = ids == self.separator
-            place = np.flatnonzero(stop)
-            self.parts.append(ids[~stop], np.diff(place, prepend=-1) - 1)
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)  # each part is one word to the pre-tokenizer
+            self.parts.append(np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
 
     def _learn_chunks(self) -> None:
         fresh, self.chunks.numbers.fresh = self.chunks.numbers.fresh, []
@@ -113,6 +114,12 @@ class ChunkTokenizer:
             if "<|" in chunk or not (chunk.isascii() or ord(max(chunk)) < 256):
                 direct[k] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32)
                 n.append(0)
+            elif chunk.isalpha():
+                which.append(number(chunk.lower()))
+                n.append(1)
+            elif chunk[-1:] in _MARKS and chunk[:-1].isalpha():
+                which += (number(chunk[:-1].lower()), number(chunk[-1]))
+                n.append(2)
             else:
                 own = list(map(number, self._PARTS.findall(chunk.lower())))
                 which += own
@@ -131,58 +138,65 @@ class ChunkTokenizer:
         for k, own in direct.items():
             lengths[k] = len(own)
         self.chunks.append(ids, lengths)
-        if len(self.parts.numbers) > CACHE:
-            self.parts.forget(CORE)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after another, and the number before each text."""
-        lists = [t.split() if t else [] for t in texts]
-        odd = [i for i, t in enumerate(texts) if t and self._ODD.search(t)]
-        for i in odd:
-            lists[i] = []
+        if len(self.parts.numbers) > PARTS:
+            self.parts.forget(PARTS_CORE)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after another, and the number before each text.
+
+        Arrow splits the texts and finds the distinct chunks, so that Python sees each of these once.
+        """
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        lists = pc.utf8_split_whitespace(texts)
+        lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
         if len(self.chunks.numbers) > CACHE:
             self.chunks.forget(CORE)
-        total = sum(map(len, lists))
-        which = np.fromiter(map(self.chunks.numbers.__getitem__, chain.from_iterable(lists)), np.int64, total)
+        distinct = np.fromiter(map(self.chunks.numbers.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        which = distinct[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self._ODD).to_numpy(zero_copy_only=False)).tolist()
+        if odd:
+            which[np.isin(np.repeat(np.arange(len(lengths)), lengths), odd)] = self.chunks.numbers[""]
         self._learn_chunks()
         ids, before = self.chunks.gather(which)
-        first = np.zeros(len(lists) + 1, np.int64)
-        np.cumsum([len(x) for x in lists], out=first[1:])
-        at = before[first]
+        at = before[np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))]
         for i in reversed(odd):
-            own = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
             ids = np.insert(ids, at[i], own)
             at[i + 1 :] += len(own)
         return ids, at
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
+_tokenizers = Kept(ChunkTokenizer)
 
 
-def _tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
-    return _tokenizers[path]
+def _kept() -> Kept:
+    """The worker's own; a task would otherwise carry the driver's."""
+    return _tokenizers
 
 
 def _cutter(path: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(path)
-        for b in blocks(batches):
-            docs = b.column("doc_id").to_pylist()
-            ids, at = encoder.encode(b.column("text").to_pylist())
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for k, doc in enumerate(docs):
-                own = np.append(ids[at[k] : at[k + 1]], np.uint32(END)).astype("<u4")
-                for piece, start in enumerate(range(0, len(own), CAPACITY)):
-                    part = own[start : start + CAPACITY]
-                    for column, value in zip(rows, (doc, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _PIECE_TYPE, strict=True)], names=[f.name for f in _PIECE_TYPE])
+        with _kept().use(path) as encoder:
+            for b in blocks(batches, size=2_000_000):
+                yield _pieces(encoder, b)
 
     return cut
 
 
+def _pieces(encoder: ChunkTokenizer, b: pa.RecordBatch) -> pa.RecordBatch:
+    docs = b.column("doc_id").to_pylist()
+    ids, at = encoder.encode(b.column("text"))
+    rows: tuple[list, ...] = ([], [], [], [], [])
+    for k, doc in enumerate(docs):
+        own = np.append(ids[at[k] : at[k + 1]], np.uint32(END)).astype("<u4")
+        for piece, start in enumerate(range(0, len(own), CAPACITY)):
+            part = own[start : start + CAPACITY]
+            for column, value in zip(rows, (doc, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _PIECE_TYPE, strict=True)], names=[f.name for f in _PIECE_TYPE])
+
+
 def best_fit(lengths: np.ndarray) -> np.ndarray:
     """The bin of each item, best-fit decreasing, bins of CAPACITY; ties go to the bin that got that room last."""
     bins = np.zeros(len(lengths), np.int64)
