@@ -339,6 +339,26 @@ def _scorer(shared, weights):
     return run
 
 
+def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts of the most frequent words, HEAD at most, by descending count.
+
+    The least count is found from a histogram of eighths of powers of two, so that nothing is sorted in one task.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    many = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, total = None, 0
+    for k, n in many:
+        total += n
+        if total > HEAD:
+            break
+        least = k
+    head = counts.where(step >= least) if least is not None else counts.limit(0)
+    head = head.toArrow()
+    words, n = head.column("word").to_numpy().astype(np.int64).view(np.uint64), head.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((words, -n))
+    return words[order], n[order]
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row.
 
@@ -354,8 +374,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     documents = training.count()
     facts = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     total, distinct = facts["n"] + documents, facts["v"] + (documents > 0)
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    vocabulary = Vocabulary(head.column("word").to_numpy().view(np.uint64), head.column("n").to_numpy(), documents)
+    vocabulary = Vocabulary(*_head(counts), documents)
 
     rare_n = total - documents - int(vocabulary.counts.sum())
     rare_v = facts["v"] - len(vocabulary.counts)
