@@ -51,3 +51,21 @@ def fit_planes(groups: DataFrame, *keys: str, least: int = 3) -> DataFrame:
 
 def pick_radius(spacing: float) -> float:
     return max(4 * spacing, 1e-3)
+
+
+def refined(points: DataFrame, picks: DataFrame, nodes: DataFrame, cube, radius: float, scope: str = "leaf", least: int = 6) -> DataFrame:
+    """Planes at picks (query_id, q_x, q_y, q_z) from the points within `radius`; fewer than `least` points give none.
+
+    scope "leaf": only points in the same deepest node of `nodes` as the pick; "all": points of every node.
+    """
+    from . import joins
+
+    near = joins.radius_join(points, picks, radius)
+    if scope == "leaf":
+        at = picks.select(F.col("query_id").alias("point_id"), *[F.col(f"q_{a}").alias(a) for a in "xyz"])
+        own = joins.locate(at, nodes, cube).select(F.col("point_id").alias("query_id"), F.col("node").alias("pick_node"))
+        theirs = joins.locate(points, nodes, cube).select("point_id", "node")
+        near = near.join(own, "query_id").join(theirs, "point_id").where("node = pick_node")
+    elif scope != "all":
+        raise ValueError(f"unknown scope {scope!r}")
+    return fit_planes(near, "query_id", least=least)

@@ -623,3 +623,41 @@ def room_text_parse(spark, sf_dir):
     p = rooms.parse_lines(lines)
     good = lambda c: F.sum(F.when(F.col("bad"), 0).otherwise(F.col(c))).cast("long").alias(c)
     return p.agg(F.count("*").alias("lines"), F.sum(F.col("bad").cast("int")).cast("long").alias("bad"), good("r"), good("g"))
+
+
+# Smaller ones
+
+_NEAR = 20.0
+
+
+@query(f"{_LEAVES}, w AS (SELECT coded.point_id, coded.x, coded.y, coded.z, l.node FROM coded JOIN (SELECT point_id, substr(whole, 1, CAST(leaf_level AS INTEGER) + 1) AS node FROM leafed) l USING (point_id)) SELECT q.point_id AS query_id, count(*) AS n FROM w q JOIN w p ON q.node = p.node AND {_PAIR} <= {_NEAR * _NEAR} WHERE q.point_id % 20 = 0 GROUP BY 1 HAVING count(*) >= 6")
+def refined_planes(spark, sf_dir):
+    """Planes from the pick's own leaf, for every point whose id is divisible by 20; the normals are left to the tests."""
+    leafed, cube = _leafed(spark, sf_dir)
+    names = octree.nodes(octree.leaves(leafed)).where("is_leaf = 1")
+    p = views.points_of_orders(spark, sf_dir)
+    return planefit.refined(p, _queries(p), names, cube, _NEAR).select("query_id", "n")
+
+
+@query("SELECT o_orderkey AS key, format('{:,}', CAST(floor(o_totalprice * 100) AS BIGINT)) AS shown FROM orders")
+def thousands_label(spark, sf_dir):
+    return views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), codec.thousands(F.floor(F.col("o_totalprice") * 100)).alias("shown"))
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def existing_projects(spark, sf_dir):
+    return views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).join(views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key", "left_semi")
+
+
+@query("SELECT epoch_us(ts) // 600000000 AS slot, count(*) AS frames FROM events GROUP BY 1")
+def frame_rate(spark, sf_dir):
+    """Events per ten minutes, as the frame counter counts frames per interval."""
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600000000)
+    return views.table(spark, sf_dir, "events").groupBy(slot.alias("slot")).agg(F.count("*").alias("frames"))
+
+
+@query("SELECT page_id, lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '[^/]*$')) AS stem FROM pages WHERE lower(url) LIKE 'https:%'")
+def file_filter(spark, sf_dir):
+    """Paths that pass a case-insensitive filter, with their last part in lower case."""
+    plain = F.split_part(F.split_part(F.col("url"), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
+    return views.table(spark, sf_dir, "pages").where(F.lower("url").like("https:%")).select("page_id", F.lower(F.regexp_extract(plain, "[^/]*$", 0)).alias("stem"))
