@@ -228,7 +228,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = found.join(spans.where("times > 1").select("gram", "span"), ["gram", "span"], "left_semi")
     whole = whole.select("doc", "key", F.greatest(F.col("place") - _REACH, F.lit(0)).alias("start"), (F.col("place") + LENGTH).alias("end"))
     runs = [scratch.keep(whole, "runs_whole")]
-    mixed = spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written first, so that the join can split a gram with very many surroundings.
+    mixed = scratch.keep(spans.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "mixed")
     spots = spans.join(mixed, "gram", "left_semi").select("at.*", "gram", "times")
     spots = spots.groupBy("doc", "key").agg(F.collect_list(F.struct("place", "gram", "times")).alias("spots"))
     asked = docs.select("doc", "key", "text").join(spots, ["doc", "key"])
