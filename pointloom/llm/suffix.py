@@ -23,7 +23,7 @@ from ._spark import Scratch, blocks
 LENGTH, GRAM = 400, 100
 _REACH = LENGTH - GRAM  # an anchor's string starts at most so many bytes before it
 _U = np.uint64
-_LOW = _U((1 << 24) - 1)
+_LOW = _U((1 << 32) - 1)
 #: Rows whose surroundings are compared at a time, and the most that one group may have there.
 _ROWS = GROUP = 2000
 #: Starts in a range, by level of cutting.
@@ -54,7 +54,7 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     total, inverse = _hashed(data)
     n = len(data) - GRAM + 1
     gram = _strings(total, inverse, slice(0, n), slice(GRAM, GRAM + n))
-    low = (gram & ~_LOW) | np.arange(n, dtype=np.uint64)  # the smallest, and of equals the leftmost
+    low = (gram & ~_LOW) | np.arange(n, dtype=np.uint64)  # the smallest by 32 bits, and of equals the leftmost
     size = 1
     while size * 2 <= _REACH + 1:
         low = np.minimum(low[:-size], low[size:])
@@ -77,8 +77,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
     for b in blocks(batches):
         data, starts = _text.joined(b.column("text").to_pylist())
-        if len(data) > int(_LOW):
-            raise ValueError("a text of over 16 MB")
         doc, place, gram, span = anchors(data, starts)
         who = pa.array(doc)
         yield pa.RecordBatch.from_arrays([b.column("doc").take(who), b.column("key").take(who), pa.array((place - starts[doc]).astype(np.int32)), pa.array(gram), pa.array(span)], names=["doc", "key", "place", "gram", "span"])
