@@ -25,9 +25,8 @@ from ._spark import blocks
 
 BLOCK, WINDOW_BLOCKS, ITEM_WINDOW = 24, 3, 48
 SHARD, RANK, POWER_ROUNDS = 512, 256, 2
-#: Words in more than this share of the blocks carry no weight.
-COMMON = 0.02
-COSINE, COVERED = 0.35, 0.3
+#: Share of a passage's weight that a near window must hold, and that makes any window a candidate.
+COSINE, COVERED, HELD = 0.35, 0.3, 0.5
 SAME, PARAPHRASE, ANSWER, LEAST_WORDS = 0.8, 0.6, 0.8, 5
 _FILTER_BITS = 20
 
@@ -129,7 +128,7 @@ def _weighted(index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _fit(spark: SparkSession, index: Index, df: np.ndarray, n_blocks: int) -> None:
     """Randomised SVD: range finder with power rounds, A'(A Q) summed over Spark's partitions of passages."""
-    index.idf = np.where(df <= COMMON * n_blocks, np.log((n_blocks + 1) / (df + 1.0)), 0).astype(np.float32)
+    index.idf = np.log1p((n_blocks + 1) / (df + 1.0)).astype(np.float32)  # at least log 2, however frequent the word
     m = len(index.rows)
     rank = min(RANK, m)
     rng = np.random.default_rng(7)
@@ -176,8 +175,6 @@ def _hits(index: Index, texts: list[str | None]) -> list[dict[int, tuple[float,
     h, first = _words(texts)
     owner, before = _block_ids(first)
     at, place = index.places(h)
-    keep = index.idf[place] > 0
-    at, place = at[keep], place[keep]
     if not len(at):
         return found
     own = owner[at]
@@ -189,10 +186,7 @@ def _hits(index: Index, texts: list[str | None]) -> list[dict[int, tuple[float,
     window = np.concatenate(([0.0], np.cumsum(energy)))
     window = window[np.minimum(np.arange(total) + WINDOW_BLOCKS, last)] - window[:total]
     item_energy = np.array([float((index.idf[np.unique(r)] ** 2).sum()) for r in index.rows])
-    able = item_energy > 0
-    if not able.any():
-        return found
-    some = np.flatnonzero(window >= COVERED**2 * item_energy[able].min())
+    some = np.flatnonzero(window >= COVERED**2 * item_energy.min())
     if not len(some):
         return found
     # Latent sums of the blocks that those windows need.
@@ -218,8 +212,10 @@ def _hits(index: Index, texts: list[str | None]) -> list[dict[int, tuple[float,
         length = np.linalg.norm(x, axis=1)
         cosine = dot / np.maximum(length[:, None] * index.norm[None, :], 1e-9)
         full = dot / np.maximum(np.sqrt(window[s])[:, None], 1e-9)
-        # A window must be near in the latent space and hold a good part of the passage's weight.
-        rows, cols = np.nonzero((cosine >= COSINE) & (full >= COSINE) & (dot >= COVERED * np.sqrt(item_energy)[None, :]))
+        # A window must hold half the passage's weight, or a good part of it and be near in the latent space: where a
+        # passage is frequent itself, rarer words around it outweigh it and no window with them is near.
+        held = dot / np.sqrt(item_energy)[None, :]
+        rows, cols = np.nonzero((held >= HELD) | ((held >= COVERED) & (cosine >= COSINE) & (full >= COSINE)))
         for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
             doc = int(text_of[s[r]])
             item, words = int(index.item[c]), index.words[c]

@@ -43,6 +43,25 @@ def test_planted_items_are_found_and_clean_documents_left_alone(spark, make, cor
     assert kept == {d for d, _ in docs} - set(planted)
 
 
+def test_an_item_in_a_third_of_the_rows_and_a_table_of_one_document(spark, make):
+    rng = random.Random(8)
+    items = [(k, " ".join(words(rng, 35)) + ".") for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rare = [w for _, t in items[1:] for w in t.split()]
+    docs, hot = [], set()
+    for k in range(240):
+        own = [rng.choice(rare) if rng.random() < 0.4 else w for w in words(rng, rng.choice([25, 65, 165, 265]))]
+        if k % 3 == 0:
+            at = rng.randrange(len(own))
+            own[at:at] = items[0][1].split()
+            hot.add((k, 0))
+        docs.append((k, " ".join(own)))
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(make(docs), bench).collect()} == hot
+    for n in (1, 3, 6):
+        few = [(k, " ".join([*words(rng, 50), items[k][1], *words(rng, 50)])) for k in range(n)]
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(make(few), bench).collect()} == {(k, k) for k in range(n)}
+
+
 def test_shards_find_the_same(spark, make, corpus, monkeypatch):
     monkeypatch.setattr(decontam, "SHARD", 12)
     items, docs, planted = corpus
