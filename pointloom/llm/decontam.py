@@ -6,8 +6,9 @@ whole texts) are folded into that latent space and searched by cosine. What the
 the longest common subsequence of benchmark item and the document's region, and whether the item's answer (its last
 sentence) is there too, which lets a paraphrase through to a lower share.
 
-The index is split into shards of at most SHARD passages, so that what a task holds is bounded whatever the benchmark's
-size; each shard is searched over all documents.
+The index is split into shards of at most RANK passages, so that the latent space holds each of them whole and what a
+task holds is bounded whatever the benchmark's size; each shard is searched over all documents. Only the shards of one
+item that has more passages are searched together.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from . import _text
 from ._spark import blocks
 
 BLOCK, WINDOW_BLOCKS, ITEM_WINDOW = 24, 3, 48
+#: Items that the driver holds at once (about three quarters of SHARD), passages of a shard.
 SHARD, RANK, POWER_ROUNDS = 512, 256, 2
 #: Share of a passage's weight that a near window must hold, and that makes any window a candidate.
 COSINE, COVERED, HELD = 0.35, 0.3, 0.5
@@ -230,8 +232,34 @@ def _hits(index: Index, texts: list[str | None]) -> list[dict[int, tuple[float,
     return found
 
 
-def _shards(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
-    """Fitted shards, one after another; each holds SHARD items at most."""
+def _hits_of(shards: list[Index], texts: list[str | None]) -> list[dict[int, tuple[float, float]]]:
+    """_hits of all shards; of an item that several hold, what covers most of it."""
+    found = _hits(shards[0], texts)
+    for other in shards[1:]:
+        for own, more in zip(found, _hits(other, texts), strict=True):
+            for item, what in more.items():
+                own[item] = max(own.get(item, what), what, key=lambda x: x[1])
+    return found
+
+
+def _cut(whole: Index) -> Iterator[list[Index]]:
+    """whole in shards of at most RANK passages; the shards of one item come together, shorter items are not split."""
+
+    def part(lo: int, hi: int) -> Index:
+        places = np.unique(np.concatenate(whole.rows[lo:hi]))
+        return Index(whole.item[lo:hi], whole.words[lo:hi], whole.answers[lo:hi], whole.vocabulary[places], [np.searchsorted(places, r) for r in whole.rows[lo:hi]])
+
+    # Of equal ids with different texts, passages are next to each other too; they count as one item.
+    edge = np.flatnonzero(np.append(True, whole.item[1:] != whole.item[:-1])).tolist() + [len(whole.item)]
+    lo = 0
+    for k in range(1, len(edge)):
+        if k + 1 == len(edge) or edge[k + 1] - lo > RANK:
+            yield [part(a, min(a + RANK, edge[k])) for a in range(lo, edge[k], RANK)]
+            lo = edge[k]
+
+
+def _shards(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:
+    """Fitted shards, one after another, or several of one long item."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     n = items.count()
@@ -240,10 +268,14 @@ def _shards(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
     for k in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
         rows = sorted((r["item_id"], r["text"]) for r in own.collect())
-        index = _index([r for r in rows if len(_item_words(r[1])) >= LEAST_WORDS])
-        if index.rows:
-            _fit(spark, index, *_frequencies(docs, index))
-            yield index
+        whole = _index([r for r in rows if len(_item_words(r[1])) >= LEAST_WORDS])
+        if not whole.rows:
+            continue
+        df, n_blocks = _frequencies(docs, whole)
+        for shards in _cut(whole):
+            for index in shards:
+                _fit(spark, index, df[np.searchsorted(whole.vocabulary, index.vocabulary)], n_blocks)
+            yield shards
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -255,13 +287,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, common double")
-    for index in _shards(rows, benchmark):
+    for shards in _shards(rows, benchmark):
 
-        def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shards: list[Index] = shards) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
             for b in blocks(batches):
                 ids = b.column("doc_id").to_pylist()
-                hits = [(ids[k], item, *what) for k, own in enumerate(_hits(index, b.column("text").to_pylist())) for item, what in sorted(own.items())]
+                hits = [(ids[k], item, *what) for k, own in enumerate(_hits_of(shards, b.column("text").to_pylist())) for item, what in sorted(own.items())]
                 if hits:
                     columns = list(zip(*hits, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "cosine", "common"])
@@ -273,12 +305,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item; all columns."""
     schema = T.StructType(list(docs.schema.fields))
-    for index in _shards(docs.select(F.col("text").cast("string").alias("text")), benchmark):
+    for shards in _shards(docs.select(F.col("text").cast("string").alias("text")), benchmark):
 
-        def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def clean(batches: Iterator[pa.RecordBatch], shards: list[Index] = shards) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
             for b in blocks(batches):
-                yield b.filter(pa.array([not own for own in _hits(index, b.column("text").to_pylist())]))
+                yield b.filter(pa.array([not own for own in _hits_of(shards, b.column("text").to_pylist())]))
 
         docs = docs.mapInArrow(clean, schema)
     return docs

@@ -62,6 +62,26 @@ def test_an_item_in_a_third_of_the_rows_and_a_table_of_one_document(spark, make)
         assert {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(make(few), bench).collect()} == {(k, k) for k in range(n)}
 
 
+def test_long_items_fill_several_shards(spark, make, monkeypatch):
+    monkeypatch.setattr(decontam, "RANK", 16)
+    rng = random.Random(11)
+    items = [(k, " ".join(words(rng, 200)) + ".") for k in range(12)] + [(12, " ".join(words(rng, 700)) + ".")]  # 8 and 29 passages
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs, planted = [(k, " ".join(words(rng, 200))) for k in range(30)], set()
+    for k in range(13):
+        own = docs[k][1].split()
+        w = [x if k % 2 or j % 8 != 3 else f"other{j}" for j, x in enumerate(items[k][1].split())]
+        docs[k] = (k, " ".join([*own[:77], *w, *own[77:]]))
+        planted.add((k, k))
+    docs.append(docs[12])
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.find_contamination(make(docs), bench).collect())
+    assert got == sorted([*planted, (12, 12)])
+    whole = decontam._index(items)
+    for shards in decontam._cut(whole):
+        assert all(len(x.rows) <= 16 for x in shards)
+    assert sum(len(x.rows) for shards in decontam._cut(whole) for x in shards) == len(whole.rows)
+
+
 def test_shards_find_the_same(spark, make, corpus, monkeypatch):
     monkeypatch.setattr(decontam, "SHARD", 12)
     items, docs, planted = corpus
