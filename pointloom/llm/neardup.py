@@ -4,7 +4,7 @@ A document's set of distinct five-word shingles is sketched by SYMBOLS minhash v
 sketches is the number of symbols that differ; pairs within DISTANCE are all found: with CHUNKS chunks at least one
 chunk has at most DISTANCE // CHUNKS = 1 error, and each chunk is indexed once for each place where that error may be.
 At a Jaccard similarity of 0.85 a symbol differs with a probability under 0.15, so a linked pair is outside DISTANCE
-with a probability under 1e-5. Every link is then confirmed on the full shingle sets.
+with a probability under 1e-5. Below 0.85 the WIDE sketch holds the same bound at 0.80. Every link is then confirmed on the full shingle sets.
 
 Documents with equal sets are one class from the start. Within an index bucket, members are first compared with the
 bucket's smallest id only (as many pairs as rows); what these links join needs no further comparison, and only pairs
@@ -17,6 +17,7 @@ between different components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,22 @@ BLOCK_ROWS = 2048
 #: Shingles by which a family's member may differ from the reference and still carry the difference.
 MOST_CHANGES = 512
 _U = np.uint64
-_FACTORS = np.random.default_rng(85).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
-_EDGES = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
+
+
+class Plan(NamedTuple):
+    """A sketch's symbols, the distance within which pairs are found, and the chunks that are indexed."""
+
+    symbols: int
+    distance: int
+    chunks: int
+
+    def edges(self) -> np.ndarray:
+        return np.linspace(0, self.symbols, self.chunks + 1).round().astype(int)
+
+
+USUAL, WIDE = Plan(SYMBOLS, DISTANCE, CHUNKS), Plan(96, 37, 19)
+_FACTORS = np.random.default_rng(85).integers(1, 1 << 63, WIDE.symbols, dtype=np.uint64) * _U(2) + _U(1)
+_EDGES = USUAL.edges()
 
 _SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
 
@@ -43,11 +58,15 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return _text.unique_by_text(*_text.shingles(h, first))
 
 
-def _sketch(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(at) - 1, SYMBOLS), dtype=np.uint8)
+def plan_of(similarity: int) -> Plan:
+    return USUAL if similarity >= 85 else WIDE
+
+
+def _sketch(values: np.ndarray, at: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+    out = np.zeros((len(at) - 1, symbols), dtype=np.uint8)
     rows = np.flatnonzero(np.diff(at) > 0)
     if len(rows):
-        for k in range(SYMBOLS):
+        for k in range(symbols):
             out[rows, k] = (np.minimum.reduceat(values * _FACTORS[k], at[rows]) >> _U(20)).astype(np.uint8)
     return out
 
@@ -58,15 +77,18 @@ def _totals(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (total[at[1:]] - total[at[:-1]]).view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    for b in blocks(batches):
-        values, at = shingle_sets(b.column("text").to_pylist())
-        sketch = _sketch(values, at)
-        yield pa.RecordBatch.from_arrays([
-            b.column("doc_id"), pa.array(np.diff(at)), pa.array(_totals(_text.mix(values + _U(1)), at)), pa.array(_totals(_text.mix(values ^ _U(0x5851F42D4C957F2D)), at)),
-            pa.array([x.tobytes() for x in sketch], pa.binary()),
-        ], names=["doc_id", "n_shingles", "k1", "k2", "sketch"])
+def _sketcher(symbols: int):
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for b in blocks(batches):
+            values, at = shingle_sets(b.column("text").to_pylist())
+            sketch = _sketch(values, at, symbols)
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id"), pa.array(np.diff(at)), pa.array(_totals(_text.mix(values + _U(1)), at)), pa.array(_totals(_text.mix(values ^ _U(0x5851F42D4C957F2D)), at)),
+                pa.array([x.tobytes() for x in sketch], pa.binary()),
+            ], names=["doc_id", "n_shingles", "k1", "k2", "sketch"])
+
+    return sketches
 
 
 def _confirmer(similarity: int):
@@ -92,11 +114,11 @@ def _confirmer(similarity: int):
     return confirm
 
 
-def _keys() -> list:
+def _keys(plan: Plan) -> list:
     """One index key for each chunk and each place of its one allowed error."""
-    out = []
-    for c in range(CHUNKS):
-        lo, hi = int(_EDGES[c]), int(_EDGES[c + 1])
+    out, edges = [], plan.edges()
+    for c in range(plan.chunks):
+        lo, hi = int(edges[c]), int(edges[c + 1])
         for hole in range(lo, hi):
             out.append(F.struct(F.lit(hole).alias("hole"), F.xxhash64(F.lit(hole), F.expr(f"substring(sketch, {lo + 1}, {hole - lo})"), F.expr(f"substring(sketch, {hole + 2}, {hi - hole - 1})")).alias("key")))
     return out
@@ -149,12 +171,14 @@ class _Exact:
 
 
 def _pairs_of(b: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs within the groups (rows next to each other) of different components, within DISTANCE: u, v, confirmed.
+    """Pairs within the groups (rows next to each other) of different components, within the plan's distance: u, v, confirmed.
 
     A pair that several index keys bring together is looked at for the first of these keys only. Where a group is made of
     two blocks, pairs are between the blocks. Pairs of one family are decided here and given only where they join something.
     """
-    sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint8).reshape(b.num_rows, SYMBOLS)
+    plan = plan_of(similarity)
+    edges = plan.edges()
+    sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint8).reshape(b.num_rows, plan.symbols)
     ids, comp, hole, key, lo, hi, side, n = (b.column(c).to_numpy() for c in ("id", "component", "hole", "key", "lo", "hi", "side", "n_shingles"))
     new = np.ones(len(ids), bool)
     new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
@@ -173,16 +197,16 @@ def _pairs_of(b: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray, np.
         keep = (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
         i, j = i[keep], j[keep]
         differ = sketch[i] != sketch[j]
-        keep = differ.sum(axis=1) <= DISTANCE
+        keep = differ.sum(axis=1) <= plan.distance
         i, j, differ = i[keep], j[keep], differ[keep]
         at = to
         if not len(i):
             continue
-        errors = np.add.reduceat(differ.astype(np.int8), _EDGES[:-1], axis=1)
+        errors = np.add.reduceat(differ.astype(np.int8), edges[:-1], axis=1)
         chunk = np.argmax(errors <= 1, axis=1)
-        inside = (np.arange(SYMBOLS)[None, :] >= _EDGES[chunk][:, None]) & (np.arange(SYMBOLS)[None, :] < _EDGES[chunk + 1][:, None])
+        inside = (np.arange(plan.symbols)[None, :] >= edges[chunk][:, None]) & (np.arange(plan.symbols)[None, :] < edges[chunk + 1][:, None])
         wrong = np.argmax(differ & inside, axis=1)
-        first = np.where(errors[np.arange(len(i)), chunk] == 0, _EDGES[chunk], wrong)
+        first = np.where(errors[np.arange(len(i)), chunk] == 0, edges[chunk], wrong)
         keep = first == hole[i]
         i, j = i[keep], j[keep]
         family = exact.known[i] & exact.known[j] & (exact.ref[i] == exact.ref[j])
@@ -236,10 +260,11 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     """
     if similarity < 80:
         raise ValueError("the sketch distance guarantees pairs of 80 percent at least")
+    plan = plan_of(similarity)
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(docs.mapInArrow(_sketches, _SKETCH), "sketches")
+    rows = scratch.keep(docs.mapInArrow(_sketcher(plan.symbols), _SKETCH), "sketches")
     known = rows.where("doc_id is not null and n_shingles > 0")
     classes = scratch.keep(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "sets")
     rows = scratch.keep(rows.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "classes")
@@ -248,7 +273,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     # Sets that differ have at most 5/6 in common when one of them has five shingles or fewer.
     least = 6 if similarity > 83 else 1
     reps = rows.where(f"sketch is not null and n_shingles >= {least}").select(F.col("rep").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"])
-    index = reps.select("id", F.inline(F.array(*_keys())))
+    index = reps.select("id", F.inline(F.array(*_keys(plan))))
     heads = index.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.keep(index.join(heads, "key").select("hole", "key", "n", "head", "id"), "shared")
 

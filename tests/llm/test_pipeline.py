@@ -1,5 +1,6 @@
 """The pipeline's stages against what brute force says about their input."""
 
+import math
 import random
 
 import pytest
@@ -61,3 +62,24 @@ def test_repeated_rows_and_rows_without_id(spark, make, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, make([]), folder).count() == 0
     assert neardup.near_duplicates(make(rows)).count() == 4
+
+
+def test_near_copies_from_four_fifths_on_are_dropped(spark, make, folder):
+    rng = random.Random(12)
+    rows = []
+    for k in range(20):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        edited = list(w)
+        for at in (20, 70, 120, 170):  # 20 of 196 shingles change: 176 of 216 in common
+            edited[at] = "changed"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edited))]
+    got = corpus_pipeline.drop_near_duplicates(spark, make(rows), folder).collect()
+    want, _ = brute(rows, 80)
+    assert sorted(r["doc_id"] for r in got) == sorted(d for d in want if want[d] == d) == list(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("plan, least", [(neardup.USUAL, 0.85), (neardup.WIDE, 0.8)])
+def test_a_link_at_the_threshold_is_hardly_missed(plan, least):
+    n, p = plan.symbols, 1 - least
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(plan.distance + 1, n + 1)) < 1e-5
+    assert plan.distance // plan.chunks == 1
