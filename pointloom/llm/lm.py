@@ -3,8 +3,7 @@
 Token counts are taken over all training documents. The most frequent words form the model's vocabulary, ordered by
 frequency and cut into classes of CLASS words; the output is a class softmax times a softmax within the class. All other
 words are one unknown token, times the word's own share among the unknown ones by its corpus count, so that the model
-gives every text a probability. Training is truncated backpropagation in numpy over a fixed share of the training
-documents, so it grows with the corpus: each round, Spark's tasks train on their part from the common weights, which are
+gives every text a probability. Training is truncated backpropagation in numpy over all training documents: each round, Spark's tasks train on their part from the common weights, which are
 then averaged. Scoring carries the state through each whole document.
 
 Counts of the HEAD most frequent words travel to the tasks; the counts of all other words are joined by a shuffle.
@@ -25,9 +24,9 @@ from ._spark import Scratch, blocks
 
 HEAD = 1 << 18
 VOCABULARY, CLASS, STATE = 4096, 64, 32
-#: The share of training documents (one in so many, by a hash of the id) that the network learns from, and its rounds.
-TRAIN_ONE_IN, ROUNDS, STREAMS, STEPS, RATE = 20, 2, 128, 16, 0.1
-#: Documents of the sample for each training task; no more than MOST_TASKS tasks send weights to the driver.
+#: The network learns from every training document; TRAIN_ONE_IN says so and is not a setting.
+TRAIN_ONE_IN, ROUNDS, STREAMS, STEPS, RATE = 1, 2, 128, 16, 0.1
+#: Training documents for each task; no more than MOST_TASKS tasks send weights to the driver.
 TASK_DOCS, MOST_TASKS = 2000, 48
 _BLOCK = 12 << 20
 _END, _UNKNOWN = 0, 1
@@ -243,11 +242,11 @@ def _tokens(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray
     return ids, at, h, first
 
 
-def _train(sample: DataFrame, vocabulary: Vocabulary, model: Gru, tasks: int) -> None:
-    context = sample.sparkSession.sparkContext
+def _train(training: DataFrame, vocabulary: Vocabulary, model: Gru, tasks: int) -> None:
+    context = training.sparkSession.sparkContext
     shared = context.broadcast(vocabulary)
     flat = np.frombuffer(model.packed(), np.float32)
-    dealt = sample.repartition(tasks, F.xxhash64("doc_id")).coalesce(tasks)  # never more, whatever the session's settings
+    dealt = training.repartition(tasks, F.xxhash64("doc_id")).coalesce(tasks)  # never more, whatever the session's settings
     for _ in range(ROUNDS):
         weights = context.broadcast(flat)
 
@@ -380,9 +379,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rare_v = facts["v"] - len(vocabulary.counts)
     share = np.concatenate(([documents + 0.1, rare_n + 0.1], vocabulary.counts + 0.1)) if total else np.ones(2)
     model = Gru(share / share.sum())
-    place = F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(TRAIN_ONE_IN))
-    tasks = int(np.clip(documents // TRAIN_ONE_IN // TASK_DOCS, 1, MOST_TASKS))
-    _train(training.where(place == 0), vocabulary, model, tasks)
+    _train(training, vocabulary, model, int(np.clip(documents // TASK_DOCS, 1, MOST_TASKS)))
 
     context = spark.sparkContext
     scored = docs.mapInArrow(_scorer(context.broadcast(vocabulary), context.broadcast(np.frombuffer(model.packed(), np.float32))), _SCORED)

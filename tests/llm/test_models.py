@@ -156,6 +156,14 @@ def test_network_learns_an_order(make, monkeypatch):
     assert len(out) and out.score.sum() > 0.9 * out.base_score.sum()
 
 
+def test_network_learns_from_every_training_document(make, monkeypatch):
+    seen = []
+    train = lm._train
+    monkeypatch.setattr(lm, "_train", lambda training, *rest: (seen.extend(r["doc_id"] for r in training.collect()), train(training, *rest)))
+    lm.score_documents(make([(k, "a b c d e f g h") for k in range(200)])).count()
+    assert sorted(seen) == [k for k in range(200) if not held(k, 10)]
+
+
 def test_edits_neighbours_and_likeness(make):
     rng = random.Random(4)
     rows = [(k * 37 % 1009, " ".join(f"é{rng.randrange(300)}" for _ in range(rng.randrange(0, 200)))) for k in range(300)]
