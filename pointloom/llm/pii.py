@@ -71,7 +71,7 @@ def ips(text: str) -> Iterator[tuple[int, int]]:
             at += len(part) + 1
             if run == 4:
                 four = parts[len(starts) - 4 : len(starts)]
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in four):
+                if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in four)):
                     yield starts[-4], starts[-1] + len(part)
                 run = 0
 
