@@ -1,17 +1,32 @@
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from pointloom.llm import suffix
+from pointloom.llm import _text, suffix
 
 from .conftest import ODD
 
 
+def chosen(b):
+    """Grams of 26 words, the smallest by hash of each 26 in a row, found one passage of 51 words at a time."""
+    h = _text.words([b], lower=False)[0]
+    grams = _text.shingles(h, np.array([0, len(h)]), 26)[0].tolist()
+    out = set()
+    for k in range(len(h) - 50):
+        out.add(min(enumerate(grams[k : k + 26]), key=lambda x: (x[1] >> 32, x[0]))[1])
+    return out
+
+
 def brute(rows):
     texts = [(d, (t or "").encode()) for d, t in rows]
+    holders = defaultdict(set)
+    for d, b in set(texts):
+        for g in chosen(b):
+            holders[g].add((d, b))
+    copies = Counter(texts)
     seen = Counter(b[k : k + 400] for _, b in texts for k in range(len(b) - 399))
     out = []
     for d, b in texts:
@@ -21,7 +36,8 @@ def brute(rows):
                 gone[k : k + 400] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        shared = copies[d, b] * sum(len(holders[g]) > 1 for g in chosen(b))
+        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), shared))
     return sorted(out, key=str)
 
 
@@ -52,3 +68,42 @@ def test_repeated_long_rows(make):
     rows = [(1, "abc " * 200), (1, "abc " * 200), (None, "xyz1" * 150), (None, "xyz1" * 150)]
     got = suffix.remove_repeats(make(rows)).collect()
     assert all(r["n_removed"] == r["n_bytes"] and r["n_spans"] == 1 for r in got)
+
+
+def test_passages_of_over_50_words_in_two_documents_are_told(make):
+    """Also those under 400 bytes, which stay."""
+    rng = random.Random(2)
+    words = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(900)}" for _ in range(n)]
+    passage = words(51)
+    assert len(" ".join(passage)) < 400
+    rows = [(k, " ".join(words(150) + (passage if k in (3, 8) else []) + words(90))) for k in range(12)] + [(20, " ".join(passage[:25] + words(80)))]
+    got = {r["doc_id"]: (r["n_removed"], r["n_shared"] > 0) for r in suffix.remove_repeats(make(rows)).collect()}
+    assert got == {k: (0, k in (3, 8)) for k, _ in rows}
+
+
+def test_multikey_quicksort_and_prefix_nodes():
+    rng = random.Random(4)
+    parts = [bytes(rng.choice(b"\0ab") for _ in range(rng.randrange(40))) for _ in range(300)] + [b"ab" * 17, b"ab" * 17, b""]
+    group = np.sort(np.array([rng.randrange(4) for _ in parts]))
+    order, common = suffix.sort_strings(group, parts, 40)
+    want = sorted(range(len(parts)), key=lambda k: (group[k], parts[k]))
+    assert [parts[k] for k in order] == [parts[k] for k in want]
+
+    def shared(a, b):
+        k = 0
+        while k < min(len(a), len(b)) and a[k] == b[k]:
+            k += 1
+        return k
+
+    assert common[1:].tolist() == [shared(parts[a], parts[b]) if group[a] == group[b] else 0 for a, b in zip(order, order[1:], strict=False)]
+    nodes = set(zip(*(x.tolist() for x in suffix.prefix_nodes(common, 2)), strict=True))
+    brute_nodes = set()
+    for k in range(1, len(parts)):
+        if (c := int(common[k])) >= 2:
+            lo, hi = k - 1, k
+            while common[lo] >= c:
+                lo -= 1
+            while hi + 1 < len(parts) and common[hi + 1] >= c:
+                hi += 1
+            brute_nodes.add((lo, hi, c))
+    assert nodes == brute_nodes
