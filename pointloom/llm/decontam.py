@@ -1,14 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages are the index side. Their TF-IDF matrix, weighted by passage frequencies over all documents, gets a
-randomised SVD whose products Spark sums over partitions of passages; document passages (72 words, every 24 words, over
-whole texts) are folded into that latent space and searched by cosine. What the search brings up is checked on words:
-the longest common subsequence of benchmark item and the document's region, and whether the item's answer (its last
-sentence) is there too, which lets a paraphrase through to a lower share.
-
-The index is split into shards of at most RANK passages, so that the latent space holds each of them whole and what a
-task holds is bounded whatever the benchmark's size; each shard is searched over all documents. Only the shards of one
-item that has more passages are searched together.
+The space is a randomised SVD of TF-IDF passages: those of the benchmark and a bounded sample of the documents', at equal
+weight, with word frequencies over all documents. Its products are summed over Spark's partitions of passages, and its
+rank is RANK, below their number. Benchmark passages are the index side; the passages of whole documents (72 words, every
+24 words) are folded into the space and searched by cosine, and by how much of the benchmark passage they hold there. What
+the search brings up is checked on words: the longest common subsequence of benchmark item and the document's region, and
+whether the item's answer (its last sentence) is there too, which lets a paraphrase through to a lower share.
+
+One scan of the documents gives the frequencies and the sample, and a second one searches. Benchmarks of more than ITEMS
+items are taken in parts of that size, each with two scans, so that what the driver and a task hold is bounded.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import _text
-from ._spark import blocks
+from ._spark import Scratch, blocks
 
 BLOCK, WINDOW_BLOCKS, ITEM_WINDOW = 24, 3, 48
-#: Items that the driver holds at once (about three quarters of SHARD), passages of a shard.
-SHARD, RANK, POWER_ROUNDS = 512, 256, 2
-#: Share of a passage's weight that a near window must hold, and that makes any window a candidate.
+#: Items that the driver holds at once (about three quarters of it), passages of one index, dimensions of its space, and
+#: document passages that the space is fitted on, of which a task offers OFFERED.
+ITEMS, PASSAGES, RANK, POWER_ROUNDS, SAMPLE, OFFERED = 2048, 8192, 128, 2, 4096, 64
+#: Cosine that makes a window a candidate where it holds COVERED of a passage; HELD of it is enough for any window.
 COSINE, COVERED, HELD = 0.35, 0.3, 0.5
 SAME, PARAPHRASE, ANSWER, LEAST_WORDS = 0.8, 0.6, 0.8, 5
 _FILTER_BITS = 20
@@ -46,6 +47,7 @@ class Index:
     fold: np.ndarray | None = None  # vocabulary x rank: weight times right singular vectors
     latent: np.ndarray | None = None  # passages x rank
     norm: np.ndarray | None = None
+    size: np.ndarray | None = None  # of the passages' weights, by length
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of h are in the vocabulary, and their places there."""
@@ -95,65 +97,104 @@ def _block_ids(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(before[:-1], n) + place // BLOCK, before
 
 
-def _frequencies(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
-    """In how many blocks of all documents each vocabulary word is, and how many blocks there are."""
+def _offered(h: np.ndarray, at: np.ndarray, place: np.ndarray, owner: np.ndarray, before: np.ndarray) -> list[tuple[int, bytes]]:
+    """Of the passages, OFFERED with the smallest hashes of their first words: hash, vocabulary places."""
+    edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    order = _text.mix(np.add.reduceat(h, edge)).view(np.int64)
+    own = owner[at]
+    out = []
+    for k in np.argsort(order)[:OFFERED].tolist():
+        end = min(k + WINDOW_BLOCKS, int(before[np.searchsorted(before, k, "right")]))
+        words = place[np.searchsorted(own, k) : np.searchsorted(own, end)]
+        if len(words):
+            out.append((int(order[k]), words.astype(np.int32).tobytes()))
+    return out
+
+
+def _frequencies(docs: DataFrame, index: Index, scratch: Scratch, name: str) -> tuple[np.ndarray, int, list[np.ndarray]]:
+    """In how many blocks of all documents each vocabulary word is, how many blocks there are, and a sample of passages."""
     size = len(index.vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         total, n = np.zeros(size, np.int64), 0
+        offered: dict[int, bytes] = {}
         for b in blocks(batches):
             h, first = _words(b.column("text").to_pylist())
+            if not len(h):
+                continue
             owner, before = _block_ids(first)
             at, place = index.places(h)
             n += int(before[-1])
             total += np.bincount(np.unique(owner[at] * size + place) % size, minlength=size)
+            offered.update(_offered(h, at, place, owner, before))
+            offered = dict(sorted(offered.items())[:OFFERED])
         where = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1)), pa.array(np.append(total[where], n))], names=["place", "n"])
+        places = [*where.tolist(), -1, *[-2] * len(offered)]
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([*total[where].tolist(), n, *offered], pa.int64()), pa.array([None] * (len(where) + 1) + list(offered.values()), pa.binary())], names=["place", "n", "words"])
 
+    counted = scratch.keep(docs.select("text").mapInArrow(count, "place long, n long, words binary"), name)
     df, blocks_n = np.zeros(size, np.int64), 0
-    for r in docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+    for r in counted.where("place >= -1").groupBy("place").agg(F.sum("n").alias("n")).collect():
         if r["place"] < 0:
             blocks_n = r["n"]
         else:
             df[r["place"]] = r["n"]
-    return df, blocks_n
+    sample = counted.where("place = -2").groupBy("n").agg(F.min("words").alias("words")).orderBy("n").limit(SAMPLE).collect()
+    return df, blocks_n, [np.frombuffer(r["words"], np.int32).astype(np.int64) for r in sample]
 
 
-def _weighted(index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary places and TF-IDF weights of passage k, of length one."""
-    place, tf = np.unique(index.rows[k], return_counts=True)
+def _weighted(index: Index, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Vocabulary places and TF-IDF weights of a passage, of length one, and their length before."""
+    place, tf = np.unique(row, return_counts=True)
     value = (1 + np.log(tf)) * index.idf[place]
-    norm = np.linalg.norm(value)
-    return place, (value / norm if norm else value).astype(np.float32)
+    norm = float(np.linalg.norm(value))
+    return place, (value / norm if norm else value).astype(np.float32), norm
 
 
-def _fit(spark: SparkSession, index: Index, df: np.ndarray, n_blocks: int) -> None:
-    """Randomised SVD: range finder with power rounds, A'(A Q) summed over Spark's partitions of passages."""
+def _fit(spark: SparkSession, index: Index, df: np.ndarray, n_blocks: int, sample: list[np.ndarray]) -> None:
+    """Randomised SVD: range finder with power rounds, A'(A Q) and (A Q)'(A Q) summed over Spark's partitions of passages."""
     index.idf = np.log1p((n_blocks + 1) / (df + 1.0)).astype(np.float32)  # at least log 2, however frequent the word
-    m = len(index.rows)
-    rank = min(RANK, m)
+    own, rows = len(index.rows), index.rows + sample
+    m = len(rows)
+    share = np.float32(len(sample) / own if sample else 1.0)  # of a benchmark passage, so that both sides weigh the same
     rng = np.random.default_rng(7)
-    q = rng.standard_normal((len(index.vocabulary), rank)).astype(np.float32)
+    q = rng.standard_normal((len(index.vocabulary), max(1, min(RANK, m - 1)))).astype(np.float32)
     passages = spark.range(0, m, 1, max(1, min(8, m // 32)))
-
-    def product(batches: Iterator[pa.RecordBatch], q=None) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(q)
-        for b in batches:
-            for k in b.column("id").to_pylist():
-                place, value = _weighted(index, k)
-                total[place] += value[:, None] * (value @ q[place])[None, :]
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+    shared = spark.sparkContext.broadcast((rows, index.idf))
+
+    def summed(q: np.ndarray, inside: bool) -> np.ndarray:
+        held = spark.sparkContext.broadcast(q)
+
+        def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (rows, idf), q = shared.value, held.value
+            like = Index(np.zeros(0), [], [], np.zeros(0), [], idf)
+            total = np.zeros((q.shape[1],) * 2 if inside else q.shape, np.float32)
+            for b in batches:
+                for k in b.column("id").to_pylist():
+                    place, value, _ = _weighted(like, rows[k])
+                    scale = share if k < own else np.float32(1)
+                    if inside:
+                        y = value @ q[place]
+                        total += scale * np.outer(y, y)
+                    else:
+                        total[place] += scale * value[:, None] * (value @ q[place])[None, :]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+        parts = passages.mapInArrow(product, "part binary").collect()
+        out = sum(np.frombuffer(p["part"], np.float32) for p in parts)
+        held.unpersist()
+        return out.reshape((q.shape[1],) * 2 if inside else q.shape)
 
     for _ in range(POWER_ROUNDS):
-        parts = passages.mapInArrow(lambda x, q=q: product(x, q), "part binary").collect()
-        q = np.linalg.qr(sum(np.frombuffer(p["part"], np.float32).reshape(q.shape) for p in parts))[0].astype(np.float32)
-    # The passages in the found range; the rotation to singular vectors leaves cosines as they are, so it only orders axes.
-    inside = np.stack([value @ q[place] for place, value in (_weighted(index, k) for k in range(m))])
-    _, _, turn = np.linalg.svd(inside, full_matrices=False)
-    q = (q @ turn.T).astype(np.float32)
-    index.latent = (inside @ turn.T).astype(np.float32)
-    index.norm = np.linalg.norm(index.latent, axis=1)
+        q = np.linalg.qr(summed(q, False))[0].astype(np.float32)
+    _, turn = np.linalg.eigh(summed(q, True).astype(np.float64))
+    q = (q @ turn[:, ::-1]).astype(np.float32)  # right singular vectors, the largest first
+    shared.unpersist()
+    weighted = [_weighted(index, r) for r in index.rows]
+    index.latent = np.stack([value @ q[place] for place, value, _ in weighted]).astype(np.float32)
+    index.norm = np.maximum(np.linalg.norm(index.latent, axis=1), np.float32(1e-6))
+    index.size = np.array([norm for *_, norm in weighted], np.float32)
     index.fold = index.idf[:, None] * q
 
 
@@ -181,14 +222,12 @@ def _hits(index: Index, texts: list[str | None]) -> list[dict[int, tuple[float,
         return found
     own = owner[at]
     total = int(before[-1])
-    energy = np.zeros(total + WINDOW_BLOCKS)
-    energy[:total] = np.bincount(own, weights=index.idf[place].astype(np.float64) ** 2, minlength=total)
     text_of = np.repeat(np.arange(len(texts)), np.diff(before))
     last = before[1:][text_of]
-    window = np.concatenate(([0.0], np.cumsum(energy)))
-    window = window[np.minimum(np.arange(total) + WINDOW_BLOCKS, last)] - window[:total]
-    item_energy = np.array([float((index.idf[np.unique(r)] ** 2).sum()) for r in index.rows])
-    some = np.flatnonzero(window >= COVERED**2 * item_energy.min())
+    # A window that holds PARAPHRASE of an item has so many words of the vocabulary.
+    known = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=total))))
+    known = known[np.minimum(np.arange(total) + WINDOW_BLOCKS, last)] - known[:total]
+    some = np.flatnonzero(known >= PARAPHRASE * min(LEAST_WORDS, min(len(r) for r in index.rows)))
     if not len(some):
         return found
     # Latent sums of the blocks that those windows need.
@@ -204,23 +243,27 @@ def _hits(index: Index, texts: list[str | None]) -> list[dict[int, tuple[float,
         e = edge[lo : lo + 8192]
         stop = edge[lo + 8192] if lo + 8192 < len(edge) else len(own)
         sums[own[e]] = np.add.reduceat(index.fold[place[e[0] : stop]], e - e[0], axis=0)
-    for lo in range(0, len(some), 8192):
-        s = some[lo : lo + 8192]
+    step = max(64, min(8192, 4_000_000 // len(index.rows)))
+    for lo in range(0, len(some), step):
+        s = some[lo : lo + step]
         x = np.zeros((len(s), index.fold.shape[1]), np.float32)
         for d in range(WINDOW_BLOCKS):
             inside = s + d < last[s]
             x[inside] += sums[number[s[inside] + d]]
         dot = x @ index.latent.T
+        held = dot / (index.norm**2 * index.size)[None, :]
         length = np.linalg.norm(x, axis=1)
-        cosine = dot / np.maximum(length[:, None] * index.norm[None, :], 1e-9)
-        full = dot / np.maximum(np.sqrt(window[s])[:, None], 1e-9)
-        # A window must hold half the passage's weight, or a good part of it and be near in the latent space: where a
-        # passage is frequent itself, rarer words around it outweigh it and no window with them is near.
-        held = dot / np.sqrt(item_energy)[None, :]
-        rows, cols = np.nonzero((held >= HELD) | ((held >= COVERED) & (cosine >= COSINE) & (full >= COSINE)))
-        for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
+        # Where a passage is frequent itself, rarer words around it outweigh it and no window with them is near; then what
+        # the window holds of it tells.
+        rows, cols = np.nonzero(held >= COVERED)
+        cosine = dot[rows, cols] / np.maximum(length[rows] * index.norm[cols], 1e-9)
+        near = (cosine >= COSINE) | (held[rows, cols] >= HELD)
+        rows, cols, cosine = rows[near], cols[near], cosine[near]
+        for r, c, near in zip(rows.tolist(), cols.tolist(), cosine.tolist(), strict=True):
             doc = int(text_of[s[r]])
             item, words = int(index.item[c]), index.words[c]
+            if found[doc].get(item, (0.0, 0.0))[1] == 1.0:
+                continue
             start = first[doc] + (int(s[r]) - before[doc]) * BLOCK
             margin = max(BLOCK, len(words))
             region = h[max(first[doc], start - margin) : min(first[doc + 1], start + BLOCK * WINDOW_BLOCKS + margin)]
@@ -228,7 +271,7 @@ def _hits(index: Index, texts: list[str | None]) -> list[dict[int, tuple[float,
             if share < PARAPHRASE or (share < SAME and _common(index.answers[c], region) < ANSWER * len(index.answers[c])):
                 continue
             if share > found[doc].get(item, (0.0, 0.0))[1]:
-                found[doc][item] = (round(float(min(cosine[r, c], 1.0)), 6), round(share, 6))
+                found[doc][item] = (round(min(near, 1.0), 6), round(share, 6))
     return found
 
 
@@ -242,28 +285,21 @@ def _hits_of(shards: list[Index], texts: list[str | None]) -> list[dict[int, tup
     return found
 
 
-def _cut(whole: Index) -> Iterator[list[Index]]:
-    """whole in shards of at most RANK passages; the shards of one item come together, shorter items are not split."""
-
-    def part(lo: int, hi: int) -> Index:
+def _cut(whole: Index) -> Iterator[tuple[Index, np.ndarray]]:
+    """whole in indexes of at most PASSAGES passages, with their places in its vocabulary."""
+    for lo in range(0, len(whole.rows), PASSAGES):
+        hi = lo + PASSAGES
         places = np.unique(np.concatenate(whole.rows[lo:hi]))
-        return Index(whole.item[lo:hi], whole.words[lo:hi], whole.answers[lo:hi], whole.vocabulary[places], [np.searchsorted(places, r) for r in whole.rows[lo:hi]])
-
-    # Of equal ids with different texts, passages are next to each other too; they count as one item.
-    edge = np.flatnonzero(np.append(True, whole.item[1:] != whole.item[:-1])).tolist() + [len(whole.item)]
-    lo = 0
-    for k in range(1, len(edge)):
-        if k + 1 == len(edge) or edge[k + 1] - lo > RANK:
-            yield [part(a, min(a + RANK, edge[k])) for a in range(lo, edge[k], RANK)]
-            lo = edge[k]
+        yield Index(whole.item[lo:hi], whole.words[lo:hi], whole.answers[lo:hi], whole.vocabulary[places], [np.searchsorted(places, r) for r in whole.rows[lo:hi]]), places
 
 
 def _shards(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:
-    """Fitted shards, one after another, or several of one long item."""
+    """Fitted indexes that are searched together, one part of the benchmark after another."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     n = items.count()
-    parts = max(1, -(-n // (SHARD * 3 // 4)))
+    parts = max(1, -(-n // (ITEMS * 3 // 4)))
     np.seterr(over="ignore")
     for k in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
@@ -271,19 +307,24 @@ def _shards(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:
         whole = _index([r for r in rows if len(_item_words(r[1])) >= LEAST_WORDS])
         if not whole.rows:
             continue
-        df, n_blocks = _frequencies(docs, whole)
-        for shards in _cut(whole):
-            for index in shards:
-                _fit(spark, index, df[np.searchsorted(whole.vocabulary, index.vocabulary)], n_blocks)
-            yield shards
+        df, n_blocks, sample = _frequencies(docs, whole, scratch, f"counted{k}")
+        shards = []
+        for index, places in _cut(whole):
+            inside = np.full(len(whole.vocabulary), -1)
+            inside[places] = np.arange(len(places))
+            own_sample = [w for w in (inside[s] for s in sample) if (w >= 0).any()]
+            _fit(spark, index, df[places], n_blocks, [w[w >= 0] for w in own_sample])
+            shards.append(index)
+        yield shards
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, common) of every document that holds a benchmark item, for each such item.
 
     docs (doc_id, text), benchmark (item_id, text); other columns are not read. Null and empty texts hold nothing; items
-    without text, or of fewer than LEAST_WORDS words, are not searched for. Repeated rows give a row each; an empty table
-    on either side gives an empty table.
+    without text, or of fewer than LEAST_WORDS words, are not searched for. Texts of any length are whole; of windows that
+    hold equal shares of an item the first one's cosine is told. Repeated rows give a row each; an empty table on either
+    side gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, common double")

@@ -62,8 +62,31 @@ def test_an_item_in_a_third_of_the_rows_and_a_table_of_one_document(spark, make)
         assert {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(make(few), bench).collect()} == {(k, k) for k in range(n)}
 
 
+def test_recall_against_the_longest_common_subsequence_of_all_pairs(spark, make, monkeypatch):
+    """160 items of 8 to 90 words, over 200 passages in 128 dimensions; verbatim, and with 0 to 27 percent other words."""
+    rng = random.Random(21)
+    words = [f"{a}{b}{c}" for a in "bcdfghklmnprst" for b in "aeiou" for c in "lmnrstx"]  # 490, shared by both sides
+    pick = lambda n: [words[min(int(rng.expovariate(1 / 90)), len(words) - 1)] for _ in range(n)]
+    items = [(k, " ".join(pick(rng.randrange(8, 90))) + ".") for k in range(160)]
+    docs = []
+    for k in range(160):
+        w = items[k][1].split()
+        w = [x if rng.random() > k % 10 * 0.03 else rng.choice(words) for x in w]
+        own = pick(rng.randrange(0, 250))
+        at = rng.randrange(len(own) + 1)
+        docs.append((k, " ".join([*own[:at], *w, *own[at:]])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(make(docs), bench).collect()}
+    (shards,) = decontam._shards(make(docs).select("text"), bench)
+    assert [len(x.rows) > x.latent.shape[1] == decontam.RANK for x in shards] == [True]
+    for name, value in (("COVERED", -1e9), ("COSINE", -2.0)):  # no search: every passage against every window
+        monkeypatch.setattr(decontam, name, value)
+    want = {(k, item) for k, own in enumerate(decontam._hits_of(shards, [t for _, t in docs])) for item in own}
+    assert len(want) >= 100 and got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_long_items_fill_several_shards(spark, make, monkeypatch):
-    monkeypatch.setattr(decontam, "RANK", 16)
+    monkeypatch.setattr(decontam, "PASSAGES", 16)
     rng = random.Random(11)
     items = [(k, " ".join(words(rng, 200)) + ".") for k in range(12)] + [(12, " ".join(words(rng, 700)) + ".")]  # 8 and 29 passages
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -77,13 +100,12 @@ def test_long_items_fill_several_shards(spark, make, monkeypatch):
     got = sorted((r["doc_id"], r["item_id"]) for r in decontam.find_contamination(make(docs), bench).collect())
     assert got == sorted([*planted, (12, 12)])
     whole = decontam._index(items)
-    for shards in decontam._cut(whole):
-        assert all(len(x.rows) <= 16 for x in shards)
-    assert sum(len(x.rows) for shards in decontam._cut(whole) for x in shards) == len(whole.rows)
+    cut = [index for index, _ in decontam._cut(whole)]
+    assert len(cut) > 5 and all(len(x.rows) <= 16 for x in cut) and sum(len(x.rows) for x in cut) == len(whole.rows)
 
 
 def test_shards_find_the_same(spark, make, corpus, monkeypatch):
-    monkeypatch.setattr(decontam, "SHARD", 12)
+    monkeypatch.setattr(decontam, "ITEMS", 12)
     items, docs, planted = corpus
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontam.find_contamination(make(docs), bench).collect()} == set(planted.items())
