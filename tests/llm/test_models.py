@@ -111,22 +111,22 @@ def test_output_is_a_distribution_and_gradients_are_right():
     m.w = {k: v.astype(np.float64) for k, v in m.w.items()}
 
     def loss():
-        state, out = np.zeros((4, lm.STATE)), 0.0
+        state, out = np.zeros((lm.STATE, 4)), 0.0
         for t in range(5):
-            state = m.step(np.where(reset[t][:, None], 0, state), into[t])[0]
-            out -= m.log_probabilities(state, ids[t]).sum()
+            state = m.step(state * ~reset[t], m.gates(into[t]))[0]
+            out -= m.log_probabilities(state.T, ids[t]).sum()
         return out / valid.sum()
 
     grads = {}
     trainer = lm._Trainer(m)
     trainer._apply = lambda name, where, grad: grads.setdefault(name, []).append((where, grad))
-    trainer.window(np.zeros((4, lm.STATE)), into, ids, reset, valid)
-    for name in ("state", "gate", "class", "class_bias", "word", "word_bias", "input"):
+    trainer.window(np.zeros((lm.STATE, 4)), into, ids, reset, valid)
+    for name in m.w:
         whole = np.zeros_like(m.w[name])
         for where, g in grads[name]:
             whole[where] += g
         for _ in range(6):
-            at = tuple(rng.integers(0, s) for s in whole.shape) if name != "input" else (int(rng.choice(into.ravel())), int(rng.integers(0, 3 * lm.STATE)))
+            at = tuple(rng.integers(0, s) for s in whole.shape) if name != "input" else (int(rng.choice(into.ravel())), int(rng.integers(0, lm.STATE)))
             if name == "word_bias" and m.w[name][at] < -1e3:
                 continue
             kept = m.w[name][at]
@@ -149,7 +149,6 @@ def test_state_is_carried_through_whole_documents():
 
 
 def test_network_learns_an_order(make, monkeypatch):
-    monkeypatch.setattr(lm, "TRAIN_ONE_IN", 1)
     rows = [(k, " ".join("a b c d e f g h".split() * 20)) for k in range(300)]
     got = lm.score_documents(make(rows)).toPandas()
     out = got[got.held_out]
@@ -164,6 +163,20 @@ def test_network_learns_from_every_training_document(make, monkeypatch):
     assert sorted(seen) == [k for k in range(200) if not held(k, 10)]
 
 
+def test_rounds_share_out_the_documents_and_weights_are_averaged_in_a_tree(make, monkeypatch):
+    rows = [(k, f"a b c d e f g{k}") for k in range(200)]
+    plain = sorted((r["doc_id"], r["score"]) for r in lm.score_documents(make(rows)).collect())
+    monkeypatch.setattr(lm, "FAN", 2)
+    assert sorted((r["doc_id"], pytest.approx(r["score"], rel=1e-5)) for r in lm.score_documents(make(rows)).collect()) == plain
+
+
+def test_words_that_all_occur_once_still_give_a_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 1000)
+    counts = spark.range(3000).selectExpr("xxhash64(id) as word", "1L as n").union(spark.range(5).selectExpr("id as word", "9L as n"))
+    words, n = lm._head(counts)
+    assert 900 < len(words) <= 1000 and n[:6].tolist() == [9] * 5 + [1]
+
+
 def test_edits_neighbours_and_likeness(make):
     rng = random.Random(4)
     rows = [(k * 37 % 1009, " ".join(f"é{rng.randrange(300)}" for _ in range(rng.randrange(0, 200)))) for k in range(300)]
