@@ -1,10 +1,11 @@
 """Personal data: fixed formats, and identifiers found by bootstrapped contextual extraction.
 
 One scan of the whole texts gives the spans of the fixed formats (email, ip, card, phone) and candidate identifiers with
-the lexical pattern in front of them: the two words before it and the signs that open it. Seeds are the fixed-format
-entities and candidates in an unmistakable key format. Spark scores the bipartite graph of patterns and instances for a
-few rounds: a pattern is as sure as the share of sure instances it occurs with, an instance as sure as its patterns say
-together. Patterns that end with high confidence discover the candidates behind them, as spans of kind `key`.
+their lexical patterns: the two words before a candidate and the signs that open it, and the signs that close it with the
+word after. Seeds are the fixed-format entities and candidates in an unmistakable key format, each of its kind. Spark
+scores the bipartite graph of patterns and instances for a few rounds, kind by kind: a pattern is as sure as the share of
+sure instances it occurs with, an instance as sure as its patterns say together. Patterns that end with high confidence
+discover the candidates they stand with, as spans of their kind.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from ._spark import Scratch, blocks
 KINDS = ("email", "ip", "card", "phone")
 DISCOVERED = "key"
 ROUNDS, SMOOTHING, LEAST_SEEDS, CONFIDENT = 3, 1.0, 3, 0.7
+#: An identifier has so many characters at least; a context word of more than LONG is told by its hash.
+LEAST, LONG = 6, 40
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9][0-9.]{6,}+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9]")
+#: What marks a word as a candidate: a digit, an inner sign of identifiers, or a capital after a small letter.
+_MARK = re.compile(r"[0-9]|[A-Za-z][_@#][A-Za-z]|[a-z][A-Z]")
 _BLANK = re.compile(r"\s")
 _OPENING, _CLOSING = "\"'`([{<=:", "\"'`)]}>,;:.!?|*&%$#"
 _KEY_FORMAT = re.compile(r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}|(?=[A-Z0-9]*[0-9])[A-Z]{4}[A-Z0-9]{16}")
@@ -98,21 +102,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((s, k, e) for k, find in enumerate(_FINDERS) for s, e in find(text))
 
 
-def _pattern(text: str, start: int, opening: str) -> str:
-    before = text[max(0, start - 96) : start].split()[-2:]
-    return (" ".join(w[-40:] for w in before) + " " + opening).lower().translate(_NO_DIGITS)
+def _context(word: str) -> str:
+    return word if len(word) <= LONG else word[:8] + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _patterns(text: str, start: int, end: int, opening: str, closing: str) -> list[str]:
+    """What is left and right of text[start:end]; a side without a word gives none."""
+    size = 96
+    while len(before := text[max(0, start - size) : start].split()) < 3 and size < start:
+        size *= 4  # the first of three words may be cut, the last two are whole
+    size = 48
+    while len(after := text[end : end + size].split(None, 1)) < 2 and end + size < len(text):
+        size *= 4
+    out = []
+    if before:
+        out.append("< " + " ".join(map(_context, before[-2:])) + " " + opening)
+    if after:
+        out.append("> " + closing + " " + _context(after[0]))
+    return [x.lower().translate(_NO_DIGITS) for x in out]
 
 
 def _instance(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, bool, bool]]:
-    """(start, end, pattern, instance, seed, base) of the base entities and of other words with digits."""
-    out = [(s, e, _pattern(text, s, ""), _instance(text[s:e]), True, True) for s, _, e in base]
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], int, str | None, bool]]:
+    """(start, end, patterns, instance, kind of a seed, base) of the base entities and of other marked words."""
+    out = [(s, e, _patterns(text, s, e, "", ""), _instance(text[s:e]), KINDS[k], True) for s, k, e in base]
     taken = sorted((s, e) for s, _, e in base)
     at = k = 0
-    while m := _DIGIT.search(text, at):
+    while m := _MARK.search(text, at):
         start = m.start()
         while start > at and not text[start - 1].isspace():
             start -= 1
@@ -120,24 +139,26 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         at = end
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        inside = [x for x in taken[k : k + 64] if x[0] < end]  # spans within the word, or over its ends
         word = text[start:end]
         core = word.lstrip(_OPENING).rstrip(_CLOSING)
         first = start + len(word) - len(word.lstrip(_OPENING))
         last = first + len(core)
         # A word that a base span covers is that span's; one that only holds such a span may be an identifier of its own.
-        if any(s < first or e > last or 4 * (e - s) > 3 * len(core) for s, e in inside):
-            continue
-        if 6 <= len(core) <= 512:
-            out.append((first, last, _pattern(text, start, text[start:first]), _instance(core), bool(_KEY_FORMAT.fullmatch(core)), False))
+        j, covered = k, False
+        while j < len(taken) and taken[j][0] < end and not covered:
+            s, e = taken[j]
+            covered = s < first or e > last or 4 * (e - s) > 3 * len(core)
+            j += 1
+        if not covered and len(core) >= LEAST:
+            out.append((first, last, _patterns(text, start, end, text[start:first], text[last:end]), _instance(core), DISCOVERED if _KEY_FORMAT.fullmatch(core) else None, False))
     return out
 
 
-_CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("instance", pa.int64()), ("seed", pa.bool_()), ("base", pa.bool_())])
+_CANDIDATE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string())), ("instance", pa.int64()), ("seed", pa.string()), ("base", pa.bool_())])
 _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("label", pa.string())])
 _SCAN = (
     "row long, doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    "base array<struct<start:int,rank:int,label:string>>, found array<struct<start:int,end:int,pattern:string,instance:long,seed:boolean,base:boolean>>"
+    "base array<struct<start:int,rank:int,label:string>>, found array<struct<start:int,end:int,patterns:array<string>,instance:long,seed:string,base:boolean>>"
 )
 
 
@@ -153,7 +174,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             labels = [f"{KINDS[k]}:{s}:{e}" for s, k, e in base]
             shas.append(hashlib.sha256(",".join(labels).encode()).hexdigest())
             spans.append([{"start": s, "rank": k, "label": x} for (s, k, _), x in zip(base, labels, strict=True)])
-            found.append([dict(zip(("start", "end", "pattern", "instance", "seed", "base"), c, strict=True)) for c in (candidates(text, base) if text else [])])
+            found.append([dict(zip(("start", "end", "patterns", "instance", "seed", "base"), c, strict=True)) for c in (candidates(text, base) if text else [])])
         n = b.num_rows
         yield pa.RecordBatch.from_arrays([
             pa.array(range(serial, serial + n), pa.int64()), b.column("doc_id"), b.column("text_key"), *(pa.array(c, pa.int64()) for c in counts),
@@ -162,19 +183,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial += n
 
 
-def _confident_patterns(scanned: DataFrame, scratch: Scratch) -> DataFrame:
-    """(pattern) of the patterns that end with high confidence."""
-    edges = scanned.select(F.inline("found")).where("pattern rlike '[^ ]'").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("int")).cast("double").alias("seed"))
-    edges = scratch.keep(edges, "edges")
-    score = edges.select("pattern", "instance", "n", "seed", F.col("seed").alias("score"))
+def score_patterns(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """edges (pattern, instance, n, seed: a kind or null) -> (pattern, kind, sure) of the patterns that end confident."""
+    totals = scratch.keep(edges.groupBy("pattern").agg(F.sum("n").alias("total")), "totals")
+    seeds = edges.where("seed is not null").select("pattern", "instance", "n", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    score = seeds
     for k in range(ROUNDS):
-        patterns = score.groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / (F.sum("n") + SMOOTHING)).alias("sure"), F.sum((F.col("score") >= 0.5).cast("int")).alias("support"))
-        patterns = patterns.where(f"support >= {LEAST_SEEDS}")
+        sums = score.groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("held"), F.sum((F.col("score") >= 0.5).cast("int")).alias("support"))
+        patterns = sums.where(f"support >= {LEAST_SEEDS}").join(totals, "pattern").select("pattern", "kind", (F.col("held") / (F.col("total") + SMOOTHING)).alias("sure"))
         if k == ROUNDS - 1:
-            return patterns.where(f"sure >= {CONFIDENT}").select("pattern")
+            best = patterns.where(f"sure >= {CONFIDENT}").groupBy("pattern").agg(F.max(F.struct("sure", "kind")).alias("best"))
+            return best.select("pattern", "best.kind", "best.sure")
         patterns = scratch.keep(patterns, f"patterns{k}")
-        told = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("sure")))))).alias("told"))
-        score = scratch.keep(edges.join(told, "instance", "left").select("pattern", "instance", "n", "seed", F.greatest("seed", F.coalesce("told", F.lit(0.0))).alias("score")), f"score{k}")
+        told = edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("sure")))))).alias("score"))
+        every = edges.select("pattern", "instance", "n").join(told, "instance").select("pattern", "instance", "n", "kind", "score").union(seeds)
+        score = scratch.keep(every.groupBy("pattern", "instance", "n", "kind").agg(F.max("score").alias("score")), f"score{k}")
     raise AssertionError
 
 
@@ -182,36 +205,45 @@ def _extracted(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     scanned = scratch.keep(rows.mapInArrow(_scan, _SCAN), "scanned")
-    sure = _confident_patterns(scanned, scratch)
-    found = scanned.select("row", F.inline("found")).where("not base").join(sure, "pattern")
-    label = F.concat_ws(":", F.lit(DISCOVERED), F.col("start").cast("string"), F.col("end").cast("string"))
-    found = found.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), label.alias("label"))).alias("more"))
+    edges = scanned.select(F.inline("found")).select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    sure = score_patterns(scratch.keep(edges, "edges"), scratch)
+    found = scanned.select("row", F.inline("found")).where("not base").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    found = found.join(sure, "pattern").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("sure", "kind")).alias("kind"))
+    rank = F.array_position(F.array(*[F.lit(x) for x in (*KINDS, DISCOVERED)]), F.col("kind")).cast("int") - 1
+    label = F.concat_ws(":", F.col("kind"), F.col("start").cast("string"), F.col("end").cast("string"))
+    found = found.groupBy("row").agg(F.collect_list(F.struct("start", rank.alias("rank"), label.alias("label"))).alias("more"))
     out = scanned.drop("found").join(found, "row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,rank:int,label:string>>)"))))
-    return out.withColumn("spans", F.array_join(F.transform(every, lambda s: s["label"]), ","))
+    return out.withColumn("spans", F.array_join(F.transform(every, lambda s: s["label"]), ",")).withColumn("n_found", F.size(every).cast("long"))
 
 
 def extract_pii(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; one row per row.
+    """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found; one row per row.
 
-    spans: kind:start:end by start, then kind, in code points, end exclusive. A null text is taken as empty: no spans, the
-    hash of the empty string. Extra columns are not read. An empty table gives an empty table.
+    spans: kind:start:end by start, then kind, in code points, end exclusive; n_found is their number. A null text is taken
+    as empty: no spans, the hash of the empty string. Texts of any length are whole. Of patterns that are equally sure of a
+    candidate, the kind that is last in the alphabet holds. Repeated rows count as often as they occur. Extra columns are
+    not read. An empty table gives an empty table.
     """
-    return _extracted(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return _extracted(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of `text` replaced by [KIND] and n_chars, where there is one, set anew; all rows, all columns."""
-    spans = _extracted(docs).where("spans <> ''").groupBy("doc_id", "text_key").agg(F.first("spans").alias("__spans"))
-    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "__spans")
-    marked = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__key")), "left").drop("__doc", "__key")
+    """docs with every span of `text` replaced by [KIND] and n_chars, where there is one, set anew; all rows, all columns.
+
+    Columns of any other names are kept as they are.
+    """
+    spans = _extracted(docs).where("spans <> ''").groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
     schema = T.StructType(list(docs.schema.fields))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("whole"))
+    same = F.col("whole.doc_id").cast("long").eqNullSafe(spans["doc_id"]) & (F.xxhash64(F.col("whole.text").cast("string")) == spans["text_key"])
+    marked = rows.join(spans, same, "left").select("whole", "spans")
     at = schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [replaced(t, s) if s else t for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
-            columns = [b.column(i) for i in range(len(schema.names))]
+            columns = list(b.column("whole").flatten())
+            texts = [replaced(t, s) if s else t for t, s in zip(columns[at].to_pylist(), b.column("spans").to_pylist(), strict=True)]
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -62,3 +62,62 @@ def test_redaction(make):
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in got} == {(1, "mail [EMAIL] now", 16), (2, None, None), (2, "clean", 5), (None, "[IP]", 4)}
     assert pii.redact(d).columns == d.columns
     assert pii.replaced("abcdef", "ip:1:3,card:2:5") == "a[IP]f"
+
+
+def test_kinds_go_through_the_graph_and_words_without_digits_are_candidates(make):
+    rows = [(k, f"please call the desk at +49 (171) 555-{1000 + k} during the day, or write: user{k}@mail.example.org today") for k in range(12)]
+    rows += [(100, "please call the desk at 555.12.EXT during the day"), (101, "or write: janeDoe_mailbox today"), (102, "a plain snake_case word and 20240101 too")]
+    rows += [(200, "x" * 5000 + " " + "y" * 5000 + " desk at +49 (171) 555-7777 " + "z" * 9000)]
+    got = {r["doc_id"]: (r["spans"], r["n_found"]) for r in pii.extract_pii(make(rows)).collect()}
+    assert got[100] == ("phone:24:34", 1) and got[101] == ("email:10:25", 1) and got[102] == ("", 0)
+    assert got[200][0] == "phone:10010:10028"
+
+
+def test_contexts_of_any_length_are_told_apart():
+    a, b = ("w" * 900 + c + " key: abc123" for c in "12")
+    assert pii.candidates(a, [])[-1][2] != pii.candidates(b, [])[-1][2]
+    assert pii._patterns("one two three abc123, four", 14, 21, "", ",") == ["< two three ", "> , four"]
+
+
+def brute_scores(edges):
+    score = {(p, i, k): 1.0 for p, i, n, k in edges if k}
+    seeds, count = dict(score), {(p, i): n for p, i, n, _ in edges}
+    for step in range(pii.ROUNDS):
+        sure = {}
+        for p in {p for p, *_ in edges}:
+            for k in pii.KINDS + (pii.DISCOVERED,):
+                own = [(score[p, i, k], n) for (q, i), n in count.items() if q == p and (p, i, k) in score]
+                if sum(s >= 0.5 for s, _ in own) >= pii.LEAST_SEEDS:
+                    sure[p, k] = sum(s * n for s, n in own) / (sum(n for (q, _), n in count.items() if q == p) + pii.SMOOTHING)
+        if step == pii.ROUNDS - 1:
+            out = {}
+            for (p, k), s in sure.items():
+                if s >= pii.CONFIDENT:
+                    out[p] = max(out.get(p, (0, "")), (s, k))
+            return out
+        told = {}
+        for p, i, *_ in edges:
+            for k in pii.KINDS + (pii.DISCOVERED,):
+                if (p, k) in sure:
+                    told[i, k] = told.get((i, k), 1.0) * max(1e-6, 1 - sure[p, k])
+        score = dict(seeds)
+        for p, i, *_ in edges:
+            for (j, k), rest in told.items():
+                if i == j:
+                    score[p, i, k] = max(score.get((p, i, k), 0.0), 1 - rest)
+
+
+def test_scores_equal_a_plain_computation(spark, monkeypatch):
+    from pointloom.llm._spark import Scratch
+
+    rng = random.Random(9)
+    edges = {}
+    for _ in range(400):
+        i = rng.randrange(60)
+        edges[f"p{rng.randrange(25)}", i] = (rng.randrange(1, 6), None if i % 3 == 0 else ("email", "phone", "key")[i % 4 % 3])
+    rows = [(p, i, n, k) for (p, i), (n, k) in edges.items()]
+    monkeypatch.setattr(pii, "CONFIDENT", 0.4)
+    got = {r["pattern"]: (r["sure"], r["kind"]) for r in pii.score_patterns(spark.createDataFrame(rows, "pattern string, instance long, n long, seed string"), Scratch(spark)).collect()}
+    want = brute_scores(rows)
+    assert len(want) >= 5 and set(got) == set(want)
+    assert all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in want)
