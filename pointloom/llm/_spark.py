@@ -31,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """name, with signs added until no column of the frame has it, whatever the case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

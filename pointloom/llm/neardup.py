@@ -1,6 +1,7 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's set of distinct five-word shingles is sketched by SYMBOLS minhash values of eight bits. The distance of two
+A document's set of distinct five-word shingles is sketched by SYMBOLS minhash values of 16 bits, so that a key of four or
+more symbols is met by chance only among more documents than there are. The distance of two
 sketches is the number of symbols that differ; pairs within DISTANCE are all found: with CHUNKS chunks at least one
 chunk has at most DISTANCE // CHUNKS = 1 error, and each chunk is indexed once for each place where that error may be.
 At a Jaccard similarity of 0.85 a symbol differs with a probability under 0.15, so a linked pair is outside DISTANCE
@@ -63,11 +64,11 @@ def plan_of(similarity: int) -> Plan:
 
 
 def _sketch(values: np.ndarray, at: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
-    out = np.zeros((len(at) - 1, symbols), dtype=np.uint8)
+    out = np.zeros((len(at) - 1, symbols), dtype=np.uint16)
     rows = np.flatnonzero(np.diff(at) > 0)
     if len(rows):
         for k in range(symbols):
-            out[rows, k] = (np.minimum.reduceat(values * _FACTORS[k], at[rows]) >> _U(20)).astype(np.uint8)
+            out[rows, k] = (np.minimum.reduceat(values * _FACTORS[k], at[rows]) >> _U(20)).astype(np.uint16)
     return out
 
 
@@ -120,7 +121,7 @@ def _keys(plan: Plan) -> list:
     for c in range(plan.chunks):
         lo, hi = int(edges[c]), int(edges[c + 1])
         for hole in range(lo, hi):
-            out.append(F.struct(F.lit(hole).alias("hole"), F.xxhash64(F.lit(hole), F.expr(f"substring(sketch, {lo + 1}, {hole - lo})"), F.expr(f"substring(sketch, {hole + 2}, {hi - hole - 1})")).alias("key")))
+            out.append(F.struct(F.lit(hole).alias("hole"), F.xxhash64(F.lit(hole), F.expr(f"substring(sketch, {2 * lo + 1}, {2 * (hole - lo)})"), F.expr(f"substring(sketch, {2 * hole + 3}, {2 * (hi - hole - 1)})")).alias("key")))
     return out
 
 
@@ -178,7 +179,7 @@ def _pairs_of(b: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray, np.
     """
     plan = plan_of(similarity)
     edges = plan.edges()
-    sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint8).reshape(b.num_rows, plan.symbols)
+    sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint16).reshape(b.num_rows, plan.symbols)
     ids, comp, hole, key, lo, hi, side, n = (b.column(c).to_numpy() for c in ("id", "component", "hole", "key", "lo", "hi", "side", "n_shingles"))
     new = np.ones(len(ids), bool)
     new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
 
     similarity: percent, 80 at least. Null, empty and white-space texts have empty sets and are linked with nothing.
     Repeated rows keep a row each; a row without doc_id is linked with nothing, has a null component and is kept.
-    An empty table gives an empty table.
+    Texts of any length are whole; of equal sets the smallest id stands for all. An empty table gives an empty table.
     """
     if similarity < 80:
         raise ValueError("the sketch distance guarantees pairs of 80 percent at least")
@@ -273,6 +274,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     # Sets that differ have at most 5/6 in common when one of them has five shingles or fewer.
     least = 6 if similarity > 83 else 1
     reps = rows.where(f"sketch is not null and n_shingles >= {least}").select(F.col("rep").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"])
+    reps = scratch.keep(reps, "reps")  # a plain table, so that the joins on a family's head can split it
     index = reps.select("id", F.inline(F.array(*_keys(plan))))
     heads = index.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.keep(index.join(heads, "key").select("hole", "key", "n", "head", "id"), "shared")
@@ -320,7 +322,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
         moved = joined.join(merged.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
         fresh = merged.join(joined.select("id"), "id", "left_anti").select("id", "component")
         final = scratch.keep(moved.union(fresh), "final")
-    scratch.drop("shared", "texts")
+    scratch.drop("shared", "texts", "reps")
     out = rows.join(final.toDF("rep", "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -77,6 +77,14 @@ def test_empty_table_and_clashing_columns(spark, make):
         neardup.near_duplicates(d, similarity=50)
 
 
+def test_words_of_a_regular_structure_are_different_words(make):
+    """A word of 1,024 letters by the parity of their number's bits, and the same with both letters exchanged."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = neardup.near_duplicates(make([(1, a), (2, b), (3, f"x y z {a} {b}"), (4, f"x y z {b} {a}")])).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
 def test_pairs_within_the_distance_share_a_key():
     rng = np.random.default_rng(0)
     for _ in range(300):
