@@ -18,6 +18,8 @@ from ._spark import Scratch
 SAMPLES = 32
 #: About so many documents are in one range of ids; ids are dealt by COARSE quantiles, and evenly within them.
 RANGE_ROWS, COARSE = 256, 256
+#: Ranges whose order one task finds; about a millionth of the documents, at RANGE_ROWS each, are left for the last step.
+SPAN = 4096
 _UNIT = float(2**-21)
 
 
@@ -38,26 +40,33 @@ def _sample(k: int) -> Column:
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
-    """docs with `range`: greater for greater ids, -1 for null ids."""
-    facts = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 10000).alias("cuts")).first()
+    """docs with `range`: greater for greater ids; null ids have those under 0, the greater the smaller the hash of the text."""
+    facts = docs.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.percentile_approx("doc_id", [i / COARSE for i in range(COARSE + 1)], 10000).alias("cuts")).first()
     cuts = sorted(set(facts["cuts"] or []))
+    pieces = max(1, round(facts["nulls"] / RANGE_ROWS))
+    place = (F.xxhash64("text").cast("double") / 2.0**64 + 0.5) * pieces
+    without = -1 - F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(pieces - 1))
     if not cuts:
-        return docs.withColumn("range", F.lit(-1).cast("long"))
+        return docs.withColumn("range", without)
     parts = max(1, round(facts["n"] / RANGE_ROWS / len(cuts)))
     lows = F.array(*[F.lit(x).cast("long") for x in cuts])
     k = F.greatest(F.size(F.filter(lows, lambda x: x <= F.col("doc_id"))), F.lit(1))
     low, high = F.element_at(lows, k), F.element_at(lows, F.least(k + 1, F.lit(len(cuts))))
     share = (F.col("doc_id") - low).cast("double") / F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0))
     inside = F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
-    return docs.withColumn("range", F.coalesce(k.cast("long") * parts + inside, F.lit(-1).cast("long")))
+    return docs.withColumn("range", F.when(F.col("doc_id").isNull(), without).otherwise(k.cast("long") * parts + inside))
 
 
 def _heads(heads: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """heads (range, head) -> (range, head of the range that follows it; the greatest range follows the last)."""
     heads = scratch.keep(heads, f"{name}_own")
-    # Which range follows is found on the ranges' numbers alone: one small row for each RANGE_ROWS documents.
+    # Which range follows is found on the ranges' numbers alone, within spans of them, and over the spans' first ranges.
     top = heads.agg(F.max("range")).first()[0]
-    follows = heads.select("range", F.coalesce(F.lead("range").over(W.orderBy(F.desc("range"))), F.lit(top).cast("long")).alias("after"))
+    spans = heads.select("range", F.floor(F.col("range") / SPAN).alias("span"))
+    firsts = spans.groupBy("span").agg(F.max("range").alias("first"))
+    firsts = firsts.select("span", F.coalesce(F.lead("first").over(W.orderBy(F.desc("span"))), F.lit(top).cast("long")).alias("beyond"))
+    own = F.lead("range").over(W.partitionBy("span").orderBy(F.desc("range")))
+    follows = spans.withColumn("own", own).join(firsts, "span").select("range", F.coalesce("own", "beyond").alias("after"))
     return scratch.keep(follows.join(heads.select(F.col("range").alias("after"), "head"), "after").select("range", "head"), name)
 
 
@@ -87,7 +96,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the next document by
     descending doc_id; the first document follows the last. Null texts are empty; texts without words have an empty
     fingerprint. Equal ids are ordered by a hash of their texts, null ids come last; repeated rows are rows of their own.
-    A single document is its own next one. Extra columns are not read; an empty table gives an empty table.
+    A single document is its own next one. Texts of any length are whole. Extra columns are not read; an empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scratch = Scratch(docs.sparkSession)

@@ -206,3 +206,13 @@ def test_fingerprints_of_odd_rows(odd, make):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
     nulls = fingerprint.fingerprint_documents(make([(None, "a"), (None, "b")])).collect()
     assert len(nulls) == 2
+
+
+def test_documents_without_id_follow_by_their_hashes(spark, make, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 4)
+    monkeypatch.setattr(fingerprint, "SPAN", 3)
+    rows = [(k if k % 3 else None, f"t{k} " * (k % 7 + 1)) for k in range(90)]
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in rows], "text string").selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3]).encode()).hexdigest() for k, (_, t) in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in fingerprint.fingerprint_documents(make(rows)).collect()) == want
