@@ -30,8 +30,9 @@ LENGTH, GRAM = 400, 100
 _REACH = LENGTH - GRAM  # an anchor's string starts at most so many bytes before it
 _U = np.uint64
 _LOW = _U((1 << 32) - 1)
-#: The most rows that one group may have in a bucket, and rows that are sorted at a time.
-GROUP, _ROWS = 2000, 8000
+#: The most rows that one group may have in a bucket (some 100 MB where every row ends a node of its own at all depths),
+#: and rows that are sorted at a time.
+GROUP, _ROWS = 8000, 8000
 #: Words of a gram that is looked for in other documents: of so many in a row, one is chosen, so that every passage of
 #: PASSAGE words has a chosen gram.
 PASSAGE, WORDS = 51, 26
