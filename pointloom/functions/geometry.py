@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, functions as F
@@ -108,6 +108,27 @@ class Camera:
         back = centre - np.array(direction) / np.linalg.norm(direction) * radius / math.tan(half)
         return Camera(tuple(map(float, back)), tuple(map(float, centre)), **options)
 
+    def zoomed(self, steps: float) -> Camera:
+        """Nearer to the target by 0.85 a step, or farther by 1.18 a step under 0; from 0.5 to 5,000 away."""
+        offset = np.subtract(self.position, self.target)
+        size = np.linalg.norm(offset)
+        wanted = min(max(size * (0.85**steps if steps >= 0 else 1.18**-steps), 0.5), 5000.0)
+        return replace(self, position=tuple(map(float, np.add(self.target, offset * (wanted / size)))))
+
+    def orbited(self, around: float, over: float) -> Camera:
+        """Turned about the target, in degrees: around the up axis, then over the right one; the distance stays."""
+        right = self.axes()[0]
+        offset = turned(np.subtract(self.position, self.target), self.up, around)
+        offset = turned(offset, turned(right, self.up, around), over)
+        up = turned(turned(np.array(self.up, float), self.up, around), turned(right, self.up, around), over) if over else np.array(self.up)
+        return replace(self, position=tuple(map(float, np.add(self.target, offset))), up=tuple(map(float, up)))
+
+    def panned(self, right: float, up: float) -> Camera:
+        """Position and target moved across the view."""
+        r, u, _ = self.axes()
+        move = right * r + up * u
+        return replace(self, position=tuple(map(float, np.add(self.position, move))), target=tuple(map(float, np.add(self.target, move))))
+
     def ray(self, column: Column, row: Column, width: int, height: int) -> Vector:
         """Unit direction through a pixel's middle."""
         t = math.tan(math.radians(self.fov) / 2)
@@ -119,6 +140,13 @@ class Camera:
         return tuple(c / n for c in d)
 
 
+def turned(v: np.ndarray, axis: tuple[float, float, float], degrees: float) -> np.ndarray:
+    """v about an axis, by the right-hand rule."""
+    k = np.array(axis, float) / np.linalg.norm(axis)
+    a = math.radians(degrees)
+    return v * math.cos(a) + np.cross(k, v) * math.sin(a) + k * (k @ v) * (1 - math.cos(a))
+
+
 def projected(point: Vector, m: np.ndarray) -> tuple[Column, Column, Column, Column]:
     """Clip x, y, z, w of a point."""
     return tuple(sum((point[k] * float(m[i, k]) for k in range(3)), F.lit(float(m[i, 3]))) for i in range(4))

@@ -67,6 +67,11 @@ def path(code: Column, level: Column | int) -> Column:
     return F.concat(F.lit("r"), F.substring(digits, F.lit(1), F.lit(level) if isinstance(level, int) else level.cast("int")))
 
 
+def code_of(name: str) -> Column:
+    """The digits of a node's name as a number."""
+    return F.conv(F.concat(F.lit("0"), F.substring(F.col(name), F.lit(2), F.lit(LEVELS))), 8, 10).cast("long")
+
+
 def octant(x: Column, y: Column, z: Column, centre: Sequence[Column | float]) -> Column:
     """Digit 4 X + 2 Y + Z of the child that holds a point; the middle belongs to the upper half."""
     bits = [(v >= c).cast("int") for v, c in zip((x, y, z), centre, strict=True)]

@@ -45,11 +45,47 @@ def select_nodes(boxed: DataFrame, camera: Camera, threshold: float = 1.0, heigh
     return seen.join(told.where("all_pass").select("node"), "node", "left_semi")
 
 
+def all_nodes(records: DataFrame) -> DataFrame:
+    """Every node of a hierarchy (node_type), whatever the camera; the records that only stand for a further batch go."""
+    return records.where("node_type <> 2")
+
+
+#: Selections by name: boxed nodes and a camera -> nodes. Others can be registered.
+STRATEGIES = {"screen_error": select_nodes, "all": lambda boxed, camera=None, **_: all_nodes(boxed)}
+
+
+def select(boxed: DataFrame, strategy: str, *args, **options) -> DataFrame:
+    return STRATEGIES[strategy](boxed, *args, **options)
+
+
+def visible_points(selected: DataFrame) -> DataFrame:
+    """selected (node, num_points): how many points are shown; 0 of none."""
+    return selected.agg(F.coalesce(F.sum("num_points"), F.lit(0)).cast("long").alias("points"))
+
+
+def overall_box(boxes: DataFrame) -> DataFrame:
+    """boxes (min_x .. max_z): the box around all, null of none."""
+    return boxes.agg(*[f(f"{k}_{a}").alias(f"{k}_{a}") for a in spatial.AXES for k, f in (("min", F.min), ("max", F.max))])
+
+
+def active_set(resident: DataFrame, wanted: DataFrame, budget: int) -> DataFrame:
+    """(node, loaded): what stays resident (node, last_touch, touched) within the budget, and what is to be loaded."""
+    stays = resident.join(victims(resident, budget).select("node"), "node", "left_anti").select("node", F.lit(True).alias("loaded"))
+    return stays.union(wanted.join(resident.select("node"), "node", "left_anti").select("node", F.lit(False)))
+
+
 def victims(resident: DataFrame, budget: int) -> DataFrame:
-    """resident (node, last_touch, touched): the least recently touched ones over the budget, never one touched now."""
+    """resident (node, last_touch, touched): the least recently touched ones over the budget, never one touched now.
+
+    A cut by touch is found from counts, so that only the nodes of the last touch that goes are numbered in one task.
+    """
     over = resident.agg((F.count("*") - budget).alias("over"))
-    place = F.row_number().over(W.orderBy("last_touch", "node"))
-    return resident.where("not touched").withColumn("place", place).join(F.broadcast(over), F.col("place") <= F.col("over")).select("node", "last_touch")
+    free = resident.where("not touched").select("node", "last_touch")
+    counts = free.groupBy("last_touch").agg(F.count("*").alias("n"))
+    cut = F.sum("n").over(W.orderBy("last_touch").rowsBetween(W.unboundedPreceding, W.currentRow))
+    whole = counts.select("last_touch", "n", (cut - F.col("n")).alias("before")).join(F.broadcast(over), F.col("before") < F.col("over"))  # one row
+    place = F.row_number().over(W.partitionBy("last_touch").orderBy("node"))
+    return free.join(whole, "last_touch").withColumn("place", place + F.col("before")).where("place <= over").select("node", "last_touch")
 
 
 def on_screen(points: DataFrame, camera: Camera, width: int, height: int) -> DataFrame:

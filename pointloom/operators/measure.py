@@ -44,6 +44,20 @@ def distance_labels(picks: DataFrame) -> DataFrame:
     return m.select("session", "measurement", F.format_string("%.3f m", g.length(g.minus(p, q))).alias("label"), x.alias("x"), y.alias("y"), z.alias("z"))
 
 
+def distance_segments(picks: DataFrame, centre: tuple[float, float, float], normal: tuple[float, float, float]) -> DataFrame:
+    """(session, measurement, part, ends, label, and where it stands): the line of each complete distance, and with a plane
+    also those from the first point to its foot and from there to the second."""
+    m = grouped_picks(picks, 2).where("complete")
+    lit = lambda v: tuple(F.lit(float(x)) for x in v)
+    p, q = _at("p0"), _at("p1")
+    whole, off, flat, foot = g.distance_parts(p, q, lit(centre), lit(normal))
+    parts = []
+    for part, text, a, b, size in (("whole", "Dist", p, q, whole), ("perpendicular", "Perp", p, foot, off), ("in_plane", "InPlane", foot, q, flat)):
+        ends = [c.alias(f"{e}{k}") for e, v in (("a", a), ("b", b), ("m", g.middle(a, b))) for k, c in zip("xyz", v, strict=True)]
+        parts.append(F.struct(F.lit(part).alias("part"), F.format_string(f"{text}: %.3f m", size).alias("label"), *ends))
+    return m.select("session", "measurement", F.explode(F.array(*parts)).alias("s")).select("session", "measurement", "s.*")
+
+
 def angle_arcs(picks: DataFrame, segments: int = ARC_SEGMENTS) -> DataFrame:
     """(session, measurement, step, x, y, z): the points of the arc between both rays; none where they are parallel."""
     m = grouped_picks(picks, 3).where("complete")

@@ -1,7 +1,8 @@
 """Chunk plan, leaf plan and node table; closed forms instead of level-by-level merging.
 
-A cell's chunk is its shallowest ancestor with at most `cap` points, or the finest cell. A point's leaf is found the same
-way from the sorted codes: a prefix holds more than `cap` points exactly if cap + 1 neighbours in code order share it.
+A cell's chunk is its shallowest ancestor with at most `cap` points, or the finest cell. Leaves are found the same way from
+counts of cells below the chunks, and only where these cells are too full from the counts of whole codes, so that the work
+does not depend on the cap and no key gathers points in one task.
 """
 
 from __future__ import annotations
@@ -46,14 +47,49 @@ def with_chunks(coded: DataFrame, plan: DataFrame, grid_level: int) -> DataFrame
     return coded.withColumn("finest", prefix("morton", grid_level)).join(own, "finest").drop("finest")
 
 
-def with_leaves(chunked: DataFrame, cap: int) -> DataFrame:
-    """chunked (point_id, morton, chunk, chunk_level) with leaf_level: chunk_level at least, chunk_level + 20 or 21 at most."""
-    order = W.partitionBy("chunk").orderBy("morton", "point_id")
-    ahead = F.lead("morton", cap).over(order)
-    out = chunked.withColumn("__shared", F.when(ahead.isNotNull(), spatial.shared_levels(F.col("morton"), ahead)))
-    deepest = F.max("__shared").over(order.rowsBetween(-cap, 0))
+#: Levels below the deepest chunk that are counted first: a chunk of ten million points has leaves of 4,096 by then even
+#: where the points are a surface.
+BELOW = 7
+
+
+def _fitting(counts: DataFrame, digits: int, first: Column, cap: int) -> DataFrame:
+    """counts (cell of `digits` digits, chunk_level, n) with leaf_level: the first level from `first` to `digits` on which
+    the cell's ancestor holds at most `cap` points, or the last allowed one; null where there is none."""
     limit = F.least(F.col("chunk_level") + 20, F.lit(LEVELS))
-    return out.withColumn("leaf_level", F.least(F.greatest(F.coalesce(deepest + 1, F.lit(0)), F.col("chunk_level")), limit).cast("int")).drop("__shared")
+    levels = counts.withColumn("level", F.explode(F.sequence(first.cast("int"), F.least(limit, F.lit(digits)).cast("int"))))
+    levels = levels.withColumn("above", F.expr(f"shiftright(cell, 3 * ({digits} - level))"))
+    totals = levels.groupBy("level", "above").agg(F.sum("n").alias("total"))
+    ok = (F.col("total") <= cap) | (F.col("level") == limit)
+    return levels.join(totals, ["level", "above"]).groupBy("cell").agg(F.min(F.when(ok, F.col("level"))).alias("leaf_level"))
+
+
+def with_leaves(chunked: DataFrame, cap: int, digits: int | None = None) -> DataFrame:
+    """chunked (point_id, morton, chunk, chunk_level) with leaf_level: chunk_level at least, chunk_level + 20 or 21 at most.
+
+    digits: the level of the cells that are counted first; by default BELOW levels under the deepest chunk.
+    """
+    if digits is None:
+        deepest = chunked.agg(F.max("chunk_level")).first()[0]
+        digits = min(LEVELS, (deepest or 0) + BELOW)
+    cell = prefix("morton", digits)
+    counts = chunked.groupBy(cell.alias("cell"), "chunk_level").agg(F.count("*").alias("n"))
+    found = _fitting(counts, digits, F.col("chunk_level"), cap)
+    out = chunked.withColumn("cell", cell).join(found, "cell").drop("cell")
+    if digits < LEVELS:
+        full = found.where("leaf_level is null").select("cell")
+        codes = chunked.withColumn("cell", cell).join(full, "cell", "left_semi").groupBy(F.col("morton").alias("cell"), "chunk_level").agg(F.count("*").alias("n"))
+        deep = _fitting(codes, LEVELS, F.greatest(F.col("chunk_level"), F.lit(digits + 1)), cap).toDF("morton", "deep_level")
+        out = out.join(deep, "morton", "left").withColumn("leaf_level", F.coalesce("leaf_level", "deep_level")).drop("deep_level")
+    return out.select(*chunked.columns, F.col("leaf_level").cast("int").alias("leaf_level"))
+
+
+def merge_tasks(roots: DataFrame, most: int = 5_000_000) -> DataFrame:
+    """roots (chunk, num_points) with `task`: the shallowest proper ancestor that holds fewer than `most` points of all
+    roots, or the chunk itself where there is none. Tasks are disjoint subtrees, each of bounded size."""
+    above = roots.select("chunk", "num_points", F.explode(spatial.ancestors("chunk", proper=True)).alias("node"))
+    totals = above.groupBy("node").agg(F.sum("num_points").alias("total"))
+    small = above.join(totals.where(F.col("total") < most), "node").groupBy("chunk").agg(F.min_by("node", F.length("node")).alias("task"))
+    return roots.join(small, "chunk", "left").withColumn("task", F.coalesce("task", "chunk"))
 
 
 def leaves(leafed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from .stats import plane_moments
 
 
 def fit_planes(groups: DataFrame, *keys: str, least: int = 3) -> DataFrame:
-    """groups (keys, x, y, z) -> keys, n, cx, cy, cz, nx, ny, nz; groups of fewer than `least` points give none.
+    """groups (keys, x, y, z) -> keys, n, cx, cy, cz, nx, ny, nz, off_plane (mean squared distance); groups of fewer than `least` points give none.
 
     The normal's component of largest size is positive. Points alike in all directions give (1, 0, 0); on a line, where
     every normal across it is as good, one across its largest component is taken.
@@ -46,7 +46,9 @@ def fit_planes(groups: DataFrame, *keys: str, least: int = 3) -> DataFrame:
     x, y, z = (F.col(f"w.{k}") for k in "xyz")
     largest = F.when((F.abs(x) >= F.abs(y)) & (F.abs(x) >= F.abs(z)), x).when(F.abs(y) >= F.abs(z), y).otherwise(z)
     size = F.sqrt(x * x + y * y + z * z) * F.signum(largest)
-    return m.select(*keys, "n", "cx", "cy", "cz", (x / size).alias("nx"), (y / size).alias("ny"), (z / size).alias("nz"))
+    nx, ny, nz = x / size, y / size, z / size
+    off = xx * nx * nx + yy * ny * ny + zz * nz * nz + 2 * (xy * nx * ny + xz * nx * nz + yz * ny * nz)
+    return m.select(*keys, "n", "cx", "cy", "cz", nx.alias("nx"), ny.alias("ny"), nz.alias("nz"), F.greatest(off, F.lit(0.0)).alias("off_plane"))
 
 
 def pick_radius(spacing: float) -> float:
@@ -64,7 +66,8 @@ def refined(points: DataFrame, picks: DataFrame, nodes: DataFrame, cube, radius:
     if scope == "leaf":
         at = picks.select(F.col("query_id").alias("point_id"), *[F.col(f"q_{a}").alias(a) for a in "xyz"])
         own = joins.locate(at, nodes, cube).select(F.col("point_id").alias("query_id"), F.col("node").alias("pick_node"))
-        theirs = joins.locate(points, nodes, cube).select("point_id", "node")
+        close = near.select("point_id", "x", "y", "z").distinct()  # only what is near a pick is located
+        theirs = joins.locate(close, nodes, cube).select("point_id", "node")
         near = near.join(own, "query_id").join(theirs, "point_id").where("node = pick_node")
     elif scope != "all":
         raise ValueError(f"unknown scope {scope!r}")

@@ -34,11 +34,19 @@ def recent(touches: DataFrame, most: int = RECENT) -> DataFrame:
     return last.orderBy(F.desc("at"), "path").limit(most)
 
 
+def data_folder() -> Path:
+    """Where projects are kept: POINTLOOM_HOME, or a folder in the user's home; the working folder without one."""
+    if own := os.environ.get("POINTLOOM_HOME"):
+        return Path(own)
+    home = os.environ.get("HOME")
+    return (Path(home) if home else Path.cwd()) / ".pointloom"
+
+
 class ProjectFolder:
     """A folder of projects; a project is a folder with project.json. Entries whose folder is gone drop out of the list."""
 
-    def __init__(self, root: str):
-        self.root = Path(root)
+    def __init__(self, root: str | None = None):
+        self.root = Path(root) if root else data_folder()
 
     @staticmethod
     def _slug(name: str) -> str:

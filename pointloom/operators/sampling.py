@@ -6,14 +6,13 @@ parent's node; those accepted go on, the others stay where they were.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.spatial import Cube
+from . import scratch
 from .octree import prefix
 
 
@@ -98,37 +97,21 @@ def sample_groups(offered: DataFrame, spacing: float, cube: Cube, level: int, sa
     return offered.groupBy("group").applyInPandas(run, StructType([*offered.schema.fields, StructField("accepted", BooleanType())]))
 
 
-def shared_folder(spark) -> str:
-    """A new name in the folder that driver and executors share; in a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="pointloom-")
-    return f"{folder.rstrip('/')}/levels-{uuid.uuid4().hex}"
-
-
 def lod_owners(leafed: DataFrame, cube: Cube, grid_size: int, sampling: str = "poisson", compat: str = "strict") -> DataFrame:
     """leafed (point_id, morton, x, y, z, leaf_level) -> (point_id, morton, leaf_level, owner_level).
 
     Each level's table is written to the shared folder, so lineage does not grow with the depth. Only accepted points go on,
     about an eighth where the data are dense.
     """
-    spark = leafed.sparkSession
-    root = shared_folder(spark)
-
-    def keep(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.schema(frame.schema).parquet(f"{root}/{name}")
-
-    rows = keep(leafed.select("point_id", "morton", "x", "y", "z", "leaf_level"), "leafed")
+    root = scratch.folder(leafed.sparkSession)
+    rows = scratch.keep(leafed.select("point_id", "morton", "x", "y", "z", "leaf_level"), "leafed", root)
     depth = rows.agg(F.max("leaf_level")).first()[0]
     done = []
     moving = rows.where(f"leaf_level = {depth if depth is not None else 0}")
     for level in range((depth or 0) - 1, -1, -1):
         spacing = cube.edge / grid_size / 2**level
         offered = moving.withColumn("group", prefix("morton", level))
-        told = keep(sample_groups(offered, spacing, cube, level, sampling, compat).drop("group"), f"level{level}")
+        told = scratch.keep(sample_groups(offered, spacing, cube, level, sampling, compat).drop("group"), f"level{level}", root)
         done.append(told.where("not accepted").select("point_id", "morton", "leaf_level", F.lit(level + 1).alias("owner_level")))
         moving = told.where("accepted").drop("accepted").union(rows.where(f"leaf_level = {level}"))
     done.append(moving.select("point_id", "morton", "leaf_level", F.lit(0).alias("owner_level")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import spatial
 from ..functions.spatial import Cube
-from ..operators import octree, sampling, stats
+from ..operators import attributes, octree, sampling, scratch
 from .options import BuildOptions
 
 STAGES = ("bounds", "chunks", "leaves", "sampling", "writing")
@@ -56,27 +56,25 @@ def build_dataset(points: DataFrame, path: str, name: str = "dataset", options:
     progress("bounds", 1.0)
     leafed.write.mode("overwrite").parquet(f"{path}/_leafed")
     leafed = spark.read.schema(leafed.schema).parquet(f"{path}/_leafed")
-    progress("chunks", 1.0)
     leafed.groupBy("chunk", F.col("chunk_level").alias("level")).agg(F.count("*").alias("num_points")).write.mode("overwrite").parquet(f"{path}/chunks")
+    progress("chunks", 1.0)
+    every = scratch.keep(octree.nodes(octree.leaves(leafed)), "_nodes", path)
     progress("leaves", 1.0)
     owned = sampling.lod_owners(leafed, cube, options.grid_size(total), options.sampling).select("point_id", "owner_level")
     owned = leafed.join(owned, "point_id").withColumn("node", spatial.path(F.col("morton"), F.col("owner_level")))
     owned = owned.withColumn("batch", F.substring("node", 1, options.step_size + 1))
-    owned.repartition("batch").sortWithinPartitions("batch", "morton").write.mode("overwrite").partitionBy("batch").parquet(f"{path}/points")
+    # A batch is dealt over several tasks by the chunk as well, and AQE cuts what is still large.
+    owned.repartition("batch", "chunk").sortWithinPartitions("batch", "morton").write.mode("overwrite").partitionBy("batch").parquet(f"{path}/points")
     owned = spark.read.parquet(f"{path}/points")
     progress("sampling", 1.0)
-    every = octree.nodes(octree.leaves(leafed))
     nodes = every.join(octree.child_masks(every), "node").join(octree.tight_boxes(owned), "node", "left").withColumn("num_points", F.coalesce("num_points", F.lit(0)))
     nodes.withColumn("spacing", F.lit(cube.edge / options.grid_size(total)) / F.pow(F.lit(2.0), F.col("level"))).write.mode("overwrite").parquet(f"{path}/nodes")
-    names = [c for c, t in points.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and c != "point_id"]
-    ranges = stats.attribute_ranges(points, names)
-    ranges.write.mode("overwrite").parquet(f"{path}/attributes")
+    attributes.statistics(points, attributes.attributes_of(points)).write.mode("overwrite").parquet(f"{path}/attributes")
     depth = spark.read.parquet(f"{path}/nodes").agg(F.max("level")).first()[0] or 0
     kept = [r.asDict() for r in spark.read.parquet(f"{path}/attributes").collect()]  # one row an attribute
     spark.createDataFrame([(json.dumps(metadata(name, cube, total, depth, options, kept)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-    jvm = spark.sparkContext._jvm
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}/_leafed")
-    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    for old in ("_leafed", "_nodes"):
+        scratch.delete(spark, f"{path}/{old}")
     progress("writing", 1.0)
     return open_dataset(spark, path)
 

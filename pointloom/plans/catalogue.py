@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import shutil
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import codec, geometry as g, spatial
 from ..functions.codec import Attribute
 from ..functions.spatial import AXES, Cube
-from ..operators import joins, lod, measure, octree, planefit, projects, sampling, stats
-from ..sources import las, rooms, views
+from ..operators import attributes, joins, lod, measure, octree, planefit, projects, sampling, scratch, stats
+from ..sources import las, registry, rooms, views
 from ..streaming import sessions
 from . import oracles as o
 from .options import BuildOptions
@@ -20,10 +18,13 @@ from .options import BuildOptions
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-GRID, LEVEL, LEAF = 128, 7, 64
+#: WHOLE is the usual size of a leaf; the smaller LEAF gives deeper trees on the small tables.
+GRID, LEVEL, LEAF, WHOLE = 128, 7, 64, BuildOptions().first_chunk_size
 _OPTIONS = BuildOptions(first_chunk_size=LEAF)
 CAMERA = g.Camera((250.0, -400.0, 300.0), (250.0, 125.0, 50.0))
-WIDTH, HEIGHT, THRESHOLD = 1024, 768, 0.2
+WIDTH, HEIGHT = 1024, 768
+#: Sees about 60 percent of the nodes, and a quarter of them are coarse enough to be split down to.
+VIEW, THRESHOLD = g.Camera((60.0, -80.0, 90.0), (120.0, 120.0, 40.0), fov=45.0), 2.0
 PLANE = ((100.0, 30.0, 20.0), (0.0, 0.6, 0.8))
 
 
@@ -143,20 +144,21 @@ def _chunked(spark, sf_dir):
     return octree.with_chunks(coded, plan, LEVEL), plan, cube
 
 
-def _leafed(spark, sf_dir):
+def _leafed(spark, sf_dir, leaf: int = LEAF):
     chunked, _, cube = _chunked(spark, sf_dir)
-    return octree.with_leaves(chunked, LEAF), cube
+    return octree.with_leaves(chunked, leaf), cube
 
 
-def _nodes(spark, sf_dir):
-    leafed, cube = _leafed(spark, sf_dir)
+def _nodes(spark, sf_dir, leaf: int = LEAF):
+    leafed, cube = _leafed(spark, sf_dir, leaf)
     return octree.nodes(octree.leaves(leafed)), cube
 
 
 _CHUNKS = f"WITH {o.base('ord')}, {o.chunks(LEVEL, 'CAST(floor(cnt.total / 20) AS BIGINT)')}"
 _LEAVES = f"{_CHUNKS}, {o.leaves(LEAF)}"
+_WHOLE_LEAVES = f"{_CHUNKS}, {o.leaves(WHOLE)}"
 _BOXED = f"{_LEAVES}, {o.boxes(GRID)}"
-_SEEN = f"{_BOXED}, seen AS (SELECT boxed.*, ({o.frustum(CAMERA.planes())}) AS visible, {o.screen_error(CAMERA.position, CAMERA.factor(HEIGHT))} AS error FROM boxed)"
+_SEEN = f"{_BOXED}, seen AS (SELECT boxed.*, ({o.frustum(VIEW.planes())}) AS visible, {o.screen_error(VIEW.position, VIEW.factor(HEIGHT))} AS error FROM boxed)"
 _SELECTED = (
     f"{_SEEN}, up AS (SELECT node, substr(node, 1, CAST(k AS INTEGER)) AS ancestor FROM (SELECT node, unnest(range(1, length(node))) AS k FROM seen WHERE visible)), "
     f"bad AS (SELECT DISTINCT up.node FROM up LEFT JOIN seen s ON up.ancestor = s.node WHERE NOT coalesce(s.visible AND s.error > {THRESHOLD}, false)), "
@@ -189,8 +191,13 @@ def chunk_counts(spark, sf_dir):
     return _chunked(spark, sf_dir)[0].groupBy("chunk").agg(F.count("*").alias("num_points"))
 
 
-@query(f"{_LEAVES} SELECT node, CAST(level AS INTEGER) AS level, num_points FROM leaf")
+@query(f"{_WHOLE_LEAVES} SELECT node, CAST(level AS INTEGER) AS level, num_points FROM leaf")
 def octree_leaves(spark, sf_dir):
+    return octree.leaves(_leafed(spark, sf_dir, WHOLE)[0])
+
+
+@query(f"{_LEAVES} SELECT node, CAST(level AS INTEGER) AS level, num_points FROM leaf")
+def octree_leaves_fine(spark, sf_dir):
     return octree.leaves(_leafed(spark, sf_dir)[0])
 
 
@@ -259,32 +266,68 @@ def _sampled(spark, sf_dir, how: str) -> tuple[DataFrame, float]:
     return sampling.sample_groups(coded, spacing, cube, 1, how), spacing
 
 
-@query()
+_WALK = (
+    "walk(grp, k, kept) AS (SELECT grp, k, [point_id] FROM g WHERE k = 1 UNION ALL SELECT g.grp, g.k, CASE WHEN EXISTS (SELECT 1 FROM g h WHERE h.grp = g.grp AND list_contains(w.kept, h.point_id) "
+    "AND power(h.x - g.x, 2) + power(h.y - g.y, 2) + power(h.z - g.z, 2) < power(g.edge / 16, 2)) THEN w.kept ELSE list_append(w.kept, g.point_id) END FROM walk w JOIN g ON g.grp = w.grp AND g.k = w.k + 1), "
+    "fin AS (SELECT grp, arg_max(kept, k) AS kept FROM walk GROUP BY grp) SELECT g.point_id, g.grp AS \"group\", list_contains(f.kept, g.point_id) AS accepted FROM g JOIN fin f USING (grp)"
+)
+_FROM_CENTRE = " + ".join(f"power({a} - (c{a} + (CAST(morton // (CAST(1 AS BIGINT) << 60) // {bit} % 2 AS DOUBLE) + 0.5) * (edge / 2)), 2)" for a, bit in zip(AXES, (4, 2, 1), strict=True))
+
+
+@query(f"WITH RECURSIVE {o.base('emb')}, g AS (SELECT *, morton // (CAST(1 AS BIGINT) << 60) AS grp, row_number() OVER (PARTITION BY morton // (CAST(1 AS BIGINT) << 60) ORDER BY {_FROM_CENTRE}, point_id) AS k FROM coded), {_WALK}")
 def poisson_sample(spark, sf_dir):
     return _sampled(spark, sf_dir, "poisson")[0].select("point_id", "group", "accepted")
 
 
 @query(
-    f"WITH RECURSIVE {o.base('emb')}, g AS (SELECT *, morton // (CAST(1 AS BIGINT) << 60) AS grp, row_number() OVER (PARTITION BY morton // (CAST(1 AS BIGINT) << 60) ORDER BY point_id) AS k FROM coded), "
-    "walk(grp, k, kept) AS (SELECT grp, k, [point_id] FROM g WHERE k = 1 UNION ALL SELECT g.grp, g.k, CASE WHEN EXISTS (SELECT 1 FROM g h WHERE h.grp = g.grp AND list_contains(w.kept, h.point_id) "
-    "AND power(h.x - g.x, 2) + power(h.y - g.y, 2) + power(h.z - g.z, 2) < power(g.edge / 16, 2)) THEN w.kept ELSE list_append(w.kept, g.point_id) END FROM walk w JOIN g ON g.grp = w.grp AND g.k = w.k + 1), "
-    "fin AS (SELECT grp, arg_max(kept, k) AS kept FROM walk GROUP BY grp) SELECT g.point_id, g.grp AS \"group\", list_contains(f.kept, g.point_id) AS accepted FROM g JOIN fin f USING (grp)"
+    f"WITH RECURSIVE {o.base('emb')}, g AS (SELECT *, morton // (CAST(1 AS BIGINT) << 60) AS grp, row_number() OVER (PARTITION BY morton // (CAST(1 AS BIGINT) << 60) ORDER BY point_id) AS k FROM coded), {_WALK}"
 )
 def order_greedy_sample(spark, sf_dir):
     return _sampled(spark, sf_dir, "poisson_average")[0].select("point_id", "group", "accepted")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+@query("SELECT CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS uncovered, (SELECT count(*) FROM embeddings) AS points")
 def poisson_invariant_violations(spark, sf_dir):
+    """Accepted pairs that are too near, and refused points without an accepted one near."""
     rows, spacing = _sampled(spark, sf_dir, "poisson")
+    rows = scratch.keep(rows, "sampled")
     kept = rows.where("accepted").select("group", "point_id", *AXES)
     pairs = joins.radius_join(kept, kept.select(F.col("point_id").alias("query_id"), F.col("group").alias("q_group"), *[F.col(a).alias(f"q_{a}") for a in AXES]), spacing)
-    return pairs.where(f"`group` = q_group and query_id < point_id and d2 < {spacing * spacing!r}D").agg(F.count("*").alias("violations"))
+    near = pairs.where(f"`group` = q_group and query_id < point_id and d2 < {spacing * spacing!r}D").agg(F.count("*").alias("violations"))
+    refused = rows.where("not accepted").select(F.col("point_id").alias("query_id"), F.col("group").alias("q_group"), *[F.col(a).alias(f"q_{a}") for a in AXES])
+    covered = joins.radius_join(kept, refused, spacing).where(f"`group` = q_group and d2 < {spacing * spacing!r}D").select("query_id").distinct()
+    bare = refused.join(covered, "query_id", "left_anti").agg(F.count("*").alias("uncovered"))
+    return near.join(F.broadcast(bare), F.lit(True)).join(F.broadcast(rows.agg(F.count("*").alias("points"))), F.lit(True))  # one row each
+
+
+def _stride_levels() -> str:
+    """Owners when every second point of a node goes up, as one common table expression a level."""
+    out = [f"m21 AS (SELECT point_id, whole FROM leafed WHERE leaf_level = 21)"]
+    for k in range(20, -1, -1):
+        out.append(f"a{k} AS (SELECT point_id, whole, row_number() OVER (PARTITION BY substr(whole, 1, {k + 1}) ORDER BY point_id) % 2 = 1 AS up FROM m{k + 1})")
+        out.append(f"m{k} AS (SELECT point_id, whole FROM a{k} WHERE up UNION ALL SELECT point_id, whole FROM leafed WHERE leaf_level = {k})")
+    owned = " UNION ALL ".join(["SELECT point_id, whole, 0 AS owner_level FROM m0", *(f"SELECT point_id, whole, {k + 1} FROM a{k} WHERE NOT up" for k in range(21))])
+    return f"{', '.join(out)}, owned AS ({owned})"
+
+
+@query(f"{_LEAVES}, {_stride_levels()} SELECT CAST(leaf_level AS INTEGER) AS leaf_level, owner_level, count(*) AS num_points FROM owned JOIN leafed USING (point_id) GROUP BY 1, 2")
+def lod_owner_stride(spark, sf_dir):
+    leafed, cube = _leafed(spark, sf_dir)
+    return sampling.lod_owners(leafed, cube, GRID, "random").groupBy("leaf_level", "owner_level").agg(F.count("*").alias("num_points"))
+
+
+@query(f"{_LEAVES}, {_stride_levels()}, per AS (SELECT substr(whole, 1, owner_level + 1) AS node, count(*) AS n FROM owned GROUP BY 1) SELECT nodes.level, count(*) AS nodes, CAST(coalesce(sum(per.n), 0) AS BIGINT) AS points FROM nodes LEFT JOIN per USING (node) GROUP BY 1")
+def dataset_build(spark, sf_dir):
+    """The whole build, written and read again: nodes of each level and the points that they own."""
+    from . import build
+
+    built = build.build_dataset(views.points_of_orders(spark, sf_dir), scratch.folder(spark), options=BuildOptions(first_chunk_size=LEAF, sampling="random"))
+    return built.nodes.groupBy("level").agg(F.count("*").alias("nodes"), F.sum("num_points").alias("points"))
 
 
 @query()
 def lod_owner_level(spark, sf_dir):
-    leafed, cube = _leafed(spark, sf_dir)
+    leafed, cube = _leafed(spark, sf_dir, WHOLE)
     return sampling.lod_owners(leafed, cube, GRID).groupBy("leaf_level", "owner_level").agg(F.count("*").alias("num_points"))
 
 
@@ -361,12 +404,31 @@ def plane_fit(spark, sf_dir):
     return f.select("classification", "n", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
 
 
-@query(f"WITH {o.points('emb')} SELECT q.point_id AS query_id, count(*) AS n FROM pts q JOIN pts p ON {_PAIR} <= {0.1 * 0.1!r}::DOUBLE GROUP BY 1 HAVING count(*) >= 6")
+#: Added before rounding, so that means that end on a half are rounded alike whatever the order of summing.
+_TIE = 1.7e-8
+
+
+def _least_moment(pairs: str, places: int) -> str:
+    """For each query of `pairs` (query_id, x, y, z): points, centroid and their variance across the best plane."""
+    centres = ", ".join(f"round({c} + {_TIE!r}::DOUBLE, {places}) AS {c}" for c in ("cx", "cy", "cz"))
+    return (
+        f"pairs AS ({pairs}), m AS (SELECT query_id, {_MOMENTS} FROM pairs GROUP BY 1 HAVING count(*) >= 6), a AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), "
+        "b AS (SELECT *, sqrt((power(xx - q, 2) + power(yy - q, 2) + power(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM a), "
+        "c AS (SELECT *, ((xx - q) / p * ((yy - q) / p * (zz - q) / p - yz / p * yz / p) - xy / p * (xy / p * (zz - q) / p - yz / p * xz / p) + xz / p * (xy / p * yz / p - (yy - q) / p * xz / p)) / 2 AS half FROM b) "
+        f"SELECT query_id, n, {centres}, round(greatest(q + 2 * p * cos(acos(least(greatest(half, -1), 1)) / 3 + 2 * pi() / 3), 0) + {_TIE!r}::DOUBLE, {places}) AS off_plane FROM c"
+    )
+
+
+def _shown_planes(fits: DataFrame, places: int) -> DataFrame:
+    return fits.select("query_id", "n", *[(F.round(F.col(c) + _TIE, places) + 0.0).alias(c) for c in ("cx", "cy", "cz", "off_plane")])
+
+
+@query(f"WITH {o.points('emb')}, " + _least_moment(f"SELECT q.point_id AS query_id, p.x, p.y, p.z FROM pts q JOIN pts p ON {_PAIR} <= {0.1 * 0.1!r}::DOUBLE", 7))
 def pick_assist(spark, sf_dir):
-    """Neighbourhoods that are large enough for a plane, with the normal left to the tests."""
+    """Planes of neighbourhoods that are large enough; the variance across the plane tells whether the normal is right."""
     p = views.points_of_embeddings(spark, sf_dir)
     q = p.select(F.col("point_id").alias("query_id"), *[F.col(a).alias(f"q_{a}") for a in AXES])
-    return planefit.fit_planes(joins.radius_join(p, q, 0.1), "query_id", least=6).select("query_id", "n")
+    return _shown_planes(planefit.fit_planes(joins.radius_join(p, q, 0.1), "query_id", least=6), 7)
 
 
 # Measurements
@@ -427,17 +489,17 @@ def _boxed(spark, sf_dir) -> DataFrame:
 
 @query(f"{_SEEN} SELECT node FROM seen WHERE visible")
 def frustum_nodes(spark, sf_dir):
-    return _boxed(spark, sf_dir).where(lod.in_frustum(CAMERA.planes())).select("node")
+    return _boxed(spark, sf_dir).where(lod.in_frustum(VIEW.planes())).select("node")
 
 
 @query(f"{_SEEN} SELECT node, round(error, 5) AS error FROM seen")
 def sse_nodes(spark, sf_dir):
-    return _boxed(spark, sf_dir).select("node", F.round(lod.screen_error(CAMERA, HEIGHT, F.col("spacing")), 5).alias("error"))
+    return _boxed(spark, sf_dir).select("node", F.round(lod.screen_error(VIEW, HEIGHT, F.col("spacing")), 5).alias("error"))
 
 
 @query(f"{_SELECTED} SELECT node, level FROM chosen")
 def lod_select(spark, sf_dir):
-    return lod.select_nodes(_boxed(spark, sf_dir), CAMERA, THRESHOLD, HEIGHT).select("node", "level")
+    return lod.select_nodes(_boxed(spark, sf_dir), VIEW, THRESHOLD, HEIGHT).select("node", "level")
 
 
 @query(f"{_SELECTED}, own AS (SELECT point_id, substr(whole, 1, CAST(leaf_level AS INTEGER) + 1) AS node FROM leafed) SELECT point_id, own.node FROM own JOIN chosen ON own.node = chosen.node")
@@ -505,9 +567,17 @@ def _frames(spark, sf_dir) -> DataFrame:
 _FRAMES = "fr AS (SELECT DISTINCT user_id AS session, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS frame, 'r' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS node FROM events)"
 
 
-@query()
+_BUDGET = 25
+
+
+@query(
+    f"WITH RECURSIVE {_FRAMES}, t AS (SELECT session, frame, list(node ORDER BY node) AS touched FROM fr GROUP BY 1, 2), "
+    f"step(session, frame, live, gone) AS (SELECT session, frame, touched, CAST(0 AS BIGINT) FROM t WHERE frame = 0 UNION ALL SELECT session, frame, list_slice(aged, CAST(n + 1 AS BIGINT), len(aged)) || touched, n FROM "
+    f"(SELECT session, frame, aged, touched, least(greatest(len(aged) + len(touched) - {_BUDGET}, 0), len(aged)) AS n FROM (SELECT t.session, t.frame, list_filter(s.live, lambda x: NOT list_contains(t.touched, x)) AS aged, t.touched AS touched FROM step s JOIN t ON t.session = s.session AND t.frame = s.frame + 1))) "
+    "SELECT session, CAST(frame AS BIGINT) AS frame, CAST(len(live) AS BIGINT) AS resident, CAST(gone AS BIGINT) AS evicted FROM step"
+)
 def lru_trace(spark, sf_dir):
-    return sessions.lru_trace(_frames(spark, sf_dir), 25)
+    return sessions.lru_trace(_frames(spark, sf_dir), _BUDGET)
 
 
 @query(
@@ -546,7 +616,7 @@ def union_sources(spark, sf_dir):
 
 @query(f"{_SELECTED}, act AS (SELECT node FROM chosen) SELECT leaf.node, num_points FROM leaf WHERE node IN (SELECT node FROM act)")
 def active_semi(spark, sf_dir):
-    return octree_leaves(spark, sf_dir).join(lod_select(spark, sf_dir), "node", "left_semi").select("node", "num_points")
+    return octree_leaves_fine(spark, sf_dir).join(lod_select(spark, sf_dir), "node", "left_semi").select("node", "num_points")
 
 
 @query(f"{_SELECTED} SELECT nodes.node FROM nodes WHERE node NOT IN (SELECT node FROM chosen)")
@@ -601,17 +671,19 @@ def dataset_metadata_json(spark, sf_dir):
     return doc.select("d.points", _r(F.col("d.spacing")).alias("spacing"), _r(F.col("d.boundingBox.min")[0]).alias("min_x"), _r(F.col("d.boundingBox.max")[0]).alias("max_x"), F.col("d.hierarchy.depth").alias("depth"))
 
 
-@query()
+_STORED = ("x", "z", "intensity", "classification", "r", "g", "b")
+
+
+@query(f"WITH {o.points('line')} SELECT count(*) AS points, {', '.join(f'CAST(round(sum({c}), 3) AS DOUBLE) AS {c}' for c in _STORED)} FROM pts")
 def las_roundtrip(spark, sf_dir):
-    """The grid fixture written as a point file in the shared folder and read again; the file is gone afterwards."""
+    """The whole point view written as point files, one a partition, and read again; the files are gone afterwards."""
     las.register(spark)
-    folder = Path(sampling.shared_folder(spark).removeprefix("file://"))
-    folder.mkdir(parents=True)
+    folder = scratch.folder(spark)
+    las.write_las_files(views.points_of_lineitem(spark, sf_dir), folder)
     try:
-        las.write_las(views.grid_points(spark), f"{folder}/sample.las")
-        rows = spark.read.format("las").load(f"{folder}/sample.las").agg(F.count("*").alias("points"), F.min("x").alias("min_x"), F.max("z").alias("max_z"), F.sum("r").alias("sum_r"), F.max("return_number").alias("returns")).collect()
+        rows = spark.read.format("las").option("columns", ",".join(_STORED)).load(folder).agg(F.count("*").alias("points"), *[F.round(F.sum(c), 3).cast("double").alias(c) for c in _STORED]).collect()
     finally:
-        shutil.rmtree(folder)
+        scratch.delete(spark, folder)
     return spark.createDataFrame(rows)
 
 
@@ -630,13 +702,135 @@ def room_text_parse(spark, sf_dir):
 _NEAR = 20.0
 
 
-@query(f"{_LEAVES}, w AS (SELECT coded.point_id, coded.x, coded.y, coded.z, l.node FROM coded JOIN (SELECT point_id, substr(whole, 1, CAST(leaf_level AS INTEGER) + 1) AS node FROM leafed) l USING (point_id)) SELECT q.point_id AS query_id, count(*) AS n FROM w q JOIN w p ON q.node = p.node AND {_PAIR} <= {_NEAR * _NEAR} WHERE q.point_id % 20 = 0 GROUP BY 1 HAVING count(*) >= 6")
+@query(f"{_LEAVES}, w AS (SELECT coded.point_id, coded.x, coded.y, coded.z, l.node FROM coded JOIN (SELECT point_id, substr(whole, 1, CAST(leaf_level AS INTEGER) + 1) AS node FROM leafed) l USING (point_id)), " + _least_moment(f"SELECT q.point_id AS query_id, p.x, p.y, p.z FROM w q JOIN w p ON q.node = p.node AND {_PAIR} <= {_NEAR * _NEAR} WHERE q.point_id % 20 = 0", 4))
 def refined_planes(spark, sf_dir):
-    """Planes from the pick's own leaf, for every point whose id is divisible by 20; the normals are left to the tests."""
+    """Planes from the pick's own leaf, for every point whose id is divisible by 20."""
     leafed, cube = _leafed(spark, sf_dir)
     names = octree.nodes(octree.leaves(leafed)).where("is_leaf = 1")
     p = views.points_of_orders(spark, sf_dir)
-    return planefit.refined(p, _queries(p), names, cube, _NEAR).select("query_id", "n")
+    return _shown_planes(planefit.refined(p, _queries(p), names, cube, _NEAR), 4)
+
+
+@query(f"WITH {o.points('emb')}, " + _least_moment(f"SELECT q.point_id AS query_id, p.x, p.y, p.z FROM pts q JOIN pts p ON {_PAIR} <= {0.2 * 0.2!r}::DOUBLE WHERE q.point_id % 20 = 0", 7))
+def planes_of_all_nodes(spark, sf_dir):
+    """As refined_planes, from the points of every node."""
+    p = views.points_of_embeddings(spark, sf_dir)
+    return _shown_planes(planefit.refined(p, _queries(p), p.limit(0), None, 0.2, scope="all"), 7)
+
+
+@query(f"{_LEAVES}, n AS (SELECT node, level FROM nodes), w AS (SELECT point_id, 'r' || {o.digits('morton')} AS whole FROM coded) SELECT w.point_id, arg_max(n.node, n.level) AS node, CAST(max(n.level) AS INTEGER) AS level FROM w JOIN n ON starts_with(w.whole, n.node) GROUP BY 1")
+def point_location_closed(spark, sf_dir):
+    """Location by closed cubes, first child in digit order; no point of these tables is on a middle, so it is the same."""
+    nodes, cube = _nodes(spark, sf_dir)
+    return joins.locate(views.points_of_orders(spark, sf_dir), nodes, cube, boundary="lower")
+
+
+# Attributes by handler
+
+
+_WITH_HANDLER = (("position", ("x", "y", "z")), ("rgb", ("r", "g", "b")), ("classification", ("classification",)), ("intensity", ("intensity",)))
+
+
+@query(f"WITH {o.points('line')} " + " UNION ALL ".join(f"SELECT '{n}' AS attribute, '{c}' AS component, CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, {'count(DISTINCT least(greatest(classification, 0), 255))' if n == 'classification' else 'CAST(0 AS BIGINT)'} AS filled FROM pts" for n, cs in _WITH_HANDLER for c in cs))
+def attribute_dispatch(spark, sf_dir):
+    """Statistics of every attribute by the handler of its name; of a histogram the number of bins that are filled."""
+    p = views.points_of_lineitem(spark, sf_dir)
+    found = attributes.statistics(p, attributes.attributes_of(p))
+    filled = F.when(F.col("histogram").isNotNull(), F.size(F.filter("histogram", lambda n: n > 0)))
+    return found.select("attribute", "component", "min_value", "max_value", F.coalesce(filled.cast("long"), F.lit(0)).alias("filled"))
+
+
+@query(f"WITH {o.points('line')}, e AS (SELECT {', '.join(f'CAST(trunc(least(greatest(({c} - 1.0) / 0.5, 0), 65535)) AS INTEGER) AS {c}' for c in ('x', 'y', 'z', 'intensity'))} FROM pts) SELECT x, y, z, intensity, count(*) AS n FROM e GROUP BY 1, 2, 3, 4")
+def attribute_encode(spark, sf_dir):
+    p = views.points_of_lineitem(spark, sf_dir)
+    layout = lambda n: Attribute(n, "uint16", 0.5, 1.0)
+    columns = [c.cast("int").alias(k) for n, ks in (("position", AXES), ("intensity", ("intensity",))) for c, k in zip(attributes.handler_of(n).encode(n, layout(n)), ks, strict=True)]
+    return p.select(*columns).groupBy("x", "y", "z", "intensity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {o.points('emb')} SELECT classification, arg_max(x, point_id) AS x, arg_max(y, point_id) AS y, arg_max(z, point_id) AS z FROM pts GROUP BY 1")
+def representative_pick(spark, sf_dir):
+    """Of each class the position of one point, that of the greatest id."""
+    p = views.points_of_embeddings(spark, sf_dir)
+    return attributes.handler_of("position").picked(p, "position", -F.col("point_id"), "classification")
+
+
+# Selections
+
+
+_STEPS = BuildOptions().step_size
+
+
+def _records(nodes: DataFrame) -> DataFrame:
+    """Hierarchy records: every node, and one of type 2 in the first batch for each further batch."""
+    own = nodes.select("node", "level", F.when(F.col("is_leaf") == 1, 1).otherwise(0).alias("node_type"))
+    return own.union(own.where(f"level = {_STEPS}").select("node", "level", F.lit(2)))
+
+
+@query(f"{_LEAVES} SELECT node, level FROM nodes")
+def all_nodes(spark, sf_dir):
+    return lod.select(_records(_nodes(spark, sf_dir)[0]), "all").select("node", "level")
+
+
+@query(f"{_SELECTED} SELECT CAST(coalesce(sum(num_points), 0) AS BIGINT) AS points FROM leaf WHERE node IN (SELECT node FROM chosen)")
+def visible_points(spark, sf_dir):
+    return lod.visible_points(active_semi(spark, sf_dir))
+
+
+@query(f"{_SELECTED}, t AS (SELECT substr(l.whole, 1, CAST(leaf_level AS INTEGER) + 1) AS node, x, y, z FROM leafed l JOIN pts USING (point_id)) SELECT {', '.join(f'{k}({a}) AS {k}_{a}' for a in AXES for k in ('min', 'max'))} FROM t WHERE node IN (SELECT node FROM chosen)")
+def active_box(spark, sf_dir):
+    return lod.overall_box(registry.load(lod_select(spark, sf_dir), node_tight_bbox(spark, sf_dir)))
+
+
+@query(f"{_SELECTED}, res AS (SELECT node, num_points AS last_touch, num_points > 55 AS touched FROM leaf WHERE num_points % 2 = 0), ov AS (SELECT greatest(count(*) - 40, 0) AS n FROM res), ranked AS (SELECT node, row_number() OVER (ORDER BY last_touch, node) AS k FROM res WHERE NOT touched), gone AS (SELECT node FROM ranked, ov WHERE k <= n) SELECT node, true AS loaded FROM res WHERE node NOT IN (SELECT node FROM gone) UNION ALL SELECT node, false FROM chosen WHERE node NOT IN (SELECT node FROM res)")
+def active_set(spark, sf_dir):
+    """Leaves with an even number of points are loaded, and there is room for 40."""
+    leaf = octree_leaves_fine(spark, sf_dir)
+    resident = leaf.where("num_points % 2 = 0").select("node", F.col("num_points").alias("last_touch"), (F.col("num_points") > 55).alias("touched"))
+    return lod.active_set(resident, lod_select(spark, sf_dir).select("node"), 40)
+
+
+_TASK = 2000
+
+
+@query(f"{_CHUNKS}, c AS (SELECT chunk, count(*) AS num_points FROM chunked GROUP BY 1), a AS (SELECT chunk, num_points, substr(chunk, 1, CAST(k AS INTEGER)) AS node FROM (SELECT chunk, num_points, unnest(range(1, length(chunk))) AS k FROM c)), t AS (SELECT node, sum(num_points) AS total FROM a GROUP BY 1), s AS (SELECT a.chunk, arg_min(a.node, length(a.node)) AS task FROM a JOIN t USING (node) WHERE total < {_TASK} GROUP BY 1) SELECT c.chunk, c.num_points, coalesce(s.task, c.chunk) AS task FROM c LEFT JOIN s USING (chunk)")
+def merge_tasks(spark, sf_dir):
+    """Chunk roots by the task that merges them, under _TASK points each."""
+    chunked = _chunked(spark, sf_dir)[0]
+    return octree.merge_tasks(chunked.groupBy("chunk").agg(F.count("*").alias("num_points")), _TASK).select("chunk", "num_points", "task")
+
+
+@query(f"{_CHUNKS}, c AS (SELECT chunk, count(*) AS num_points FROM chunked GROUP BY 1), k AS (SELECT DISTINCT substr(chunk, 1, CAST(k AS INTEGER)) AS node FROM (SELECT chunk, unnest(range(1, length(chunk) + 1)) AS k FROM c)) SELECT k.node, coalesce(c.num_points, 0) AS num_points, c.chunk IS NOT NULL AS is_root FROM k LEFT JOIN c ON k.node = c.chunk")
+def chunk_roots(spark, sf_dir):
+    """The skeleton's nodes with the record of the chunk that hangs there, by an equi-join on the name."""
+    chunked = _chunked(spark, sf_dir)[0]
+    per = chunked.groupBy("chunk").agg(F.count("*").alias("num_points"))
+    return octree.skeleton(per).join(per.withColumnRenamed("chunk", "node"), "node", "left").select("node", F.coalesce("num_points", F.lit(0)).alias("num_points"), F.col("num_points").isNotNull().alias("is_root"))
+
+
+def _segments_sql() -> str:
+    foot = {a: f"({a}0 - {n}::DOUBLE * {_OFF})" for a, n in zip(AXES, _N, strict=True)}
+    ends = {"whole": ({a: f"{a}0" for a in AXES}, {a: f"{a}1" for a in AXES}), "perpendicular": ({a: f"{a}0" for a in AXES}, foot), "in_plane": (foot, {a: f"{a}1" for a in AXES})}
+    rows = []
+    for part, (p, q) in ends.items():
+        text = {"whole": "Dist", "perpendicular": "Perp", "in_plane": "InPlane"}[part]
+        size = f"abs({_OFF})" if part == "perpendicular" else "sqrt(" + " + ".join(f"power({p[a]} - {q[a]}, 2)" for a in AXES) + ")"
+        rows.append(f"SELECT session, measurement, '{part}' AS part, format('{text}: {{:.3f}} m', {size}) AS label, " + ", ".join(f"round(({p[a]} + {q[a]}) / 2, 5) AS m{a}, round({q[a]} - {p[a]}, 5) + 0.0 AS d{a}" for a in AXES) + " FROM gp WHERE complete")
+    return f"WITH {o.points('picks')}, {_grouped(2)} " + " UNION ALL ".join(rows)
+
+
+@query(_segments_sql())
+def distance_segments(spark, sf_dir):
+    s = measure.distance_segments(views.clicks(spark, sf_dir), *PLANE)
+    return s.select("session", "measurement", "part", "label", *[F.round(f"m{a}", 5).alias(f"m{a}") for a in AXES], *[(F.round(F.col(f"b{a}") - F.col(f"a{a}"), 5) + 0.0).alias(f"d{a}") for a in AXES])
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT source || CASE WHEN doc_id % 3 = 0 THEN '/scan.LAS' WHEN doc_id % 3 = 1 THEN '/scan.las.txt' ELSE '/las' END AS path, source FROM documents) WHERE lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) = '.las' GROUP BY 1".replace("\\\\", "\\"))
+def extension_filter(spark, sf_dir):
+    """Paths with one extension, whatever its case."""
+    name = F.when(F.col("doc_id") % 3 == 0, "/scan.LAS").when(F.col("doc_id") % 3 == 1, "/scan.las.txt").otherwise("/las")
+    paths = views.table(spark, sf_dir, "documents").select("source", F.concat("source", name).alias("path"))
+    return paths.where(registry.has_extension("path", ".las")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey AS key, format('{:,}', CAST(floor(o_totalprice * 100) AS BIGINT)) AS shown FROM orders")

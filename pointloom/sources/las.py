@@ -15,7 +15,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, IntegerType, LongType, ShortType, StructField, StructType
 
@@ -187,56 +188,103 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LasHeaderSource)
 
 
-def write_las(points: DataFrame, path: str, scale: float = 0.001) -> int:
-    """points (point_id, x, y, z, and any of the further columns) as one LAS 1.2 file of format 2, by point_id.
-
-    A file is one stream of bytes, so rows pass through the driver in pieces (toLocalIterator); for large sets write one
-    file for each part of the points.
-    """
+def _packed(points: pa.Table, scale: float) -> np.ndarray:
+    """Records of format 2; missing columns are zero, values are cut to their field's range."""
     kind = np.dtype([(n, t) for n, t in FORMATS[2]])
-    have = set(points.columns)
-    low, high, n = np.full(3, np.inf), np.full(3, -np.inf), 0
-    with open(path, "wb") as f:
-        f.write(b"\0" * 227)
-        held: list = []
-
-        def flush() -> None:
-            nonlocal low, high, n
-            xyz = np.array([(r["x"], r["y"], r["z"]) for r in held], float).reshape(-1, 3)
-            out = np.zeros(len(held), kind)
-            for k, c in enumerate("XYZ"):
-                out[c] = np.round(xyz[:, k] / scale)
-            for c, (_, t) in zip([x for x, _ in FORMATS[2][3:]], FORMATS[2][3:], strict=True):
-                if c in have:
-                    limits = np.iinfo(np.dtype(t))
-                    out[c] = np.clip([r[c] or 0 for r in held], limits.min, limits.max)
-            if {"return_number", "number_of_returns"} <= have:
-                out["flags"] = [(r["return_number"] or 0) & 7 | ((r["number_of_returns"] or 0) & 7) << 3 for r in held]
-            else:
-                out["flags"] = 9
-            stored = np.stack([out[c] * scale for c in "XYZ"], axis=1)
-            low, high, n = np.minimum(low, stored.min(axis=0)), np.maximum(high, stored.max(axis=0)), n + len(held)
-            f.write(out.tobytes())
-            held.clear()
-
-        for row in points.orderBy("point_id").toLocalIterator(prefetchPartitions=True):
-            held.append(row)
-            if len(held) == 50_000:
-                flush()
-        if held:
-            flush()
-        if not n:
-            low = high = np.zeros(3)
+    out = np.zeros(len(points), kind)
+    whole = lambda c: np.nan_to_num(points.column(c).to_numpy(zero_copy_only=False).astype(float))
+    for c in "XYZ":
+        out[c] = np.round(whole(c.lower()) / scale)
+    for c, t in FORMATS[2][3:]:
+        if c in points.column_names:
+            limits = np.iinfo(np.dtype(t))
+            out[c] = np.clip(whole(c), limits.min, limits.max)
+    if {"return_number", "number_of_returns"} <= set(points.column_names):
+        out["flags"] = whole("return_number").astype(int) & 7 | (whole("number_of_returns").astype(int) & 7) << 3
+    else:
+        out["flags"] = 9
+    return out
+
+
+class _File:
+    """One LAS 1.2 file, written batch after batch; the header follows at the end, when counts and box are known."""
+
+    def __init__(self, path: str, scale: float):
+        self.path, self.scale, self.n = path, scale, 0
+        self.low, self.high = np.full(3, np.inf), np.full(3, -np.inf)
+        self.f = open(path, "wb")
+        self.f.write(b"\0" * 227)
+
+    def add(self, points: pa.Table) -> None:
+        if not len(points):
+            return
+        out = _packed(points, self.scale)
+        stored = np.stack([out[c] * self.scale for c in "XYZ"], axis=1)
+        self.low, self.high, self.n = np.minimum(self.low, stored.min(axis=0)), np.maximum(self.high, stored.max(axis=0)), self.n + len(out)
+        self.f.write(out.tobytes())
+
+    def close(self) -> None:
+        low, high = (self.low, self.high) if self.n else (np.zeros(3), np.zeros(3))
+        size, scale = np.dtype([(n, t) for n, t in FORMATS[2]]).itemsize, self.scale
         header = bytearray(227)
         header[:4] = b"LASF"
         header[24:26] = bytes((1, 2))
         struct.pack_into("<H", header, 94, 227)
-        struct.pack_into("<IIBHI", header, 96, 227, 0, 2, kind.itemsize, n)
-        struct.pack_into("<5I", header, 111, n, 0, 0, 0, 0)
+        struct.pack_into("<IIBHI", header, 96, 227, 0, 2, size, self.n)
+        struct.pack_into("<5I", header, 111, self.n, 0, 0, 0, 0)
         struct.pack_into("<12d", header, 131, scale, scale, scale, 0, 0, 0, *(v for k in range(3) for v in (high[k], low[k])))
-        f.seek(0)
-        f.write(header)
-    return n
+        self.f.seek(0)
+        self.f.write(header)
+        self.f.close()
+
+
+def write_las(points: DataFrame, path: str, scale: float = 0.001) -> int:
+    """points (point_id, x, y, z, and any of the further columns) as one LAS 1.2 file of format 2, by point_id.
+
+    A file is one stream of bytes, so rows pass through the driver, a partition at a time; write_las_files has no such limit.
+    """
+    out = _File(path, scale)
+    ordered = points.orderBy("point_id")
+    for batch in _batches(ordered):
+        out.add(batch)
+    out.close()
+    return out.n
+
+
+def _batches(frame: DataFrame) -> Iterator[pa.Table]:
+    """Rows 50,000 at a time."""
+    held: list = []
+    for row in frame.toLocalIterator(prefetchPartitions=True):
+        held.append(row.asDict())
+        if len(held) == 50_000:
+            yield pa.Table.from_pylist(held)
+            held = []
+    if held:
+        yield pa.Table.from_pylist(held)
+
+
+def write_las_files(points: DataFrame, folder: str, scale: float = 0.001) -> int:
+    """points as LAS files in a folder that driver and executors share, one for each partition that has rows; their number
+    of points. A task that is run again writes its file anew."""
+    place = folder.removeprefix("file:")
+    place = place[2:] if place.startswith("//") else place
+    os.makedirs(place, exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own, n = f"{place}/.part-{task.partitionId():06d}-{task.attemptNumber()}", 0
+        out = None
+        for b in batches:
+            if b.num_rows:
+                out = out or _File(own, scale)
+                out.add(pa.Table.from_batches([b]))
+        if out:
+            out.close()
+            n = out.n
+            os.replace(own, f"{place}/part-{task.partitionId():06d}.las")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["points"])
+
+    return points.mapInArrow(write, "points long").agg(F.coalesce(F.sum("points"), F.lit(0))).first()[0]
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

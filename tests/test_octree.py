@@ -124,7 +124,7 @@ def test_dataset_keeps_every_point_once(spark, tmp_path, how):
         for k in range(8):
             assert bool(int(row.child_mask) >> k & 1) == (f"{name}{k}" in nodes.index)
     assert d.metadata["points"] == 2000
-    assert {r["attribute"] for r in d.attributes.collect()} == {"x", "y", "z", "classification"}
+    assert {r["component"] for r in d.attributes.collect()} == {"x", "y", "z", "classification"}
 
 
 def test_points_of_one_node_keep_their_spacing(spark):
