@@ -45,12 +45,41 @@ TEMPLATES = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
 
+#: Characters of templates that the driver takes from a table.
+MOST_TEMPLATES = 64 << 20
+
+
+def templates_of(table: DataFrame) -> dict[str, list[str]]:
+    """A table (license, text) of templates, such as full license texts, for scan_licenses; ValueError over MOST_TEMPLATES."""
+    rows = table.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text")).where("license is not null and text is not null").distinct()
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > MOST_TEMPLATES:
+        raise ValueError(f"{size} characters of templates; scan with several tables of at most {MOST_TEMPLATES}")
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows.collect()):
+        out.setdefault(r["license"], []).append(r["text"])
+    return out
+
+
 def _plain(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass").translate(_WORDS)
 
@@ -124,8 +153,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     """docs (doc_id, text) -> (doc_id, license, contained) for every license a document holds a template of.
 
     contained: the share of the template's shingles, CONTAINED at least. Null, empty and short texts hold none; templates
-    of fewer than five words are not searched for. Repeated rows give rows each; an empty table gives an empty table.
-    templates travel with the tasks: they are a fixed list, not data.
+    of fewer than five words are not searched for. Texts of any length are whole; of several templates of a license the
+    share of the one that is held most is told. Repeated rows give rows each; extra columns are not read; an empty table
+    gives an empty table. templates travel with the tasks: the list above, or what templates_of() takes from a table.
     """
     np.seterr(over="ignore")
     known = Templates(TEMPLATES if templates is None else templates)

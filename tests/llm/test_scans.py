@@ -188,3 +188,32 @@ def test_counts_of_odd_rows(odd, make):
     got = tokencount.count_tokens(odd, path).collect()
     assert len(got) == len(ODD) and sum(r["n_tokens"] == 0 for r in got) == 2
     assert tokencount.count_tokens(make([]), path).count() == 0
+
+
+def test_licenses_equal_brute_force(spark, make, monkeypatch):
+    """Templates with 0 to 40 percent other words: found where a window as long as the template holds 0.8 of its shingles,
+    and nowhere that the whole document does not."""
+    rng = random.Random(31)
+    table = spark.createDataFrame([(f"L{k}", " ".join(words(rng, rng.choice([6, 20, 90, 400])))) for k in range(12)] + [("none", None)], "license string, text string")
+    known = licenses.templates_of(table)
+    docs = []
+    for k in range(120):
+        own = words(rng, rng.randrange(0, 300))
+        t = known[f"L{k % 12}"][0].split()
+        t = [w if rng.random() > k % 5 * 0.02 else f"zz{rng.randrange(999)}" for w in t]
+        docs.append((k, " ".join(own + t + words(rng, 30))))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(make(docs), known).collect()}
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    least, most = set(), set()
+    for d, text in docs:
+        g = grams(text.split())
+        for name, (t,) in known.items():
+            whole = set(grams(t.split()))
+            if len(whole & set(g)) >= 0.8 * len(whole):
+                most.add((d, name))
+                if max(len(whole & set(g[i : i + len(whole)])) for i in range(len(g))) >= 0.8 * len(whole):
+                    least.add((d, name))
+    assert len(least) >= 60 and least <= got <= most
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 100)
+    with pytest.raises(ValueError):
+        licenses.templates_of(table)
