@@ -6,8 +6,10 @@ parent's node; those accepted go on, the others stay where they were.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -42,6 +44,76 @@ def poisson_accept(xyz: np.ndarray, spacing: float, order: np.ndarray) -> np.nda
     return keep
 
 
+#: Points that are sampled at a time, and candidate pairs of near points that are held; beyond these, point after point.
+_POINTS, _PAIRS = 20_000, 8_000_000
+_HALF = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+
+
+def _near_pairs(group: np.ndarray, xyz: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of points of one group that are nearer than spacing; None where too many points share cells."""
+    cell = np.floor(xyz / spacing).astype(np.int64)
+    start = np.append(True, group[1:] != group[:-1])
+    number = np.cumsum(start) - 1
+    cell -= np.minimum.reduceat(cell, np.flatnonzero(start), axis=0)[number] - 1
+    size = cell.max(axis=0) + 2
+    if float(size.astype(float).prod()) * (number[-1] + 1) > 2.0**62:
+        return None
+    key = ((number * size[0] + cell[:, 0]) * size[1] + cell[:, 1]) * size[2] + cell[:, 2]
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    us, vs = [], []
+    total = 0
+    for a, b, c in _HALF:
+        own = (a, b, c) == (0, 0, 0)
+        other = key + (a * size[1] + b) * size[2] + c
+        lo, hi = np.searchsorted(ranked, other, "left"), np.searchsorted(ranked, other, "right")
+        n = hi - lo
+        total += int(n.sum())
+        if total > _PAIRS:
+            return None
+        u = np.repeat(np.arange(len(key)), n)
+        v = order[np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        close = ((xyz[u] - xyz[v]) ** 2).sum(axis=1) < spacing * spacing
+        if own:
+            close &= u < v
+        us.append(u[close])
+        vs.append(v[close])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def accept_groups(group: np.ndarray, xyz: np.ndarray, spacing: float, place: np.ndarray) -> np.ndarray:
+    """poisson_accept for many groups at once, whose points are next to each other; `place` orders the points.
+
+    In rounds: points without an earlier undecided point near are accepted, and what is near them is refused.
+    """
+    if spacing <= 0 or not len(xyz):
+        return np.ones(len(xyz), bool)
+    pairs = _near_pairs(group, xyz, spacing)
+    keep = np.zeros(len(xyz), bool)
+    if pairs is None:
+        edge = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() + [len(group)]
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            keep[lo:hi] = poisson_accept(xyz[lo:hi], spacing, np.argsort(place[lo:hi], kind="stable"))
+        return keep
+    first = np.where(place[pairs[0]] < place[pairs[1]], *pairs)
+    last = pairs[0] + pairs[1] - first
+    open_ = np.ones(len(xyz), bool)
+    while len(first):
+        blocked = np.zeros(len(xyz), bool)
+        blocked[last] = True
+        now = open_ & ~blocked
+        keep |= now
+        open_ &= ~now
+        open_[last[now[first]]] = False
+        left = open_[first] & open_[last]
+        first, last = first[left], last[left]
+    return keep | open_
+
+
+#: Fixed value: comparisons after which the scan as written gives up and accepts.
+_SCANNED = 10_001
+
+
 def _centre_order(xyz: np.ndarray, ids: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.lexsort((ids, ((xyz - centre) ** 2).sum(axis=1)))
 
@@ -58,7 +130,7 @@ def _as_written(xyz: np.ndarray, spacing: float, order: np.ndarray, centre: np.n
     accepted: list[int] = []
     for i in order.tolist():
         stop = (far[i] - spacing) ** 2
-        for j in reversed(accepted):
+        for j in reversed(accepted[-_SCANNED:]):
             if far[j] ** 2 < stop:
                 accepted.append(i)
                 keep[i] = True
@@ -83,18 +155,42 @@ def sample_groups(offered: DataFrame, spacing: float, cube: Cube, level: int, sa
     edge = cube.edge / 2**level
     low = np.array([cube.x, cube.y, cube.z])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xyz, ids, code = pdf[["x", "y", "z"]].to_numpy(), pdf["point_id"].to_numpy(), int(pdf["group"].iloc[0])
-        at = [sum(((code >> (3 * k + bit)) & 1) << k for k in range(level)) for bit in (2, 1, 0)]
-        centre = low + (np.array(at) + 0.5) * edge
-        if sampling == "poisson_average":
-            keep = poisson_accept(xyz, spacing, np.argsort(ids, kind="stable"))
-        else:
-            order = _centre_order(xyz, ids, centre)
-            keep = _as_written(xyz, spacing, order, centre) if compat == "as_written" else poisson_accept(xyz, spacing, order)
-        return pdf.assign(accepted=keep)
-
-    return offered.groupBy("group").applyInPandas(run, StructType([*offered.schema.fields, StructField("accepted", BooleanType())]))
+    def kept(table: pa.Table) -> np.ndarray:
+        xyz = np.stack([table.column(a).to_numpy() for a in "xyz"], axis=1)
+        ids, code = table.column("point_id").to_numpy(), table.column("group").to_numpy()
+        at = np.stack([sum(((code >> (3 * k + bit)) & 1) << k for k in range(level)) + np.zeros(len(code), np.int64) for bit in (2, 1, 0)], axis=1)
+        centre = low + (at + 0.5) * edge
+        if compat == "as_written" and sampling != "poisson_average":
+            own = np.zeros(len(xyz), bool)
+            cut = np.flatnonzero(np.append(True, code[1:] != code[:-1])).tolist() + [len(code)]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                own[lo:hi] = _as_written(xyz[lo:hi], spacing, _centre_order(xyz[lo:hi], ids[lo:hi], centre[lo]), centre[lo])
+            return own
+        order = np.argsort(ids, kind="stable") if sampling == "poisson_average" else _centre_order(xyz, ids, centre)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return accept_groups(code, xyz, spacing, place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if len(table):
+                yield from table.append_column("accepted", pa.array(kept(table))).combine_chunks().to_batches()
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= _POINTS:
+                table = pa.Table.from_batches(held)
+                code = table.column("group").to_numpy()
+                whole = int(np.searchsorted(code, code[-1]))  # the last group may go on
+                yield from out(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if held:
+            yield from out(pa.Table.from_batches(held))
+
+    dealt = offered.repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, StructType([*offered.schema.fields, StructField("accepted", BooleanType())]))
 
 
 def lod_owners(leafed: DataFrame, cube: Cube, grid_size: int, sampling: str = "poisson", compat: str = "strict") -> DataFrame:

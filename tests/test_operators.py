@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pointloom.functions.codec import Attribute
 from pointloom.functions.geometry import Camera
 from pointloom.functions.spatial import Cube
-from pointloom.operators import attributes, joins, lod, octree, projects
+from pointloom.operators import attributes, joins, lod, octree, projects, sampling
 from pointloom.sources import registry
 
 from .test_octree import frame
@@ -131,3 +131,18 @@ def test_data_folder(monkeypatch, tmp_path):
     monkeypatch.delenv("POINTLOOM_HOME")
     monkeypatch.setenv("HOME", str(tmp_path))
     assert projects.data_folder() == tmp_path / ".pointloom"
+
+
+@pytest.mark.parametrize("limit", [10**7, 10])
+def test_groups_at_once_equal_one_after_another(monkeypatch, limit):
+    monkeypatch.setattr(sampling, "_PAIRS", limit)
+    rng = np.random.default_rng(2)
+    group = np.sort(rng.integers(0, 12, 900))
+    xyz = np.concatenate((rng.random((600, 3)), np.round(rng.random((300, 3)), 1))) * 4 - 2
+    place = rng.permutation(900)
+    for spacing in (0.0, 0.05, 0.3, 1.0, 9.0):
+        want = np.zeros(900, bool)
+        for g in np.unique(group):
+            own = np.flatnonzero(group == g)
+            want[own] = sampling.poisson_accept(xyz[own], spacing, np.argsort(place[own]))
+        assert (sampling.accept_groups(group, xyz, spacing, place) == want).all()
