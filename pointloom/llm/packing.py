@@ -7,6 +7,7 @@ or a round joins nothing. An item carries its pieces, so that rounds need no joi
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -86,9 +87,20 @@ class ChunkTokenizer:
 
     Each chunk between white space is encoded once and its ids are kept; texts are then gathered from these. A new chunk
     of Latin-1 characters is put together from the pre-tokenizer's parts, which repeat more. Texts with control
-    characters that Python and the tokenizer treat differently are encoded directly.
+    characters that Python and the tokenizer treat differently are encoded directly, and so are all texts where the
+    file's normalizer or pre-tokenizer is another one than is written out here.
     """
 
+    #: The normalizer and the pre-tokenizer that chunks and parts are right for.
+    _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    _PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
+
     _ODD = r"[\x{1c}-\x{1f}\x{85}]"
     #: The pre-tokenizer's pattern, its classes written out for lower-cased Latin-1.
     _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -98,6 +110,14 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks, self.parts = _Ids(), _Ids()
+        form = [x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.by_chunks = form == [self._NORMALIZER, self._PRE_TOKENIZER]
+
+    def _direct(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+        at = np.zeros(len(lists) + 1, np.int64)
+        np.cumsum([len(x) for x in lists], out=at[1:])
+        return np.fromiter((i for x in lists for i in x), np.uint32, at[-1]), at
 
     def _learn_parts(self) -> None:
         fresh, self.parts.numbers.fresh = self.parts.numbers.fresh, []
@@ -147,6 +167,8 @@ class ChunkTokenizer:
         Arrow splits the texts and finds the distinct chunks, so that Python sees each of these once.
         """
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not self.by_chunks:
+            return self._direct(texts)
         lists = pc.utf8_split_whitespace(texts)
         lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()

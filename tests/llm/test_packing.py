@@ -68,3 +68,18 @@ def test_every_piece_is_packed_once(make, path, monkeypatch, task_items):
 
 def test_empty_table(make, path):
     assert packing.pack_documents(make([]), path).count() == 0
+
+
+def test_files_with_another_pre_tokenizer_are_encoded_directly():
+    from tokenizers import Tokenizer
+
+    texts = ["It's  two\nlines, 12 naïve <|endoftext|> words", "", "日本 a\x85b", " x" * 300]
+    for name, by_chunks in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = tokenizer_file(name)
+        own = packing.ChunkTokenizer(path)
+        assert own.by_chunks == by_chunks
+        ids, at = own.encode([*texts, None])
+        whole = Tokenizer.from_file(path)
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids
+        assert at[-1] == at[-2]
