@@ -189,7 +189,8 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
     """docs (doc_id, text, lang) -> doc_id, held_out, lang_pred, score; one row per row.
 
     A null text and a text without a letter are UNDETERMINED with score 0, as is everything where nothing is labelled.
-    lang is read for fitting only. Extra columns are not read. An empty table gives an empty table.
+    lang is read for fitting only. Texts of any length are whole; of languages with equal votes the last in the alphabet is
+    taken. Repeated rows are told once each. Extra columns are not read. An empty table gives an empty table.
     """
     model = model or train(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -291,7 +291,8 @@ def pack_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text) -> one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids, then END; null and empty texts are END alone. Only documents longer than CAPACITY are cut.
-    Repeated rows are packed once each, a null doc_id stays null, an empty table gives an empty table.
+    Texts of any length are whole; of bins that fit equally well the one that got that room last takes an item. Repeated rows are packed once
+    each, a null doc_id stays null, extra columns are not read, an empty table gives an empty table.
     path: the tokenizer's file.
     """
     scratch = Scratch(docs.sparkSession)

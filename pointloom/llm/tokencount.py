@@ -129,7 +129,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, score; one row per row.
 
     path: a sentencepiece model, whose pieces and scores are taken as a unigram vocabulary. Null and empty texts have no
-    tokens and score 0. Extra columns are not read; an empty table gives an empty table.
+    tokens and score 0. Texts of any length are whole; ties are decided as stated above. Repeated rows count once each.
+    Extra columns are not read; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
