@@ -104,6 +104,7 @@ def locate(points: DataFrame, names: DataFrame, cube: Cube, boundary: str = "upp
     boundary: "upper" gives what is on a middle to the upper half, as everywhere else. "lower" descends from the root to the
     first child in digit order that exists and whose closed cube holds the point, which is the lower half on a middle.
     """
+    names = keep(names, "names")
     levels = sorted(r[0] for r in names.select(F.length("node") - 1).distinct().collect())  # 22 at most
     if boundary == "lower":
         return _descended(points, names, cube, levels)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import geometry as g
 from ..functions import spatial
 from ..functions.geometry import Camera
+from .scratch import keep
 
 PICK_RADIUS = 4
 
@@ -38,7 +39,7 @@ def with_boxes(nodes: DataFrame, cube: spatial.Cube, grid_size: int) -> DataFram
 
 def select_nodes(boxed: DataFrame, camera: Camera, threshold: float = 1.0, height: int = 768) -> DataFrame:
     """Nodes in the frustum all of whose ancestors are in it too and coarser than `threshold` pixels."""
-    seen = boxed.withColumn("visible", in_frustum(camera.planes())).withColumn("error", screen_error(camera, height, F.col("spacing")))
+    seen = keep(boxed.withColumn("visible", in_frustum(camera.planes())).withColumn("error", screen_error(camera, height, F.col("spacing"))), "seen")
     split = seen.select("node", (F.col("visible") & (F.col("error") > threshold)).alias("passes"))
     above = seen.where("visible").select("node", F.explode_outer(spatial.ancestors("node", proper=True)).alias("ancestor"))
     told = above.join(split.toDF("ancestor", "passes"), "ancestor", "left").groupBy("node").agg(F.min(F.when(F.col("ancestor").isNull(), F.lit(True)).otherwise(F.coalesce("passes", F.lit(False)))).alias("all_pass"))

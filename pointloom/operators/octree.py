@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import spatial
 from ..functions.spatial import LEVELS, Cube
+from .scratch import keep
 
 
 def with_codes(points: DataFrame, cube: Cube) -> DataFrame:
@@ -73,10 +74,10 @@ def with_leaves(chunked: DataFrame, cap: int, digits: int | None = None) -> Data
         digits = min(LEVELS, (deepest or 0) + BELOW)
     cell = prefix("morton", digits)
     counts = chunked.groupBy(cell.alias("cell"), "chunk_level").agg(F.count("*").alias("n"))
-    found = _fitting(counts, digits, F.col("chunk_level"), cap)
+    found = keep(_fitting(counts, digits, F.col("chunk_level"), cap), "cells")
     out = chunked.withColumn("cell", cell).join(found, "cell").drop("cell")
-    if digits < LEVELS:
-        full = found.where("leaf_level is null").select("cell")
+    full = found.where("leaf_level is null").select("cell")
+    if digits < LEVELS and not full.isEmpty():
         codes = chunked.withColumn("cell", cell).join(full, "cell", "left_semi").groupBy(F.col("morton").alias("cell"), "chunk_level").agg(F.count("*").alias("n"))
         deep = _fitting(codes, LEVELS, F.greatest(F.col("chunk_level"), F.lit(digits + 1)), cap).toDF("morton", "deep_level")
         out = out.join(deep, "morton", "left").withColumn("leaf_level", F.coalesce("leaf_level", "deep_level")).drop("deep_level")

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import keep
 from .stats import plane_moments
 
 
@@ -64,6 +65,7 @@ def refined(points: DataFrame, picks: DataFrame, nodes: DataFrame, cube, radius:
 
     near = joins.radius_join(points, picks, radius)
     if scope == "leaf":
+        nodes = keep(nodes, "nodes")
         at = picks.select(F.col("query_id").alias("point_id"), *[F.col(f"q_{a}").alias(a) for a in "xyz"])
         own = joins.locate(at, nodes, cube).select(F.col("point_id").alias("query_id"), F.col("node").alias("pick_node"))
         close = near.select("point_id", "x", "y", "z").distinct()  # only what is near a pick is located
