@@ -23,15 +23,16 @@ def _buckets(frame: DataFrame, p: str, size: float, around: bool) -> DataFrame:
     return out
 
 
-def radius_join(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
+def radius_join(points: DataFrame, queries: DataFrame, radius: float, *same: str) -> DataFrame:
     """queries (query_id, q_x, q_y, q_z) with the points (point_id, x, y, z) at most `radius` away, and d2.
 
-    Queries are put in the 27 buckets around them; points only in their own. A radius of 0 or less gives no pairs.
+    Queries are put in the 27 buckets around them; points only in their own. Both sides of a pair agree in the columns
+    `same`. A radius of 0 or less gives no pairs.
     """
     if radius <= 0:
-        return queries.limit(0).join(points.limit(0), F.lit(False)).withColumn("d2", squared_distance())
+        return queries.drop(*same).limit(0).join(points.limit(0), F.lit(False)).withColumn("d2", squared_distance())
     keys = [f"b{a}" for a in AXES]
-    pairs = _buckets(points, "", radius, False).join(_buckets(queries, "q_", radius, True), keys).drop(*keys)
+    pairs = _buckets(points, "", radius, False).join(_buckets(queries, "q_", radius, True), [*same, *keys]).drop(*keys)
     return pairs.withColumn("d2", squared_distance()).where(F.col("d2") <= radius * radius)
 
 

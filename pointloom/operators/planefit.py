@@ -16,7 +16,11 @@ def fit_planes(groups: DataFrame, *keys: str, least: int = 3) -> DataFrame:
     The normal's component of largest size is positive. Points alike in all directions give (1, 0, 0); on a line, where
     every normal across it is as good, one across its largest component is taken.
     """
-    m = plane_moments(groups, *keys).where(F.col("n") >= max(3, least))
+    return _planes(plane_moments(groups, *keys), *keys, least=least)
+
+
+def _planes(moments: DataFrame, *keys: str, least: int) -> DataFrame:
+    m = moments.where(F.col("n") >= max(3, least))
     xx, xy, xz, yy, yz, zz = (F.col(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz"))
     m = m.withColumn("q", (xx + yy + zz) / 3)
     q = F.col("q")
@@ -52,6 +56,10 @@ def fit_planes(groups: DataFrame, *keys: str, least: int = 3) -> DataFrame:
     return m.select(*keys, "n", "cx", "cy", "cz", nx.alias("nx"), ny.alias("ny"), nz.alias("nz"), F.greatest(off, F.lit(0.0)).alias("off_plane"))
 
 
+#: Names of nodes that may be sent to every task: some 4 MB.
+_FEW = 100_000
+
+
 def pick_radius(spacing: float) -> float:
     return max(4 * spacing, 1e-3)
 
@@ -59,18 +67,52 @@ def pick_radius(spacing: float) -> float:
 def refined(points: DataFrame, picks: DataFrame, nodes: DataFrame, cube, radius: float, scope: str = "leaf", least: int = 6) -> DataFrame:
     """Planes at picks (query_id, q_x, q_y, q_z) from the points within `radius`; fewer than `least` points give none.
 
-    scope "leaf": only points in the same deepest node of `nodes` as the pick; "all": points of every node.
+    scope "leaf": only points in the same deepest node of `nodes` as the pick; "all": points of every node. Points and picks
+    that have a column `node` are taken to be in that node, others are located.
     """
     from . import joins
 
-    near = joins.radius_join(points, picks, radius)
-    if scope == "leaf":
+    if scope == "all":
+        return fit_planes(joins.radius_join(points, picks, radius), "query_id", least=least)
+    if scope != "leaf":
+        raise ValueError(f"unknown scope {scope!r}")
+    if "node" not in points.columns or "node" not in picks.columns:
         nodes = keep(nodes, "nodes")
+    if "node" not in points.columns:
+        points = by_node(points.join(joins.locate(points, nodes, cube).select("point_id", "node"), "point_id"))
+    if "node" not in picks.columns:
         at = picks.select(F.col("query_id").alias("point_id"), *[F.col(f"q_{a}").alias(a) for a in "xyz"])
-        own = joins.locate(at, nodes, cube).select(F.col("point_id").alias("query_id"), F.col("node").alias("pick_node"))
-        close = near.select("point_id", "x", "y", "z").distinct()  # only what is near a pick is located
-        theirs = joins.locate(close, nodes, cube).select("point_id", "node")
-        near = near.join(own, "query_id").join(theirs, "point_id").where("node = pick_node")
-    elif scope != "all":
-        raise ValueError(f"unknown scope {scope!r}")
-    return fit_planes(near, "query_id", least=least)
+        picks = picks.join(joins.locate(at, nodes, cube).select(F.col("point_id").alias("query_id"), "node"), "query_id")
+    return _planes(_moments_in_node(points, picks, radius), "query_id", least=least)
+
+
+def by_node(points: DataFrame) -> DataFrame:
+    """points (point_id, x, y, z, node) without those that lack a coordinate, written in the order of their nodes.
+
+    What is grouped by node afterwards is nearly whole within a task, and a node of many points is over several.
+    """
+    inside = points.select("point_id", "node", *"xyz").dropna(subset=list("xyz"))
+    return keep(inside.repartitionByRange("node", "point_id").sortWithinPartitions("node"), "by-node")
+
+
+def _moments_in_node(points: DataFrame, picks: DataFrame, radius: float) -> DataFrame:
+    """query_id with the moments of the points that are in the pick's node and within `radius`.
+
+    Where the node's points are all that near, as the farthest corner of their box is, the moments are the node's, which are
+    summed up once. Only the other picks are paired with points.
+    """
+    from . import joins
+
+    names = ["n", "cx", "cy", "cz", "xx", "xy", "xz", "yy", "yz", "zz"]
+    met = picks.join(plane_moments(points, "node", box=True), "node")
+    corner = sum((F.greatest(F.abs(F.col(f"min_{a}") - F.col(f"q_{a}")), F.abs(F.col(f"max_{a}") - F.col(f"q_{a}"))) ** 2 for a in "xyz"), F.lit(0.0))
+    whole = F.coalesce((corner <= radius * radius) & F.lit(radius > 0), F.lit(False))
+    met = keep(met.select("query_id", "node", *[f"q_{a}" for a in "xyz"], whole.alias("whole"), *[F.when(whole, F.col(c)).alias(c) for c in names]), "met")
+    out = met.where("whole").select("query_id", *names)
+    cut = met.where("not whole").select("query_id", "node", *[f"q_{a}" for a in "xyz"])
+    own = cut.select("node").distinct()
+    many = own.count()
+    if many == 0:
+        return out
+    close = points.join(F.broadcast(own) if many <= _FEW else own, "node", "left_semi")
+    return out.unionByName(plane_moments(joins.radius_join(close, cut, radius, "node"), "query_id").select("query_id", *names))

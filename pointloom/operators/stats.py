@@ -39,7 +39,7 @@ def class_histogram(points: DataFrame, column: str = "classification", bins: int
     return whole.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("histogram"))
 
 
-def plane_moments(groups: DataFrame, *keys: str) -> DataFrame:
-    """n, centroid and covariances of x, y, z by group."""
+def plane_moments(groups: DataFrame, *keys: str, box: bool = False) -> DataFrame:
+    """n, centroid and covariances of x, y, z by group; with `box` also min and max of each."""
     pairs = (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))
-    return groups.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"c{a}") for a in "xyz"], *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in pairs])
+    return groups.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"c{a}") for a in "xyz"], *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in pairs], *[f(a).alias(f"{k}_{a}") for a in "xyz" if box for k, f in (("min", F.min), ("max", F.max))])
