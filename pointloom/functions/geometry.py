@@ -148,8 +148,8 @@ def turned(v: np.ndarray, axis: tuple[float, float, float], degrees: float) -> n
 
 
 def projected(point: Vector, m: np.ndarray) -> tuple[Column, Column, Column, Column]:
-    """Clip x, y, z, w of a point."""
-    return tuple(sum((point[k] * float(m[i, k]) for k in range(3)), F.lit(float(m[i, 3]))) for i in range(4))
+    """Clip x, y, z, w of a point; summed from x to the constant, as in the SQL, since another order rounds differently."""
+    return tuple(point[0] * float(m[i, 0]) + point[1] * float(m[i, 1]) + point[2] * float(m[i, 2]) + F.lit(float(m[i, 3])) for i in range(4))
 
 
 def pixel(point: Vector, m: np.ndarray, width: int, height: int) -> tuple[Column, Column, Column]:

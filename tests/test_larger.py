@@ -1,10 +1,14 @@
 """What shows only on larger tables: pairs of neighbours in one node, points on pixel edges and on middles."""
 
+import datetime
+
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from pointloom.functions.spatial import Cube
 from pointloom.operators import joins, octree, planefit
+from pointloom.plans import catalogue
 
 from .test_octree import frame
 
@@ -37,3 +41,27 @@ def test_refined_planes_pair_within_a_node(spark, monkeypatch):
             assert r["n"] == len(near) and np.allclose([r["cx"], r["cy"], r["cz"], r["off_plane"]], [*xyz[near].mean(axis=0), max(low, 0)], atol=1e-7)
         assert sum(m.count() for m in made) <= 100 * len(want)
         assert radius < 5 or not made
+
+
+def orders_at(spark, folder, rows):
+    """A table of orders (price, days from 1995, customer) in a folder, and its path for SQL."""
+    made = [(k, c, float(p), datetime.datetime(1995, 1, 1) + datetime.timedelta(days=d)) for k, (p, d, c) in enumerate(rows)]
+    spark.createDataFrame(made, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def same_as_sql(spark, name, folder):
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{folder}/orders.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, folder)
+    columns = sorted(got.columns)
+    want = con.execute(f"select {', '.join(columns)} from ({catalogue.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+
+
+def test_points_on_the_edge_of_a_pixel(spark, tmp_path):
+    """Points whose row is 384 but for rounding."""
+    rows = [(4207.09, 1439, 410), (98859.87, 2279, 10), (288468.81, 1523, 370), (391015.44, 1754, 260), (339329.36, 2069, 110), (451119.39, 914, 660), (315232.93, 809, 710), (437102.58, 704, 760)]
+    folder = orders_at(spark, tmp_path, rows)
+    same_as_sql(spark, "screen_project", folder)
+    same_as_sql(spark, "screen_ray", folder)
