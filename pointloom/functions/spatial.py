@@ -32,12 +32,16 @@ class Cube:
         return getattr(self, axis)
 
 
+def share(value: Column, low: float, edge: float, cells: int) -> Column:
+    """The share of the edge times cells; in an empty edge how far the value is from it."""
+    return value - F.lit(low) if edge == 0 else (value - F.lit(low)) / F.lit(edge) * F.lit(float(cells))
+
+
 def cell(value: Column, low: float, edge: float, cells: int) -> Column:
     """floor of the share of the edge times cells, within 0 and cells - 1; everything is cell 0 of an empty edge."""
     if edge == 0:
         return F.lit(0).cast("long")
-    share = (value - F.lit(low)) / F.lit(edge) * F.lit(float(cells))
-    return F.least(F.greatest(F.floor(share), F.lit(0)), F.lit(cells - 1)).cast("long")
+    return F.least(F.greatest(F.floor(share(value, low, edge, cells)), F.lit(0)), F.lit(cells - 1)).cast("long")
 
 
 def cell_index(cube: Cube, cells: int) -> Column:

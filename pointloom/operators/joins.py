@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import spatial
 from ..functions.spatial import AXES, LEVELS, Cube
-from .scratch import keep
+from .scratch import delete, folder, keep
 
 
 def squared_distance(a: str = "", b: str = "q_") -> Column:
@@ -104,11 +104,13 @@ def locate(points: DataFrame, names: DataFrame, cube: Cube, boundary: str = "upp
 
     boundary: "upper" gives what is on a middle to the upper half, as everywhere else. "lower" descends from the root to the
     first child in digit order that exists and whose closed cube holds the point, which is the lower half on a middle.
+    "closed" descends to the last such child, which is the upper half where that exists and else the lower one; a point
+    outside the cube is taken as on its side.
     """
     names = keep(names, "names")
     levels = sorted(r[0] for r in names.select(F.length("node") - 1).distinct().collect())  # 22 at most
-    if boundary == "lower":
-        return _descended(points, names, cube, levels)
+    if boundary in ("lower", "closed"):
+        return _descended(points, names, cube, levels, boundary == "closed")
     code = points.select("point_id", spatial.morton_of(cube).alias("morton"))
     every = code.select("point_id", "morton", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.expr("cast(array() as array<int>)")).alias("level"))
     every = every.select("point_id", "level", F.expr(f"shiftright(morton, 3 * ({LEVELS} - level))").alias("code"))
@@ -117,23 +119,40 @@ def locate(points: DataFrame, names: DataFrame, cube: Cube, boundary: str = "upp
     return found
 
 
-def _descended(points: DataFrame, names: DataFrame, cube: Cube, levels: list[int]) -> DataFrame:
-    """One level at a time: the eight children that exist, of which the first that holds the point is taken."""
+def _descended(points: DataFrame, names: DataFrame, cube: Cube, levels: list[int], last: bool) -> DataFrame:
+    """One level at a time: the eight children that exist, of which the first (or last) that holds the point is taken.
+
+    Places are in cells of the deepest level, computed as for codes, so that no rounding puts a point outside the cube of
+    its own code; halving a cube is exact in them.
+    """
     below = names.where("length(node) > 1").select(F.expr("substring(node, 1, length(node) - 1)").alias("node"), F.right("node", F.lit(1)).cast("int").alias("digit"))
-    below = below.groupBy("node").agg(F.sort_array(F.collect_list("digit")).alias("digits"))  # eight at most
-    at = points.select("point_id", *AXES, F.lit("r").alias("node")).join(names.where("node = 'r'"), "node", "left_semi")
+    below = below.groupBy("node").agg(F.sort_array(F.collect_list("digit"), asc=not last).alias("digits"))  # eight at most
+    cells = 1 << LEVELS
+
+    def place(a: str) -> Column:
+        at = spatial.share(F.col(a), cube.low(a), cube.edge, cells)
+        return F.least(F.greatest(at, F.lit(0.0)), F.lit(float(cells))) if last else at
+
+    root = F.lit(0).cast("long")
+    at = points.select("point_id", *[place(a).alias(a) for a in AXES], *[root.alias(f"l{a}") for a in AXES], F.lit("r").alias("node")).join(names.where("node = 'r'"), "node", "left_semi")
+    before = None
+    half = F.expr(f"shiftleft(1L, greatest({LEVELS} - length(node), 0))")  # of the point's own node, which may be higher than the others'
     for _ in levels[1:]:
-        x, y, z, edge = spatial.box_of("node", cube)
-        at = at.withColumns({"lx": x, "ly": y, "lz": z, "half": edge / 2}).join(below, "node", "left")
+        at = at.join(below, "node", "left")
+        low = {a: F.col(f"l{a}") + half * F.shiftright(F.col("child"), bit).bitwiseAND(F.lit(1)) for a, bit in zip(AXES, (2, 1, 0), strict=True)}
 
         def holds(d: Column) -> Column:
             out = F.lit(True)
             for a, bit in zip(AXES, (2, 1, 0), strict=True):
-                low = F.col(f"l{a}") + F.shiftright(d, bit).bitwiseAND(F.lit(1)) * F.col("half")
-                out = out & F.col(a).between(low, low + F.col("half"))
+                start = F.col(f"l{a}") + half * F.shiftright(d, bit).bitwiseAND(F.lit(1))
+                out = out & F.col(a).between(start, start + half)
             return out
 
-        child = F.element_at(F.filter(F.coalesce("digits", F.expr("cast(array() as array<int>)")), holds), 1)
-        child = F.when(F.exists(F.coalesce("digits", F.expr("cast(array() as array<int>)")), holds), child)
-        at = keep(at.select("point_id", *AXES, F.concat("node", F.coalesce(child.cast("string"), F.lit(""))).alias("node")), "descended")
+        at = at.withColumn("child", F.try_element_at(F.filter(F.coalesce("digits", F.expr("cast(array() as array<int>)")), holds), F.lit(1)))
+        at = at.select("point_id", *AXES, *[F.coalesce(low[a], F.col(f"l{a}")).alias(f"l{a}") for a in AXES], F.concat("node", F.coalesce(F.col("child").cast("string"), F.lit(""))).alias("node"))
+        spark, path = at.sparkSession, folder(at.sparkSession)
+        at = keep(at, "descended", path)
+        if before:
+            delete(spark, before)
+        before = path
     return at.select("point_id", "node", (F.length("node") - 1).alias("level"))

@@ -65,3 +65,21 @@ def test_points_on_the_edge_of_a_pixel(spark, tmp_path):
     folder = orders_at(spark, tmp_path, rows)
     same_as_sql(spark, "screen_project", folder)
     same_as_sql(spark, "screen_ray", folder)
+
+
+def test_points_on_a_middle(spark, tmp_path):
+    """Points on the middles of a cube of 256, of coarse and fine nodes, and its highest one."""
+    rng = np.random.default_rng(6)
+    rows = [(0.0, 0, 0), (256_000.0, 0, 0), (128_000.0, 640, 320), (128_000.0, 1280, 160), (64_000.0, 320, 640)]
+    rows += [(float(p) * 1000, int(d) * 10, int(c) * 10) for p, d, c in zip(rng.integers(0, 257, 300), rng.integers(0, 220, 300), rng.integers(0, 99, 300), strict=True)]
+    same_as_sql(spark, "point_location_closed", orders_at(spark, tmp_path, rows))
+
+
+def test_closed_location_takes_the_half_that_exists(spark):
+    names = spark.createDataFrame([("r",), ("r0",), ("r7",), ("r07",), ("r70",)], "node string")
+    p = frame(spark, [(4, 4, 4), (4, 1, 1), (8, 8, 8), (4.0, 4.0, 3.0), (9, 9, 9)])
+    got = {r["point_id"]: r["node"] for r in joins.locate(p, names, Cube(0.0, 0.0, 0.0, 8.0), "closed").collect()}
+    assert got == {0: "r70", 1: "r0", 2: "r7", 3: "r07", 4: "r7"}
+    some = spark.createDataFrame([("r",), ("r7",), ("r70",)], "node string")
+    got = {r["point_id"]: r["node"] for r in joins.locate(frame(spark, [(3, 3, 3), (5, 5, 5)]), some, Cube(0.0, 0.0, 0.0, 8.0), "closed").collect()}
+    assert got == {0: "r", 1: "r70"}
