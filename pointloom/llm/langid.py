@@ -3,6 +3,9 @@
 Features are hashed two- and four-byte sequences of the whole text (letters of ASCII lower-cased, its other characters a
 space, further UTF-8 bytes as they are), as shares of their number. All machines are linear, so a text's value is the mean
 of its features' weights and texts of any length cost the same per byte.
+
+Every labelled document that is not held out is learned from. Up to TOGETHER of them are fitted at once; more are dealt by
+a hash and fitted in blocks of BLOCK_DOCS, and each machine is the mean of those of the blocks that have both its sides.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import _text
 from ._spark import blocks
 
-#: Documents that the machines are fitted on, over all languages: the bound of the sample. The share of a language is equal.
-MOST_TRAINING_DOCS = 1200
+#: Documents that are fitted at once, on the driver, and documents of a block where there are more.
+TOGETHER, BLOCK_DOCS = 1200, 128
+#: Tasks that add up the machines of all others.
+_SUMS = 32
 UNDETERMINED = "und"
 _BITS = 13
 _SIZE = 2 << _BITS
@@ -78,16 +83,19 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "at", "n"])
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """L2-regularised squared-hinge machine by accelerated gradient steps; classes weigh the same."""
+def _svm(products: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 10.0) -> tuple[np.ndarray, float]:
+    """L2-regularised squared-hinge machine by accelerated gradient steps; classes weigh the same.
+
+    products: those of all pairs of rows. The weights are a sum of rows; returned are each row's share in it and the bias.
+    """
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(len(y), np.float32)
     bias = 0.0
     ahead, ahead_bias, last, last_bias = w, bias, w, bias
-    step = 1.0 / (1.0 + 2 * c * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()))
+    step = 1.0 / (1.0 + 2 * c * float((weight * (np.diagonal(products) + 1)).sum()))
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead + ahead_bias)) * weight * y
-        w = ahead - step * (ahead - 2 * c * (slack @ x))
+        slack = np.maximum(0, 1 - y * (products @ ahead + ahead_bias)) * weight * y
+        w = ahead - step * (ahead - 2 * c * slack)
         bias = ahead_bias + step * 2 * c * float(slack.sum())
         m = k / (k + 3)
         ahead, ahead_bias = w + m * (w - last), bias + m * (bias - last_bias)
@@ -106,18 +114,29 @@ class Model:
         n = (len(self.families) if len(self.families) > 1 else 0) + len(self.pairs)
         self.weights, self.bias = np.zeros((n, _SIZE), np.float32), np.zeros(n)
 
-    def fit(self, x: np.ndarray, lang: np.ndarray) -> Model:
+    def sides(self, lang: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Machine, rows and sides (1 or -1), of the machines that have rows on both sides."""
+        own = np.array([family(v) for v in lang])
+        many = len(self.families) if len(self.families) > 1 else 0
+        for k in range(len(self.bias)):
+            a, b = (self.families[k], None) if k < many else self.pairs[k - many]
+            rows = np.arange(len(lang)) if k < many else np.flatnonzero((lang == a) | (lang == b))
+            y = np.where((own if k < many else lang)[rows] == a, 1, -1)
+            if len(rows) and y.min() < y.max():
+                yield k, rows, y.astype(np.float32)
+
+    def fit(self, x: np.ndarray, lang: np.ndarray, only: set[int] | None = None) -> dict[int, float]:
+        """Fits the machines (of `only`) that have rows on both sides; for each of these the harmonic mean of its sides' rows."""
         gain = (1 / np.sqrt(x.mean(axis=0) + 1e-6)).astype(np.float32)
         x *= gain
-        own = np.array([family(v) for v in lang])
-        tasks = [(slice(None), np.where(own == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
-        for a, b in self.pairs:
-            rows = np.flatnonzero((lang == a) | (lang == b))
-            tasks.append((rows, np.where(lang[rows] == a, 1, -1)))
-        for k, (rows, y) in enumerate(tasks):
-            w, self.bias[k] = _svm(x if isinstance(rows, slice) else x[rows], y.astype(np.float32))
-            self.weights[k] = w * gain
-        return self
+        products = x @ x.T
+        mass = {}
+        for k, rows, y in self.sides(lang):
+            if only is None or k in only:
+                share, self.bias[k] = _svm(products[np.ix_(rows, rows)], y)
+                self.weights[k] = (share @ x[rows]) * gain
+                mass[k] = 2 / (1 / (y > 0).sum() + 1 / (y < 0).sum())
+        return mass
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         two, four, starts = _features(texts)
@@ -150,21 +169,85 @@ class Model:
         return langs, scores
 
 
-def train(docs: DataFrame, most: int = MOST_TRAINING_DOCS) -> Model:
-    """Fit on labelled documents (lang not null) that are not held out; at most about `most` of them, by a hash of the id."""
+def train(docs: DataFrame, together: int = TOGETHER) -> Model:
+    """Fit on all labelled documents (lang and text not null) that are not held out."""
     usable = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (held_out_column() == F.lit(False)))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     model = Model(list(counts))
     if len(model.bias) == 0:
         return model
-    place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string")), F.lit(1 << 30)).cast("long")
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, most / len(counts) / n) * (1 << 30)))]), F.col("lang"))
-    rows = usable.where(place < share).mapInArrow(_histograms, "lang string, at binary, n binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
+    if sum(counts.values()) <= together:
+        model.fit(*_dense(usable.mapInArrow(_histograms, "lang string, at binary, n binary").collect()))
+        return model
+    mass = dict.fromkeys(range(len(model.bias)), 0.0)
+    total = np.zeros((len(model.bias), _SIZE + 1))
+    for r in sorted(_machines(usable, model.langs).collect(), key=lambda r: (r["machine"], r["mass"], bytes(r["total"]))):
+        mass[r["machine"]] += r["mass"]
+        total[r["machine"]] += np.frombuffer(r["total"])
+    for k, m in mass.items():
+        if m:
+            model.weights[k], model.bias[k] = total[k, :-1] / m, total[k, -1] / m
+    left = {k for k, m in mass.items() if not m}
+    if left:  # rare languages that met in no block: an equal share of each, which is all of those that have no more
+        share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, together / len(counts) / n) * (1 << 30)))]), F.col("lang"))
+        place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string")), F.lit(1 << 30)).cast("long")
+        model.fit(*_dense(usable.where(place < share).mapInArrow(_histograms, "lang string, at binary, n binary").collect()), left)
+    return model
+
+
+def _dense(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Features and languages of rows (lang, at, n), in an order of their own."""
+    rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     x = np.zeros((len(rows), _SIZE), np.float32)
     for k, r in enumerate(rows):
         x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
-    return model.fit(x, np.array([r["lang"] for r in rows]))
+    return x, np.array([r["lang"] for r in rows])
+
+
+def _machines(usable: DataFrame, langs: list[str]) -> DataFrame:
+    """(machine, mass, total): weights and bias of the blocks' machines times their mass, added up by _SUMS tasks."""
+    schema = "part int, machine int, mass double, total binary"
+
+    def added(found: dict[int, list], part: int) -> pa.RecordBatch:
+        keys = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.int32()), pa.array([found[k][0] for k in keys], pa.float64()), pa.array([found[k][1].tobytes() for k in keys], pa.binary())], names=["part", "machine", "mass", "total"])
+
+    def add(found: dict[int, list], k: int, mass: float, total: np.ndarray) -> None:
+        own = found.setdefault(k, [0.0, np.zeros(_SIZE + 1)])
+        own[0] += mass
+        own[1] += total
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        found: dict[int, list] = {}
+        held: list[dict] = []
+
+        def block() -> None:
+            model = Model(langs)
+            for k, m in model.fit(*_dense(held)).items():
+                add(found, k, m, np.append(model.weights[k].astype(np.float64), model.bias[k]) * m)
+            held.clear()
+
+        for b in _histograms(batches):
+            for r in b.to_pylist():
+                held.append(r)
+                if len(held) == BLOCK_DOCS:
+                    block()
+        if held:
+            block()
+        yield added(found, TaskContext.get().partitionId() % _SUMS)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                add(found, r["machine"], r["mass"], np.frombuffer(r["total"]))
+        yield added(found, 0)
+
+    order = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    dealt = usable.repartition(order).sortWithinPartitions(order)
+    return dealt.mapInArrow(fitted, schema).repartition(_SUMS, "part").sortWithinPartitions("part", "machine", "total").mapInArrow(summed, schema).drop("part")
 
 
 def held_out_column():
