@@ -30,9 +30,10 @@ LENGTH, GRAM = 400, 100
 _REACH = LENGTH - GRAM  # an anchor's string starts at most so many bytes before it
 _U = np.uint64
 _LOW = _U((1 << 32) - 1)
-#: The most rows that one group may have in a bucket (some 100 MB where every row ends a node of its own at all depths),
-#: and rows that are sorted at a time.
+#: The most rows that one group may have in a bucket, and rows that are sorted at a time. Where nodes lie within each other
+#: at all depths, a row is in up to REACH + 1 of them; so many pairs of a node and a row are held at a time.
 GROUP, _ROWS = 8000, 8000
+_PAIRS = 200_000
 #: Words of a gram that is looked for in other documents: of so many in a row, one is chosen, so that every passage of
 #: PASSAGE words has a chosen gram.
 PASSAGE, WORDS = 51, 26
@@ -251,21 +252,27 @@ def compare_groups(gram: np.ndarray, at: np.ndarray, around: list[bytes]) -> tup
     rank = np.empty(n, np.int64)
     rank[back] = np.arange(n)
     size = hi - lo + 1
-    node = np.repeat(np.arange(len(lo)), size)
-    position = np.arange(len(node)) - np.repeat(np.cumsum(size) - size, size) + lo[node]
-    row = order[position]
-    turn = np.lexsort((rank[row], node))
-    row = row[turn]
-    where = rank[row]
-    next_to = np.flatnonzero(node[1:] == node[:-1])
-    left = np.zeros(len(row), np.int64)
-    near = _least_between(shared, where[next_to], where[next_to + 1])
-    left[next_to] = near
-    left[next_to + 1] = np.maximum(left[next_to + 1], near)
-    right = depth[node]
-    real = np.flatnonzero(left + right >= LENGTH)
-    np.maximum.at(begin, row[real], left[real])
-    np.maximum.at(end, row[real], right[real])
+    total = np.cumsum(size)
+    first = 0
+    while first < len(lo):  # each pair of a node and a row of it is looked at by itself, so that they can come in parts
+        last = max(first + 1, int(np.searchsorted(total, total[first] - size[first] + _PAIRS, "right")))
+        part = slice(first, last)
+        node = np.repeat(np.arange(last - first), size[part])
+        position = np.arange(len(node)) - np.repeat(np.cumsum(size[part]) - size[part], size[part]) + lo[part][node]
+        row = order[position]
+        turn = np.lexsort((rank[row], node))
+        row = row[turn]
+        where = rank[row]
+        next_to = np.flatnonzero(node[1:] == node[:-1])
+        left = np.zeros(len(row), np.int64)
+        near = _least_between(shared, where[next_to], where[next_to + 1])
+        left[next_to] = near
+        left[next_to + 1] = np.maximum(left[next_to + 1], near)
+        right = depth[part][node]
+        real = np.flatnonzero(left + right >= LENGTH)
+        np.maximum.at(begin, row[real], left[real])
+        np.maximum.at(end, row[real], right[real])
+        first = last
     hit = end > 0
     return np.where(hit, at - begin, 0), np.where(hit, at + end, 0)
 

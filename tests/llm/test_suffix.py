@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -107,3 +108,34 @@ def test_multikey_quicksort_and_prefix_nodes():
                 hi += 1
             brute_nodes.add((lo, hi, c))
     assert nodes == brute_nodes
+
+
+def nested(n, seed=5):
+    """Surroundings of one gram whose nodes lie within each other at all depths."""
+    rng = random.Random(seed)
+    same = rng.randbytes(700)
+    out = []
+    for k in range(n):
+        own = rng.randbytes(700)
+        right = 400 if k >= 600 else 100 + k // 2
+        out.append(own[: 300 - k % 300] + same[300 - k % 300 : 300 + right] + own[300 + right :])
+    return np.zeros(n, np.int64), np.full(n, 300, np.int64), out
+
+
+def test_memory_of_a_group_of_nested_nodes_is_bounded():
+    """A group of GROUP rows: 270 MB when all pairs of a node and a row were held at once."""
+    group = nested(suffix.GROUP)
+    tracemalloc.start()
+    begin, end = suffix.compare_groups(*group)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+    assert (end[600:] == 700).all()  # these share all 400 bytes to the right
+
+
+@pytest.mark.parametrize("pairs", [1, 50])
+def test_pairs_in_parts_give_the_same(monkeypatch, pairs):
+    group = nested(900)
+    whole = [x.tolist() for x in suffix.compare_groups(*group)]
+    monkeypatch.setattr(suffix, "_PAIRS", pairs)
+    assert [x.tolist() for x in suffix.compare_groups(*group)] == whole
